@@ -6,22 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huespan.llm import bpe, html_text, licenses, token_counts, toxicity, url_filter, warc
+from huespan.llm import bpe, decontaminate, hnsw, html_text, licenses, near_dedup, token_counts, toxicity, url_filter, warc
 from huespan.llm.common import shared_path, table
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels, whose ids are taken as page ids: the tables have no others."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(warc.plan_captures(table(spark, sf_dir, "pages")), path)
     return warc.capture_digest(warc.assemble(warc.read_archives(spark, path, payloads=False)))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that contaminates it; documents without a row are clean."""
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -46,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_warc, op6_html_extraction, op7_license_scan, op8_toxicity, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_url_filter, op3_near_dedup, op4_warc, op5_decontamination, op6_html_extraction, op7_license_scan, op8_toxicity, op9_token_counts, op10_bpe)}
 ORACLES: dict[str, str] = {}
