@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from huespan.llm.pretokens import Cutter, byte_alphabet
 
-#: Pre-tokens kept by a worker, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+#: Pre-tokens, and ids of theirs, that a worker keeps from one text to the next.
+CACHE_ENTRIES, CACHE_IDS = 400_000, 1 << 22
 
 
 class BacktrackingBpe:
@@ -141,13 +141,17 @@ class BacktrackingBpe:
 
 
 class Codec:
-    """Text to ids and back, with special strings as the library's default has them."""
+    """Text to ids and back, with special strings as the library's default has them.
+
+    The ids of cached pre-tokens stand one after the other in one array; a pre-token is known by its number there,
+    and a text's ids are gathered by the numbers of its pre-tokens.
+    """
 
     def __init__(self, path: str):
         self.bpe, self.cutter = BacktrackingBpe(path), Cutter(path, words=False)
-        self.cache: dict[str, np.ndarray] = {}
         self.special_text = {i: s.encode() for s, i in self.cutter.special.items()}
         self._grow()
+        self._clear()
 
     def _grow(self) -> None:
         """Special strings that the vocabulary lacks go to the end of the offset table."""
@@ -159,22 +163,58 @@ class Codec:
                 b.blob = np.concatenate([b.blob[: b.offset[i]], np.frombuffer(self.special_text[i], dtype=np.uint8), b.blob[b.offset[i] :]])
                 b.offset[i + 1 :] += len(self.special_text[i])
 
-    def encode(self, text: str) -> np.ndarray:
-        cache, out = self.cache, []
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []  # decimal ids, comma-joined
+        self.flat = np.zeros(1 << 16, dtype=np.int64)
+        self.start = np.zeros(1 << 16, dtype=np.int64)  # one more than there are numbers
+
+    def _add(self, piece: str, special: bool = False) -> int:
+        ids = [self.cutter.special[piece]] if special else self.bpe.encode_piece(piece.encode("utf-8"))
+        k = len(self.text)
+        if k + 2 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        at = self.start[k]
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : at + len(ids)] = ids
+        self.start[k + 1] = at + len(ids)
+        self.text.append(",".join(map(str, ids)))
+        if not special:
+            self.number[piece] = k
+        return k
+
+    def numbers(self, text: str) -> list[int]:
+        """The numbers of a text's pre-tokens, which hold until the next call."""
+        if len(self.text) > CACHE_ENTRIES or len(self.flat) > CACHE_IDS:
+            self._clear()
+        out: list[int] = []
         for part, special in self.cutter.parts(text):
             if special:
-                out.append(np.array([self.cutter.special[part]], dtype=np.int64))
+                out.append(self._add(part, True))
                 continue
-            for p in self.cutter.cut(part):
-                ids = cache.get(p)
-                if ids is None:
-                    ids = np.array(self.bpe.encode_piece(p.encode("utf-8")), dtype=np.int64)
-                    if len(p) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_ENTRIES:
-                            cache.clear()
-                        cache[p] = ids
-                out.append(ids)
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+            pieces = self.cutter.cut(part)
+            known = [*map(self.number.get, pieces)]
+            if None in known:
+                for k, x in enumerate(known):
+                    if x is None:
+                        x = self.number.get(pieces[k])
+                        known[k] = self._add(pieces[k]) if x is None else x
+            out += known
+        return out
+
+    def gather(self, numbers: list[int]) -> np.ndarray:
+        """Ids of pre-tokens by their numbers."""
+        k = np.array(numbers, dtype=np.int64)
+        start = self.start[k]
+        n = self.start[k + 1] - start
+        if not len(k):
+            return k
+        before = np.cumsum(n) - n
+        return self.flat[np.repeat(start - before, n) + np.arange(int(n.sum()))]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.gather(self.numbers(text))
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bpe.decode(ids).decode("utf-8", "replace")
@@ -230,9 +270,10 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1).to_pylist():
-                ids = c.encode(t or "")
+                numbers = c.numbers(t or "")
+                ids = c.gather(numbers)
                 n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                a.append(hashlib.sha256(",".join(map(c.text.__getitem__, numbers)).encode()).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
