@@ -8,16 +8,15 @@ from __future__ import annotations
 
 import re
 
-# White space, and numbers that are not decimal digits, below U+0250.
+# White space, letters and numbers below U+0250.
 WS = "\t-\r \x85\xa0"
-ODD_NUMBERS = "\xb2\xb3\xb9\xbc-\xbe"
-LETTER = rf"[^\W\d_{ODD_NUMBERS}]"
-NUMBER = rf"[0-9{ODD_NUMBERS}]"
-OTHER = rf"(?:[^\w{WS}]|_)"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-PLAIN = re.compile("[\x00-ɏ]*")
-BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|[{WS}]+(?![^{WS}])|[{WS}]+")
-WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+")
+PLAIN = re.compile("[\x00-\u024f]*")
+# Only contractions and other signs can begin with an apostrophe, so letters and numbers may be tried before them.
+BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{LETTERS}{NUMBERS}{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+WORD_LEVEL = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{LETTERS}{NUMBERS}{WS}]+")
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -34,9 +34,11 @@ BLOCK_DOCS, BLOCK_TOKENS = 8192, 4_000_000
 SUMS_BYTES = 64 << 20
 
 _cutters: dict[str, Cutter] = {}
-POSTING = np.dtype([("doc", "<u2"), ("n", "<u2")])
+POSTING = np.dtype([("doc", "<u2"), ("n", "u1")])
+#: Largest frequency of a posting.
+MOST = 255
 HEADER = np.dtype([("known", "?"), ("key", "<i8"), ("n_bytes", "<i8")])
-SUM = np.dtype([("doc", "<u2"), ("n", "<i8")])
+SUM = np.dtype([("doc", "<u2"), ("n", "<u4")])
 
 
 def cutter(path: str) -> Cutter:
@@ -78,11 +80,12 @@ def _postings(docs: DataFrame, path: str) -> DataFrame:
             pair = np.concatenate(rows).astype(np.int64) << 16 | np.repeat(np.arange(len(rows)), sizes)
             rows.clear()
             pair, n = np.unique(pair, return_counts=True)
-            while n.size and n.max() > 65535:  # a frequency that two bytes don't hold goes into several postings
-                over = n > 65535
-                pair, n = np.concatenate([pair, pair[over]]), np.concatenate([np.where(over, 65535, n), n[over] - 65535])
-                order = np.argsort(pair, kind="stable")
-                pair, n = pair[order], n[order]
+            times = -(-n // MOST)  # a frequency that a byte doesn't hold goes into several postings
+            if times.size and times.max() > 1:
+                last = np.cumsum(times) - 1
+                pair, rest = np.repeat(pair, times), n - MOST * (times - 1)
+                n = np.full(len(pair), MOST)
+                n[last] = rest
             packed = np.empty(len(pair), dtype=POSTING)
             packed["doc"], packed["n"] = pair & 0xFFFF, n
             ends = np.searchsorted(pair >> 16, np.arange(len(vocab) + 1)).astype(np.int64) * POSTING.itemsize
@@ -164,7 +167,7 @@ def _sums(joined: DataFrame) -> DataFrame:
                     continue
                 p = np.frombuffer(raw, dtype=POSTING)
                 s = np.empty(len(p), dtype=SUM)
-                s["doc"], s["n"] = p["doc"], p["n"].astype(np.int64) * n
+                s["doc"], s["n"] = p["doc"], p["n"].astype(np.uint32) * n
                 mine = sums.setdefault(block, [])
                 mine.append(s)
                 held += s.nbytes
