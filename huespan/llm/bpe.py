@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from huespan.llm.pretokens import Cutter, byte_alphabet
 
 #: Pre-tokens, and ids of theirs, that a worker keeps from one text to the next.
-CACHE_ENTRIES, CACHE_IDS = 400_000, 1 << 22
+CACHE_ENTRIES, CACHE_IDS = 500_000, 1 << 22
+#: Pairs of entries whose compatibility a worker remembers.
+MOST_PAIRS = 1_000_000
 
 
 class BacktrackingBpe:
@@ -65,7 +67,7 @@ class BacktrackingBpe:
             reached.append(reached[x] and reached[y] and self.compatible(x, y, r))
         for r, e in enumerate(entries):
             if reached[r]:  # an entry that its own bytes don't lead to is never used
-                self.automaton.add_word(e.decode("latin-1"), r)
+                self.automaton.add_word(e.decode("latin-1"), (r, len(e)))
         self.automaton.make_automaton()
         # Offset table by id, for decoding.
         length = np.zeros(max(ids) + 1, dtype=np.int64)
@@ -96,39 +98,49 @@ class BacktrackingBpe:
                     if a == limit:
                         return True
 
-    def _pair(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.compatible(a, b)
-            if len(self.pairs) < 1_000_000:
-                self.pairs[key] = known
-        return known
-
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        n, size = len(piece), self.size
+        text = piece.decode("latin-1")
+        whole = self.automaton.get(text, None)
+        if whole is not None:  # the longest match at its start, with nothing to be compatible with
+            return [self.ids[whole[0]]]
+        n, size, pairs = len(text), self.size, self.pairs
         starts: list[list[int]] = [[] for _ in range(n)]
-        for end, r in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - size[r]].append(r)  # ends ascend, so lengths do
+        for end, (r, length) in self.automaton.iter(text):
+            starts[end + 1 - length].append(r)  # ends ascend, so lengths do
         out: list[int] = []
-        tries = [len(starts[0]) - 1] if n else []  # one more than out has: which entry is tried at each start
+        tries: list[int] = []  # which entry was taken at each start
         dead, at = bytearray(n + 1), 0
+        k = len(starts[0]) - 1 if n else 0
         while at < n:
-            k, here, before = tries[-1], starts[at], out[-1] if out else -1
-            while k >= 0 and (dead[at + size[here[k]]] or before >= 0 and not self._pair(before, here[k])):
-                k -= 1
+            here = starts[at]
+            if out:
+                before = out[-1]
+                while k >= 0:
+                    r = here[k]
+                    if not dead[at + size[r]]:
+                        key = before << 32 | r
+                        fits = pairs.get(key)
+                        if fits is None:
+                            fits = self.compatible(before, r)
+                            if len(pairs) < MOST_PAIRS:
+                                pairs[key] = fits
+                        if fits:
+                            break
+                    k -= 1
+            else:
+                while k >= 0 and dead[at + size[here[k]]]:
+                    k -= 1
             if k >= 0:
-                tries[-1] = k
                 out.append(here[k])
+                tries.append(k)
                 at += size[here[k]]
                 if at < n:
-                    tries.append(len(starts[at]) - 1)
+                    k = len(starts[at]) - 1
             else:
                 dead[at] = 1
-                tries.pop()
                 at -= size[out.pop()]
-                tries[-1] -= 1
+                k = tries.pop() - 1
         return [self.ids[r] for r in out]
 
     def decode(self, ids: np.ndarray) -> bytes:
