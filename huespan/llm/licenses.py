@@ -3,7 +3,7 @@
 A text becomes a line of lower-case words with one space around each, so rules are regular expressions over
 words that punctuation, line ends and comment signs don't disturb. Every rule names a keyword; one Aho-Corasick pass
 finds the keywords of a text, and only rules whose keyword it holds are tried. Detections are then ordered by priority
-(whole notices over tags, tags over names), longer before shorter, earlier before later, and one whose interval
+(whole notices over tags, tags over names, names with a version over bare ones), longer before shorter, earlier before later, and one whose interval
 lies inside that of a detection before it is suppressed.
 
 Null and empty texts have no words and no detections. Repeated rows, null keys and further columns are kept as they are.
@@ -115,13 +115,9 @@ NOTICES = [
     ("gpl-3.0-or-later", "later", r"gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)? (?:version|v) ?2(?: 0)?"),
     ("gpl-3.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)? (?:version|v) ?3(?: 0)?"),
-    ("gpl", "general", r"(?:gnu )?general public license"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public license (?:version|v) ?2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license (?:version|v) ?3(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
-    ("lgpl", "library", r"(?:gnu )?library general public license"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license (?:version|v) ?3(?: 0)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public license"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
     ("boost-1.0", "boost", r"distributed under the boost software license version 1 0"),
@@ -133,17 +129,25 @@ NOTICES = [
     ("proprietary", "reserved", r"copyright(?: \S+){0,12} all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)(?: \S+){0,6}"),
     ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
+    ("dual", "dual", r"dual licensed under(?: \S+){1,10}"),
+]
+
+# Families without a version: label, keyword, pattern.
+GENERIC = [
+    ("gpl", "general", r"(?:gnu )?general public license"),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
+    ("lgpl", "library", r"(?:gnu )?library general public license"),
+    ("agpl", "affero", r"(?:gnu )?affero general public license"),
     ("free-documentation", "documentation", r"gnu free documentation license"),
     ("creative-commons", "commons", r"creative commons(?: \S+){0,5} licen[cs]e"),
     ("apache", "apache", r"apache(?: software)? license"),
     ("mozilla", "mozilla", r"mozilla public license"),
-    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
-    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
-    ("dual", "dual", r"dual licensed under(?: \S+){1,10}"),
 ]
 
 # How much a kind of rule is worth, and its priority (lower goes first).
-KINDS = {"notice": (0, 0.9), "tag": (1, 0.95), "address": (2, 0.85), "grant": (3, 0.8), "name": (4, 0.6)}
+KINDS = {"notice": (0, 0.9), "tag": (1, 0.95), "address": (2, 0.85), "grant": (3, 0.8), "name": (4, 0.6), "generic": (5, 0.5)}
 
 
 @dataclass(frozen=True)
@@ -158,7 +162,7 @@ class Rule:
 
 def build_rules() -> list[Rule]:
     """All rules, in order of priority and then as written."""
-    found: list[tuple[str, str, str, str]] = [("notice", label, key, p) for label, key, p in NOTICES]
+    found: list[tuple[str, str, str, str]] = [("notice", *x) for x in NOTICES] + [("generic", *x) for x in GENERIC]
     for label, key, name, tag, address in FAMILIES:
         found += [
             ("tag", label, "spdx", rf"spdx license identifier (?:\S+ or )?{tag}(?: only| or later)?"),

@@ -17,7 +17,8 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels, whose ids are taken as page ids: the tables have no others."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes)
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes)
+    return judged.withColumns({c: F.round(c, 6) for c in ("reputation", "upper")})
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,60 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hnsw, op2_url_filter, op3_near_dedup, op4_warc, op5_decontamination, op6_html_extraction, op7_license_scan, op8_toxicity, op9_token_counts, op10_bpe)}
-ORACLES: dict[str, str] = {}
+
+def _base32(h: str) -> str:
+    """SQL for the base32 text of a 40-digit hexadecimal text."""
+    digits = [f"substr('{warc._BASE32}', ((('0x' || substr({h}, {10 * k + 1}, 10))::BIGINT >> {35 - 5 * j}) & 31)::INT + 1, 1)" for k in range(4) for j in range(8)]
+    return " || ".join(digits)
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_base32("h")} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first_id THEN first_id END AS refers_to, coalesce(url, '') AS url FROM f
+"""
+
+
+def _op2_sql() -> str:
+    two = ", ".join(f"'{x}'" for x in url_filter.TWO_PART_SUFFIXES)
+    low, high = url_filter.STRENGTH
+    last = lambda k: f"array_to_string(string_split(bare, '.')[-{k}:], '.')"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0]) - len(r[1]))
+    fits = lambda h, p: f"(host = '{h}' OR suffix_of(host, '.{h}')) AND starts_with(path, '{p}')".replace("suffix_of", "ends_with")
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules) + " END"
+    said = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules) + " END"
+
+    def strength(level: str) -> str:
+        return f"""(SELECT CASE WHEN rho IS NULL THEN {low} WHEN rho <= 1 / ({high} + 1) THEN {high} ELSE least({high}, greatest({low}, 1 / rho - 1)) END FROM (
+            SELECT CASE WHEN sum(m * (1 - m) * (n - 1)) > 0 THEN (sum(n * (s / n - m) * (s / n - m)) - sum(m * (1 - m))) / sum(m * (1 - m) * (n - 1)) END::DOUBLE AS rho FROM {level}))::DOUBLE"""
+
+    def shrunk(level: str, name: str) -> str:
+        return f"SELECT {name}, s, n, m, k, s + m * k AS a, n - s + (1 - m) * k AS b FROM {level}, (SELECT {strength(level)} AS k)"
+
+    def others(level: str, up: str, key: str, mean: str) -> str:
+        return f"SELECT x.*, (u.s - x.s + {mean} * u.k) / (u.n - x.n + u.k) AS m FROM {level} x JOIN {up} u USING ({key})"
+
+    return f"""
+WITH c AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM c),
+hosts AS (SELECT host, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix
+    FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM u)),
+o AS (SELECT host, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS n FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
+oh AS (SELECT * FROM o JOIN hosts USING (host)),
+od AS (SELECT domain, suffix, sum(s) AS s, sum(n) AS n FROM oh GROUP BY ALL),
+os AS (SELECT suffix, sum(s) AS s, sum(n) AS n FROM od GROUP BY ALL),
+t AS (SELECT coalesce((sum(s) + 1) / (sum(n) + 2), 0.5)::DOUBLE AS rate FROM os),
+ms AS (SELECT os.*, rate AS m FROM os, t), s3 AS ({shrunk("ms", "suffix")}),
+md AS ({others("od", "s3", "suffix", "(SELECT rate FROM t)")}), s2 AS ({shrunk("md", "domain")}),
+mh AS ({others("oh", "s2", "domain", "u.m")}), s1 AS ({shrunk("mh", "host")}),
+j AS (SELECT hosts.host, coalesce(s1.a, s2.a, s3.a, rate * {low}) AS a, coalesce(s1.b, s2.b, s3.b, (1 - rate) * {low}) AS b
+    FROM hosts CROSS JOIN t LEFT JOIN s1 ON s1.host = hosts.host LEFT JOIN s2 ON s2.domain = hosts.domain LEFT JOIN s3 ON s3.suffix = hosts.suffix),
+r AS (SELECT host, a / (a + b) AS reputation, least(1.0, a / (a + b) + {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS upper FROM j)
+SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN upper < {url_filter.BOUND} THEN 'block' ELSE 'allow' END) AS verdict, round(reputation, 6)::DOUBLE AS reputation, round(upper, 6)::DOUBLE AS upper
+FROM u JOIN r USING (host)
+"""
+
+
+#: What SQL can express: the others are learned, iterative, or need a tokenizer, and tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_url_filter": _op2_sql(), "op4_warc": OP4_SQL}

@@ -1,8 +1,8 @@
 """2. URL filter: empirical-Bayes host reputation with explicit rules on top.
 
 Labelled page outcomes (good or not) are counted by host, registered domain and public suffix. Each level's rate is shrunk
-towards the one above through a beta prior: the suffix towards all outcomes, the domain towards its suffix, the host towards its
-domain. A prior's strength is fitted by moments from how much the rates of a level's members vary beyond what their
+towards the one above through a beta prior: the suffix towards all outcomes, the domain towards its suffix's other domains, the host
+towards its domain's other hosts. A prior's strength is fitted by moments from how much the rates of a level's members vary beyond what their
 numbers explain. A host whose posterior, less Z standard deviations of it, still allows a rate over the bound is allowed; that is, it is
 blocked if even the upper end of its posterior lies below the bound.
 
@@ -71,10 +71,7 @@ def _moments(level: DataFrame) -> Column:
 
 
 def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
-    """From (host, good) rows: a row (host, a, b) with the posterior of each host that has outcomes, and likewise by domain and suffix.
-
-    Returns a frame (level, name, a, b) of posteriors and the overall rate.
-    """
+    """From (host, good) rows: posteriors (level, name, a, b) of the hosts, domains and suffixes that have outcomes, and the overall rate."""
     good = F.col("good").cast("double")
     by_host = outcomes.where(F.col("good").isNotNull()).groupBy("host").agg(F.sum(good).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     domain, suffix = name_levels(F.col("host"))
@@ -84,15 +81,21 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
     total = by_suffix.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     rate = (total.s + 1) / (total.n + 2) if total.n else 0.5
 
-    def shrunk(level: DataFrame, mean: Column) -> DataFrame:
+    def shrunk(level: DataFrame, mean: Column) -> tuple[DataFrame, float]:
+        """The level with its prior means m and posteriors a, b; its prior's strength."""
         level = level.withColumn("m", mean)
         k = level.agg(_moments(level).alias("k")).first().k or STRENGTH[0]
-        return level.withColumn("a", F.col("s") + F.col("m") * k).withColumn("b", F.col("n") - F.col("s") + (1 - F.col("m")) * k).drop("m", "s", "n")
+        return level.withColumns({"a": F.col("s") + F.col("m") * k, "b": F.col("n") - F.col("s") + (1 - F.col("m")) * k}), k
+
+    def others(up: Column, k: float) -> Column:
+        """The level above, without the member's own outcomes, which else would count twice."""
+        return (F.col("up_s") - F.col("s") + up * k) / (F.col("up_n") - F.col("n") + k)
 
-    mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("up")
-    suffixes = shrunk(by_suffix, F.lit(rate))
-    domains = shrunk(by_domain.join(suffixes.select("suffix", mean), "suffix"), F.col("up")).drop("up")
-    hosts = shrunk(by_host.join(domains.select("domain", mean), "domain"), F.col("up")).drop("up")
+    suffixes, k3 = shrunk(by_suffix, F.lit(rate))
+    above = suffixes.select("suffix", F.col("s").alias("up_s"), F.col("n").alias("up_n"))
+    domains, k2 = shrunk(by_domain.join(above, "suffix"), others(F.lit(rate), k3))
+    above = domains.select("domain", F.col("s").alias("up_s"), F.col("n").alias("up_n"), F.col("m").alias("up_m"))
+    hosts, _ = shrunk(by_host.join(above, "domain"), others(F.col("up_m"), k2))
     levels = [(hosts, "host"), (domains, "domain"), (suffixes, "suffix")]
     out = None
     for frame, name in levels:
