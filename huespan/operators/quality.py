@@ -46,9 +46,9 @@ def recall(images: DataFrame, query: Point, threshold: float, strategies: list[s
             F.lit(name).alias("strategy"),
             "found",
             "exact",
-            F.coalesce(F.col("common") / F.col("distinct_found"), F.lit(1.0)).alias("precision"),
-            F.coalesce(F.col("common") / F.col("exact"), F.lit(1.0)).alias("recall"),
-            F.coalesce(F.col("found") / F.col("given"), F.lit(1.0)).alias("duplication"),
+            F.coalesce(F.try_divide("common", "distinct_found"), F.lit(1.0)).alias("precision"),
+            F.coalesce(F.try_divide("common", "exact"), F.lit(1.0)).alias("recall"),
+            F.coalesce(F.try_divide("found", "given"), F.lit(1.0)).alias("duplication"),
         )
         rows = one if rows is None else rows.unionByName(one)
     return rows

@@ -44,7 +44,7 @@ def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = LOA
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "path string, length long")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path.rstrip("/") + "/*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     return files.select("path", "length").where(has_extension(F.col("path"), extensions))
 
 
