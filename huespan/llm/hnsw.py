@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from huespan.llm.common import materialize
 
 #: Rows of a shard, links of a node (twice as many on the lowest level), candidates of an insertion, and widths of the beams.
-SHARD_ROWS, LINKS, CANDIDATES, EF, EF_UPPER = 4096, 16, 64, 160, 16
+SHARD_ROWS, LINKS, CANDIDATES, EF, EF_UPPER = 16384, 16, 64, 160, 16
 #: Queries searched at once, and those that a task gets for one shard.
 QUERY_BLOCK, QUERY_GROUP = 256, 4096
 
