@@ -95,6 +95,16 @@ STRATEGIES: dict[str, Strategy] = {"linear": linear, "bbox": bbox, "hash_grid":
 EXACT = [s for s in STRATEGIES if s != "hash_fixed"]
 
 
+#: Parameters that strategies have by default, as their labels show them.
+DEFAULTS = {"hash_grid": {"cell": GRID_CELL}, "hash_dynamic": {"cell": DYNAMIC_CELL}, "hash_fixed": {"cells": colour.FIXED_CELLS}, "hash_bounded": {"cells": colour.FIXED_CELLS}, "octree": {"cap": 10, "max_depth": 10}, "quadtree": {"cap": 25, "max_depth": 12}}
+
+
+def label(strategy: str, **params: float) -> str:
+    """A strategy's name with its parameters, real ones with six decimals."""
+    shown = [f"{k}={v:.6f}" if isinstance(v, float) else f"{k}={v}" for k, v in (DEFAULTS.get(strategy, {}) | params).items()]
+    return f"{strategy}({', '.join(shown)})" if shown else strategy
+
+
 def choose(threshold: float, queries: int = 1) -> str:
     """Strategy for "auto": one query is answered by a scan with pushed-down bounds, many by the grid."""
     return "bbox" if queries <= 1 else "hash_grid"

@@ -350,6 +350,11 @@ def insert_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rates(reports.published(spark))
 
 
+@query("SELECT * FROM (VALUES ('linear', 'linear'), ('bbox', 'bbox'), ('hash_grid', 'hash_grid(cell=30.000000)'), ('hash_fixed', 'hash_fixed(cells=32)'), ('hash_bounded', 'hash_bounded(cells=32)'), ('hash_dynamic', 'hash_dynamic(cell=25.000000)'), ('octree', 'octree(cap=10, max_depth=10)'), ('quadtree', 'quadtree(cap=25, max_depth=12)')) AS v(strategy, label)")
+def strategy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, search.label(s)) for s in search.STRATEGIES], "strategy string, label string")
+
+
 # Files are no SQL tables: the next ones are checked by tests.
 
 #: Names of a small folder, as text; a name ending in .txt or in a subfolder isn't an image.
