@@ -27,8 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huespan.llm.common import materialize
+
 SAMPLE_ROWS, CANDIDATES, MOST_ENTRIES, COVER = 20_000, 3000, 2000, 3
 STEM_SIZES = range(3, 9)
+#: Counts of features that a task holds before it passes them on.
+FEATURES_HELD = 200_000
+#: Lower bound of the log odds that a learned entry needs.
+LEAST_WEIGHT = 1.5
 THRESHOLD = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -138,26 +144,32 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Da
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
     """A lexicon fitted on a bounded sample; see the module's text."""
-    sample = sample_of(docs, labels, rows)
+    sample = materialize(sample_of(docs, labels, rows), "sample")  # three passes below read it
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = list(pos.keys() | neg.keys())
+            for k in range(0, len(names), 50_000):
+                part = names[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pos[f] for f in part], pa.int64()), pa.array([neg[f] for f in part], pa.int64())], ["f", "p", "n"])
+            pos.clear()
+            neg.clear()
+
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                (pos if y else neg).update(f := _features(text.as_py()))
+                (pos if y else neg).update(_features(text.as_py()))
                 (pos if y else neg)[""] += 1
-                del f
-        # Features without a positive match are no candidates, but their counts belong to those of other tasks.
-        names = list(pos.keys() | neg.keys())
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pos[f] for f in part], pa.int64()), pa.array([neg[f] for f in part], pa.int64())], ["f", "p", "n"])
+                if len(neg) + len(pos) > FEATURES_HELD:
+                    yield from out()
+        yield from out()
 
     found = sample.mapInArrow(counts, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 2)
     rate = (F.col("p") + 0.5) / (F.col("p") + F.col("n") + 1.0)
     top = found.where((F.col("f") == "") | (F.col("p") > F.col("n"))).orderBy((F.col("f") != ""), (F.col("p") * rate * rate).desc(), "f").limit(CANDIDATES).collect()
     totals = next(((r.p, r.n) for r in top if r.f == ""), (0, 0))
-    candidates = {r.f: w for r in top if r.f and (w := _weight(r.p, r.n, *totals)) > 0.5}
+    candidates = {r.f: w for r in top if r.f and (w := _weight(r.p, r.n, *totals)) > LEAST_WEIGHT}
     probe = Lexicon(candidates | ENTRIES, exceptions=[])
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +205,7 @@ def _cover(positives: list[set[str]], negatives: list[set[str]], candidates: dic
     need = [COVER] * len(positives)
     chosen: dict[str, float] = {}
     gain = {e: len(ks) for e, ks in where.items() if e in candidates}
-    least = max(2, len(positives) // 500)
+    least = max(3, len(positives) // 500)
     while gain and len(chosen) < MOST_ENTRIES:
         e = max(gain, key=lambda x: (gain[x] - 5 * against[x], len(x), x))
         if gain[e] - 5 * against[e] < least:
