@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of one batch that a Python worker gets: texts may be long, and a worker holds a batch and what it makes of it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", "8388608")}
 
 
 def local_session(cpus: str | int = "*", name: str = "huespan") -> SparkSession:
@@ -27,7 +29,11 @@ def local_session(cpus: str | int = "*", name: str = "huespan") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once an application, so Python workers can import it wherever they run."""
+    """Send this package to the executors once an application, so Python workers can import it wherever they run, and bound
+    the batches they get, unless the session's own settings differ from Spark's."""
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key, usual) in (usual, "-1"):
+            spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).resolve().parent
