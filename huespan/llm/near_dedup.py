@@ -7,11 +7,12 @@ Prefix: two classes that agree in MATCHES coordinates must meet in one of the ra
 pairs ordered by how many classes hold them and pairs that one class holds left out. Only those are posted, so a passage that
 many documents share, whose pairs are frequent, is posted by few of them, and most documents aren't posted at all.
 
-Skip: inside a posting list a class is compared with a leader of the list, by the matches of a longer sketch
-(SKETCH coordinates of a byte each) and the sizes; if it passes, the pair is kept and the class is skipped from then on, else it waits for
-the next leader. That gives a list of n near copies about n pairs. Kept pairs are confirmed on the full sets and
-joined to components. A second pass over the lists that still hold several components compares only classes of different
-components, so no link between different texts is lost, while copies are never expanded into all pairs.
+Skip: inside a posting list a class is compared with a leader of the list, by the sizes and the matches of a longer sketch
+(SKETCH coordinates of a bit each, made for posted classes only); if it passes, the pair is kept and the class is skipped from then
+on, else it waits for the next leader. That gives a list of n near copies about n pairs. Kept pairs are confirmed on the full sets and
+joined to components. A second pass over the lists that still hold several components merges what the first left apart: it compares only
+classes of different components, counts the coordinates in which they agree, and takes a pair in the list of the first pair of
+the prefixes that both hold, so once. No link between different texts is lost, while copies are never expanded into all pairs.
 
 A pair with similarity of exactly 0.75 is missed by the signature with a chance of about 5e-5, more similar ones with far less.
 
@@ -28,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huespan.llm.common import materialize
+from huespan.llm.common import drop_materialized, materialize
 from huespan.llm.components import components
 
 WORDS, PERCENT = 5, 75
 COORDINATES, MATCHES = 32, 14
-#: Sketch bytes, and how many of two sketches agree at least if the similarity is 0.75 (4.6 standard deviations below the mean).
-SKETCH, SKETCH_MATCHES = 256, 160
+#: Bits of a sketch, one for each of as many minima, and in how many two sketches agree at least if the similarity is 0.75: seven eighths do
+#: on average, and this lies 4.6 standard deviations below.
+SKETCH, SKETCH_MATCHES = 2048, 1723
 #: Most members of a posting list that one comparison takes at once; longer lists are dealt in blocks.
-BLOCK = 2000
+BLOCK = 512
 LEADERS = 24
+#: Rows at most, of 64 bits, in the table that tells texts which aren't posted.
+BIT_WORDS = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -68,24 +72,32 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
-def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signature (32-bit minima of the first coordinates) and sketch (a byte of the minimum of every coordinate)."""
+def minima(shingles: np.ndarray, coordinates: int) -> np.ndarray:
+    """The least 32-bit value of a set in each of the first coordinates."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), 512):
-        part = low[at : at + 512]
-        least = np.minimum(least, ((part[None, :] ^ _ADD[:, None]) * _MUL[:, None]).min(axis=1))
-    return least[:COORDINATES], ((least ^ (least >> np.uint32(13)) ^ (least >> np.uint32(22))) & np.uint32(0xFF)).astype(np.uint8)
+    least = np.full(coordinates, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(low), 256):
+        part = low[at : at + 256]
+        least = np.minimum(least, ((part[None, :] ^ _ADD[:coordinates, None]) * _MUL[:coordinates, None]).min(axis=1))
+    return least
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit of the minimum of every coordinate."""
+    least = minima(shingles, SKETCH)
+    for k in (16, 8, 4, 2, 1):  # its parity
+        least = least ^ (least >> np.uint32(k))
+    return np.packbits((least & np.uint32(1)).astype(np.uint8))
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set (null if empty), signature, sketch."""
+    """doc_id, n_shingles, two hashes of the set and its signature (null if empty)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            n, h1, h2, sig, sk = [], [], [], [], []
+            n, h1, h2, sig = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py())
                 n.append(len(s))
@@ -93,20 +105,14 @@ def _features(docs: DataFrame) -> DataFrame:
                     h1.append(None)
                     h2.append(None)
                     sig.append(None)
-                    sk.append(None)
                     continue
                 raw = s.tobytes()
                 h1.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                 h2.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                a, b = sketch(s)
-                sig.append(a.tobytes())
-                sk.append(b.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(sk, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "sig", "sk"],
-            )
+                sig.append(minima(s, COORDINATES).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sk binary")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -123,6 +129,11 @@ def _tokens(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(work, "rep long, token long")
 
 
+def _sketches_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of sketches as 64-bit words."""
+    return SKETCH - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) >= SKETCH_MATCHES
+
+
 def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
@@ -180,7 +191,7 @@ def _leader_pairs(postings: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
             start = _starts(table, 2)
-            rep, n, sk = table.column("rep").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("sk").combine_chunks(), SKETCH)
+            rep, n, sk = table.column("rep").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("sk").combine_chunks(), SKETCH // 8).view(np.uint64)
             rows = np.arange(table.num_rows)
             leader = start.copy()
             for _ in range(LEADERS):
@@ -189,7 +200,7 @@ def _leader_pairs(postings: DataFrame) -> DataFrame:
                     break
                 at = leader[rows]
                 ok = _sizes_fit(n[rows], n[at])
-                ok[ok] = (sk[rows[ok]] == sk[at[ok]]).sum(axis=1) >= SKETCH_MATCHES
+                ok[ok] = _sketches_fit(sk[rows[ok]], sk[at[ok]])
                 if ok.any():
                     yield _pairs_batch(rep[rows[ok]], rep[at[ok]])
                 rows = rows[~ok]
@@ -204,38 +215,45 @@ def _leader_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(postings: DataFrame) -> DataFrame:
-    """Second pass: pairs of a posting list from different components whose sketches and sizes agree enough.
+    """Second pass: pairs of a posting list from different components whose signatures, sketches and sizes agree enough.
 
-    postings: token, i, j (two blocks of the list, i <= j), mine (the row's own), rep, n, sk, comp.
+    postings: token, i, j (two blocks of the list, i <= j), mine (the row's own), rep, n, sig, mask (the coordinates of its prefix, as
+    bits), sk, comp.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 3):
             start = _starts(table, 3)
             i, j, mine = (table.column(c).to_numpy() for c in ("i", "j", "mine"))
-            rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
-            sk = _matrix(table.column("sk").combine_chunks(), SKETCH)
+            rep, n, comp, token = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "token"))
+            sig = _matrix(table.column("sig").combine_chunks(), 4 * COORDINATES).view(np.uint32)
+            posted = (table.column("mask").to_numpy()[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
+            sk = _matrix(table.column("sk").combine_chunks(), SKETCH // 8).view(np.uint64)
             bounds = np.append(np.unique(start), table.num_rows)
+            out_a, out_b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo < 2:
                     continue
+                place = token[lo] >> 32
                 left = np.arange(lo, hi) if i[lo] == j[lo] else lo + np.flatnonzero(mine[lo:hi] == i[lo])
                 right = left if i[lo] == j[lo] else lo + np.flatnonzero(mine[lo:hi] == j[lo])
-                out_a, out_b = [], []
                 for k, x in enumerate(left):
                     others = right[k + 1 :] if right is left else right
                     others = others[(comp[others] != comp[x]) & _sizes_fit(n[others], n[x])]
+                    if not len(others):
+                        continue
+                    same = sig[others] == sig[x]
+                    first = (same & posted[others] & posted[x]).argmax(axis=1) == place
+                    others = others[first & (same.sum(axis=1) >= MATCHES)]
                     if len(others):
-                        ys = others[(sk[others] == sk[x]).sum(axis=1) >= SKETCH_MATCHES]
+                        ys = others[_sketches_fit(sk[others], sk[x])]
                         out_a.append(np.full(len(ys), rep[x]))
                         out_b.append(rep[ys])
-                if out_a:
-                    a, b = np.concatenate(out_a), np.concatenate(out_b)
-                    if len(a):
-                        yield _pairs_batch(a, b)
+            if out_a and len(a := np.concatenate(out_a)):
+                yield _pairs_batch(a, np.concatenate(out_b))
 
-    dealt = postings.select("token", "i", "j", "mine", "rep", "n", "sk", "comp").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    columns = ["token", "i", "j", "mine", "rep", "n", "sig", "mask", "sk", "comp"]
+    return postings.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep").mapInArrow(work, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,23 +274,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _flagged(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """docs with a flag: false for rows whose doc_id isn't among ids, true for those that are, and a few others.
+
+    Few of the texts are needed where only they would have to be shuffled. The flags come from a table of bits of fixed size, which may be
+    broadcast whatever the number of ids; the more there are, the more others are flagged, and the join that follows drops those."""
+    word = F.pmod(F.xxhash64("doc_id"), F.lit(BIT_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).cast("int"))
+    bits = ids.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    found = docs.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    hit = F.col("doc_id").isNotNull() & (F.coalesce("__bits", F.lit(0).cast("long")).bitwiseAND(bit) != 0)
+    return found.withColumn(flag, hit).drop("__word", "__bits")
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) for the classes in wanted (rep, h1, h2)."""
+    """(rep, shingles, sk) for the classes in wanted (rep, h1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            rep, out = [], []
+            rep, out, sk = [], [], []
             for r, want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = shingle_set(text.as_py()).tobytes()
+                s = shingle_set(text.as_py())
+                raw = s.tobytes()
                 if raw and xxhash.xxh64_intdigest(raw, 1) - (1 << 63) == want:  # else a row that repeats the id with another text
                     rep.append(r)
                     out.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], ["rep", "shingles"])
+                    sk.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary()), pa.array(sk, pa.binary())], ["rep", "shingles", "sk"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id"), "h1"), "doc_id").select("doc_id", "h1", "text")
-    return texts.mapInArrow(work, "rep long, shingles binary").dropDuplicates(["rep"])
+    wanted = wanted.select(F.col("rep").alias("doc_id"), "h1")
+    near = _flagged(docs, wanted, "__near").where("__near").select("doc_id", "text")
+    texts = near.hint("merge").join(wanted, "doc_id").select("doc_id", "h1", "text")
+    return texts.mapInArrow(work, "rep long, shingles binary, sk binary").dropDuplicates(["rep"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,33 +315,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     features = materialize(_features(rows), "features")
     known = features.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(
-        known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("sk").alias("sk")), "classes"
-    )
+    classes = materialize(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
     # Prefixes: a class's shared pairs, rarest first, less the last MATCHES - 1.
     tokens = _tokens(classes)
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
     shared = tokens.hint("merge").join(held, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "token"))).alias("pairs"))
     prefix = shared.where(F.size("pairs") >= MATCHES).select("rep", F.slice("pairs", F.lit(1), F.size("pairs") - MATCHES + 1).alias("pairs"))
-    one = classes.groupBy("rep").agg(F.min_by(F.struct("h1", "n", "sk"), "h1").alias("c")).select("rep", "c.*")  # ids that stand for two classes count once
-    posted = materialize(prefix.join(one, "rep"), "posted")
+    # Of those, the ones that two classes have posted.
+    posted = prefix.select("rep", F.explode("pairs.token").alias("token"))
+    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    live = posted.join(met, "token").groupBy("rep").agg(F.collect_list(F.struct("cnt", "token")).alias("pairs"))
+    one = classes.groupBy("rep").agg(F.min_by(F.struct("h1", "n", "sig"), "h1").alias("c")).select("rep", "c.*")  # ids that stand for two classes count once
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p.token, 32).cast("int"))
+    mask = F.aggregate("pairs", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
+    posted = materialize(live.withColumn("mask", mask).join(one, "rep"), "posted")
     sets = materialize(_shingle_sets(rows, posted.select("rep", "h1")), "sets")
-    postings = posted.select("rep", "n", "sk", F.explode("pairs").alias("p")).select("p.token", "p.cnt", "rep", "n", "sk")
+    sketched = posted.join(sets.select("rep", "sk"), "rep")
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("long")
-    block = F.pmod(F.xxhash64("rep"), blocks)
+    # Each list is dealt in another way, so the leaders' pairs of several lists join what one list's blocks part.
+    block = F.pmod(F.xxhash64("rep", "token"), blocks)
+    postings = sketched.select("rep", "n", "sk", F.explode("pairs").alias("p")).select("p.token", "p.cnt", "rep", "n", "sk")
     first = materialize(_confirmed(_leader_pairs(postings.withColumn("block", block)), sets), "links")
     roots = components(first)
     # Second pass: lists that still hold several components.
-    labelled = posted.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
-    labelled = materialize(labelled.select("rep", "n", "sk", "comp", "pairs"), "labelled")
+    labelled = materialize(posted.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root", "h1"), "labelled")
     lists = labelled.select("rep", "comp", F.explode("pairs").alias("p")).select("p.token", "p.cnt", "rep", "comp")
     mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    full = labelled.select("rep", "n", "sk", "comp", F.explode("pairs").alias("p")).select("p.token", "p.cnt", "rep", "n", "sk", "comp")
-    full = full.join(mixed, "token", "left_semi").withColumns({"mine": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    members = labelled.join(sets.select("rep", "sk"), "rep").select("rep", "n", "sig", "mask", "sk", "comp", F.explode("pairs").alias("p"))
+    full = members.select("p.token", "p.cnt", "rep", "n", "sig", "mask", "sk", "comp").join(mixed, "token", "left_semi")
+    full = full.withColumns({"mine": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
     full = full.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
     second = materialize(_confirmed(_cross_pairs(full), sets), "links")
     links = first.unionByName(second)
     final = components(links) if not second.isEmpty() else roots
+    for done in (posted, sets, labelled, first, second):
+        drop_materialized(done)
     # Back to rows: row to class, class to component.
     named = classes.select("h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
@@ -316,6 +359,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs that are the smallest doc_id of their component, once each; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id", "n_shingles").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
