@@ -359,6 +359,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs that are the smallest doc_id of their component, once each; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    judged = near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    odd = materialize(judged.where(~F.col("__kept") | (F.col("__rows") > 1)).select("doc_id", "__kept"), "odd")  # to be dropped, or repeated
+    flagged = _flagged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), odd, "__odd")
+    plain = flagged.where(~F.col("__odd"))
+    named = flagged.where("__odd").hint("merge").join(odd, "doc_id", "left")
+    # Repeated rows of a kept document share a key and become one; rows that were only flagged have keys of their own.
+    once = F.when(F.col("__kept"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    named = named.where(F.coalesce("__kept", F.lit(True))).withColumn("__once", once).dropDuplicates(["doc_id", "__once"])
+    back = [F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
+    return plain.select(back).unionByName(named.select(back))
