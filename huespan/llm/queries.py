@@ -49,7 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, lexicon)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

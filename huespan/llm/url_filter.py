@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huespan.llm.common import materialize
+
 # The rules of the query, (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 # Suffixes of two parts under which names are registered.
@@ -75,7 +77,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
     good = F.col("good").cast("double")
     by_host = outcomes.where(F.col("good").isNotNull()).groupBy("host").agg(F.sum(good).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     domain, suffix = name_levels(F.col("host"))
-    by_host = by_host.withColumns({"domain": domain, "suffix": suffix})
+    by_host = materialize(by_host.withColumns({"domain": domain, "suffix": suffix}), "hosts")  # all levels and strengths are made of it
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = by_suffix.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()

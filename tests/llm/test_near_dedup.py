@@ -58,7 +58,7 @@ def families(rnd):
     return rows
 
 
-@pytest.mark.parametrize("block", [2000, 10])
+@pytest.mark.parametrize("block", [512, 10])
 def test_components_of_families(spark, rnd, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = families(rnd)

@@ -39,3 +39,15 @@ def test_stages_on_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf), "empty")
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    long = "word after word of a long text " * 20_000
+    rows = [(None, None, None, 1.0, "a", 1), (None, "null id", "en", 2.0, "b", 2), (1, None, "en", None, None, None), (2, "", None, 1.0, "c", 3), (3, long, "en", 1.0, "c", 3), (3, long, "en", 1.0, "c", 3), (4, long, "en", 1.0, "d", 4), (5, "you stupid idiot", "en", 1.0, "e", 5), (6, "short", "en", 1.0, "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, token string, rep long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), name)
+        assert docs.columns == ["doc_id", "text", "lang", "score", "token", "rep"]
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "6", "None", "None"]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in out) == [("1", False), ("2", False), ("3", True), ("6", True), ("None", False), ("None", True)]
