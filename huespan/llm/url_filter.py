@@ -129,5 +129,6 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     found = found.select("host", mean.alias("reputation"), F.least(F.lit(1.0), mean + z * sd).alias("upper"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
+    found = materialize(found, "reputations")  # so the join's sides are plain exchanges, and a hot host's pages can be split
     judged = urls.withColumns({"rule": rule, "said": verdict}).join(found, "host", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("upper") < bound, "block").otherwise("allow")).alias("verdict"), "reputation", "upper")
