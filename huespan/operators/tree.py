@@ -7,13 +7,15 @@ a child of an internal node that isn't internal itself (or the root).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huespan.functions import colour
 
-#: Levels whose boxes are tested on a row's own cells, before it is matched with leaves.
-ANCESTORS = (2, 4)
+#: Level whose boxes are tested on a row itself, before it is matched with leaves.
+ANCESTORS = 4
 
 
 def _names(dims: int) -> list[str]:
@@ -75,27 +77,24 @@ def prune(nodes: DataFrame, query: tuple[float, float, float], threshold: float,
     return nodes.withColumn("gap", colour.gap_to_box(query, dims)).where(F.col("gap") <= float(threshold * slack))
 
 
-def _ancestor_near(query: tuple[float, float, float], reach: float, dims: int, level: int) -> Column:
-    """Whether the box of a row's cell on a level comes within reach of the query."""
-    size, total = colour.TOP / (1 << level), F.lit(0.0)
-    for c, q in zip(colour.CHANNELS[:dims], query, strict=False):
-        low = colour.level_cell(F.col(c), level) * F.lit(size)
-        gap = F.greatest(low - q, F.lit(0.0), F.lit(float(q)) - (low + size))
-        total = total + gap * gap
-    return F.sqrt(total) <= float(reach)
+def _ancestor_near(query: tuple[float, float, float], reach: float, dims: int) -> Column:
+    """Whether a row's ancestor on an upper level has a side within reach of the query on every axis: plain bounds, which a scan can use."""
+    size = colour.TOP / (1 << ANCESTORS)
+    lows = [math.floor((q - reach) / size) * size for q in query[:dims]]
+    highs = [(math.floor((q + reach) / size) + 1) * size for q in query[:dims]]
+    return colour.box_contains(tuple(lows), tuple(highs))
 
 
 def candidates(images: DataFrame, query: tuple[float, float, float], threshold: float, cap: int, max_depth: int, dims: int, slack: float = 1.0) -> DataFrame:
     """Images in the leaves that prune() keeps.
 
-    Branch and bound: rows whose ancestors on a few upper levels are out of reach go first, by an expression on the row; the rest
-    are matched with the pruned leaves by an equi-join on level and cell. Rows outside the domain lie in no box and stay candidates.
+    Branch and bound: rows whose ancestors on an upper level are out of reach go first, by an expression on the row, and the tree is
+    built of the rest only, as no other branch is followed. Those rows are matched with the pruned leaves by an equi-join on level and
+    cell; a row in reach lies in a leaf in reach, so none is lost. Rows outside the domain lie in no box and stay candidates.
     """
-    kept = prune(leaves(images, cap, max_depth, dims), query, threshold, dims, slack).select("level", *_names(dims))
     inside = colour.box_contains((0.0,) * dims, (colour.TOP,) * dims)
-    near = images.where(inside)
-    for level in ANCESTORS:
-        near = near.where(_ancestor_near(query, threshold * slack, dims, level))
+    near = images.where(inside & _ancestor_near(query, threshold * slack, dims))
+    kept = prune(leaves(near, cap, max_depth, dims), query, threshold, dims, slack).select("level", *_names(dims))
     levels = near.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
     keyed = levels.select(*images.columns, "level", *_cells(F.col("level"), dims))
     found = keyed.join(kept, ["level", *_names(dims)], "left_semi").select(*images.columns)
