@@ -104,6 +104,12 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.similarity_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 30.0)
 
 
+@query(f"SELECT query_id, id, {_PAIR_D} AS distance FROM {IMG}, (SELECT query_id, {_QRGB} FROM (SELECT p_partkey AS query_id, md5('query_' || p_partkey) AS m FROM part)) WHERE {_PAIR_D} <= 30.0")
+def similarity_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over all parts."""
+    return joins.similarity_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir, None), 30.0)
+
+
 @query(f"SELECT {_ROWS}, {_RANK} FROM {_hits(A)} ORDER BY distance, id LIMIT 10")
 def topk_within_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(search.hits(images(spark, sf_dir), *A), 10)

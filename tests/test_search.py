@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from huespan.functions import colour
 from huespan.operators import grid, joins, quality, reports, search, tree
 from huespan.plans.shape import operators, plan_text, pushed_filters
+from huespan.queries import QUERIES
 from huespan.sources import images as src
 
 COLUMNS = "id long, filename string, r double, g double, b double"
@@ -113,6 +114,12 @@ def test_join_equals_single_searches(spark, sf_images):
     assert joins.similarity_join(sf_images, queries, -1.0).count() == 0
 
 
+def test_join_asks_every_part(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    asked = QUERIES["similarity_join_all"](spark, sf).select("query_id").distinct()
+    assert asked.count() == parts.select("p_partkey").distinct().count()
+
+
 def test_plans(spark):
     df = src.images_from_orders(spark, "/root/testdata/sf0.01")
     assert "BroadcastHashJoin" in plan_text(search.hits(df, (66, 35, 226), 40, "hash_grid"))
