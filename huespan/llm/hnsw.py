@@ -4,7 +4,8 @@ Vectors are dealt to shards of about SHARD_ROWS by the hash of their place in th
 more component that makes all norms equal, so the largest inner product with a query is the smallest distance to it. Nodes draw
 levels as in the published method; on every level each node is linked, in order of insertion, to up to LINKS of the nearest earlier ones that
 the diversity rule keeps (no kept neighbour lies nearer to the candidate than the node does), the links are made mutual,
-and what exceeds a node's room is pruned by the same rule. The candidates of an insertion come from a blocked matrix product
+and what exceeds a node's room is pruned by the same rule. Equal vectors of a shard are one node, which carries all their ids, so copies take no
+room among links or in a beam. The candidates of an insertion come from a blocked matrix product
 over the earlier nodes of the shard, whose size is fixed. A level is stored as flat arrays: its nodes, and LINKS places for each.
 
 A search enters at the top, keeps a beam on every level and a wide one (EF) on the lowest, for a block of queries at once. Every query visits every
@@ -96,33 +97,44 @@ def _evened(original: np.ndarray) -> np.ndarray:
     return np.hstack([original, even[:, None].astype(np.float32)])
 
 
+def _merged(ids: np.ndarray, original: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by distinct vector, where each vector's ids start, and the distinct vectors in order of their first row."""
+    rows = np.ascontiguousarray(original + np.float32(0))  # -0 becomes 0
+    whole = rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1])))[:, 0]
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    node = np.argsort(np.argsort(first))[which]
+    return ids[np.lexsort((ids, node))], np.append(0, np.cumsum(np.bincount(node, minlength=len(first)))).astype(np.int64), rows[np.sort(first)]
+
+
 @dataclass
 class Graph:
     """A shard's graph as flat arrays."""
 
-    ids: np.ndarray  # of the vectors
-    original: np.ndarray  # float32, as given
+    ids: np.ndarray  # of all rows, node by node, ascending in each
+    start: np.ndarray  # where a node's ids start, and the end
+    original: np.ndarray  # float32, as given, one for each node
     vectors: np.ndarray  # with the component that evens the norms
     levels: list[tuple[np.ndarray, np.ndarray]]  # from the lowest: nodes (ascending), neighbours as places among them
 
     @classmethod
     def build(cls, ids: np.ndarray, original: np.ndarray, seed: int = 7) -> Graph:
-        n, vectors = len(ids), _evened(original)
+        ids, start, original = _merged(ids, original)
+        n, vectors = len(original), _evened(original)
         draw = np.random.default_rng(seed).random(n)
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int) if n else np.zeros(0, dtype=int)
         levels = []
         for k in range(int(level.max()) + 1 if n else 0):
             nodes = np.flatnonzero(level >= k)
             levels.append((nodes, _link(vectors[nodes], LINKS * 2 if k == 0 else LINKS)))
-        return cls(ids, original, vectors, levels)
+        return cls(ids, start, original, vectors, levels)
 
     @classmethod
-    def read(cls, ids: bytes, original: bytes, dim: int, levels: list[dict]) -> Graph:
-        """From the columns of build_index()."""
+    def read(cls, ids: bytes, original: bytes, dim: int, levels: list[dict], start: bytes | None = None) -> Graph:
+        """From the columns of build_index(); without start, every node has one id."""
         at = np.frombuffer(ids, dtype=np.int64)
         given = np.frombuffer(original, dtype=np.float32).reshape(-1, dim)
         flat = [(nodes := np.frombuffer(x["nodes"], dtype=np.int64), np.frombuffer(x["links"], dtype=np.int32).reshape(len(nodes), -1)) for x in levels]
-        return cls(at, given, _evened(given), flat)
+        return cls(at, np.arange(len(given) + 1) if start is None else np.frombuffer(start, dtype=np.int64), given, _evened(given), flat)
 
     def search(self, queries: np.ndarray, ef: int = EF) -> np.ndarray:
         """Places (q, ef) of the nearest nodes found for each query, nearest first, -1 padded."""
@@ -177,19 +189,27 @@ def _beam(q: np.ndarray, vectors: np.ndarray, links: np.ndarray, entry: np.ndarr
 def top_of_shard(graph: Graph, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vec_id, score) of each query's best k found in a shard, without rows of its own id."""
     out_q, out_v, out_s = [], [], []
+    by_id = np.sort(graph.ids)
     for lo in range(0, len(queries), QUERY_BLOCK):
         qs, qid = queries[lo : lo + QUERY_BLOCK], query_ids[lo : lo + QUERY_BLOCK]
         found = graph.search(qs, max(ef, k + 1))
         at = np.maximum(found, 0)
         exact = np.einsum("qed,qd->qe", graph.original[at].astype(np.float64), qs.astype(np.float64))
-        ids = graph.ids[at]
-        exact = np.where((found >= 0) & (ids != qid[:, None]), exact, -np.inf)
-        order = np.lexsort((ids, -exact), axis=1)[:, :k]
-        ids, exact = np.take_along_axis(ids, order, axis=1), np.take_along_axis(exact, order, axis=1)
-        r, c = np.nonzero(~np.isneginf(exact))
-        out_q.append(qid[r])
-        out_v.append(ids[r, c])
-        out_s.append(exact[r, c])
+        r, c = np.nonzero(found >= 0)
+        first, size = graph.start[found[r, c]], np.diff(graph.start)[found[r, c]]
+        # A node's smallest ids, k besides the query's own.
+        own = np.searchsorted(by_id, qid, "right") - np.searchsorted(by_id, qid, "left")
+        take = np.minimum(size, k + own[r])
+        place = np.repeat(first - (np.cumsum(take) - take), take) + np.arange(take.sum())
+        row, ids, score = np.repeat(r, take), graph.ids[place], np.repeat(exact[r, c], take)
+        other = ids != qid[row]
+        row, ids, score = row[other], ids[other], score[other]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+        out_q.append(qid[row[best]])
+        out_v.append(ids[best])
+        out_s.append(score[best])
     if not out_q:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
@@ -209,7 +229,7 @@ def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """Written graphs (dim, shard, ids, vectors, levels) of the rows of valid_vectors(), and the number of shards."""
+    """Written graphs (dim, shard, ids, start, vectors, levels) of the rows of valid_vectors(), and the number of shards."""
     shards = max(1, -(-rows.count() // shard_rows))
 
     def build(table: pa.Table) -> pa.Table:
@@ -221,13 +241,14 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFram
                 "dim": pa.array([dim], pa.int32()),
                 "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()),
                 "ids": pa.array([graph.ids.tobytes()], pa.binary()),
+                "start": pa.array([graph.start.tobytes()], pa.binary()),
                 "vectors": pa.array([graph.original.tobytes()], pa.binary()),
                 "levels": pa.array([levels], pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())]))),
             }
         )
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, ids binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"), "graphs"), shards
+    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, ids binary, start binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"), "graphs"), shards
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -243,7 +264,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = EF, shar
         q, v, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         if queries.num_rows and graphs.num_rows:
             dim = queries.column("dim")[0].as_py()
-            graph = Graph.read(graphs.column("ids")[0].as_py(), graphs.column("vectors")[0].as_py(), dim, graphs.column("levels")[0].as_py())
+            graph = Graph.read(graphs.column("ids")[0].as_py(), graphs.column("vectors")[0].as_py(), dim, graphs.column("levels")[0].as_py(), graphs.column("start")[0].as_py())
             q, v, s = top_of_shard(graph, queries.column("query_id").to_numpy(), _rows(queries.column("v"), dim), k, ef)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 

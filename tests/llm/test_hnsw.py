@@ -50,6 +50,23 @@ def test_copies_are_all_found(spark):
     assert [r.score for r in got] == pytest.approx(want)
 
 
+def test_ties_of_many_copies_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=8).tolist()
+    rows = [(int(k), hot if k % 2 == 0 else rng.normal(size=8).tolist()) for k in rng.permutation(1200)]
+    df = spark.createDataFrame([*rows, *[(40, hot)] * 30], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hnsw.nearest(df).where("query_id in (0, 40, 600)").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = np.array([x for _, x in rows], dtype=np.float32).astype(np.float64)
+    ids = np.array([i for i, _ in rows] + [40] * 30)
+    s = np.append(v, np.tile(np.float32(hot).astype(np.float64), (30, 1)), axis=0) @ np.float32(hot).astype(np.float64)
+    for q, found in got.items():
+        keep = ids != q
+        assert [i for i, _ in found] == ids[keep][np.lexsort((ids[keep], -s[keep]))[:20]].tolist()
+    assert len(got) == 3
+
+
 def test_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0], 1), (1, [0.0, 0.0], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [1.0, None], 1), (5, [3.0, 1.0], 1), (20, [1.0, 1.0], 1), (20, [1.0, 1.0], 1), (None, [1.0, 1.0], 1), (6, [1.0, 2.0, 3.0], 1), (7, [], 1), (8, [float("inf"), 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
