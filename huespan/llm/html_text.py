@@ -4,8 +4,9 @@ A tolerant parser builds the tree of a page, without elements that never hold th
 class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Every node then gets its composite
 text density: characters per tag, scaled down the more of them are link text. A node's density sum adds up the densities of its
 children. The search starts at the node with the largest sum; the least density on the path from it to the body is the
-threshold; among the topmost nodes that reach it, the one whose subtree has the largest sum is taken, widened to the article
-that it lies in, or narrowed to the best article inside it. All text of that subtree is returned, block by block.
+threshold. If that node lies in an article, or holds one, the article is taken. Else below every node that reaches the threshold the one with the
+largest sum is marked, and the smallest subtree that covers all marked ones is taken; in it, blocks beside the marked ones that are mostly text of several links are left out.
+All text of what is taken is returned, block by block.
 
 Null, empty and markup-free pages: the empty text, or the text itself. Unclosed tags, tags cut off at the end and references cut short
 are taken as browsers take them. Repeated rows give repeated results. A page is one row's work, linear in its length.
@@ -176,19 +177,7 @@ def main_node(root: Node) -> Node:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    # The largest sum below each node, and the topmost nodes that reach the threshold.
-    top: dict[int, tuple[float, Node]] = {}
-    for n in reversed(nodes):
-        top[id(n)] = max([(n.sum, n), *(top[id(k)] for k in n.items if isinstance(k, Node))], key=lambda x: x[0])
-    found, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        if n.density >= threshold:
-            found.append(top[id(n)])
-        else:
-            todo.extend(k for k in n.items if isinstance(k, Node))
-    chosen = max(found, key=lambda x: x[0])[1] if found else best
-    up = chosen
+    up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     if up is not None:
@@ -198,13 +187,52 @@ def main_node(root: Node) -> Node:
                 up = outer
             outer = outer.parent
         return up
-    inner = [n for n in _order(chosen) if n.tag in ("article", "main") and n.chars]
+    inner = [n for n in _order(best) if n.tag in ("article", "main") and n.chars]
     if inner:
         return max(inner, key=lambda n: n.chars)
-    # No article: what is more than a block's inline part.
-    while chosen.parent is not None and chosen.tag not in ("div", "section", "td", "body"):
-        chosen = chosen.parent
-    return chosen
+    return _covering(nodes, _block(best), threshold)
+
+
+def _block(node: Node) -> Node:
+    """What is more than a block's inline part."""
+    while node.parent is not None and node.tag not in ("div", "section", "td", "body"):
+        node = node.parent
+    return node
+
+
+def _covering(nodes: list[Node], best: Node, threshold: float) -> Node:
+    """The smallest block that covers best and every other subtree marked, without blocks of several links between these."""
+    # The largest sum below each node.
+    top: dict[int, tuple[float, Node]] = {}
+    for n in reversed(nodes):
+        top[id(n)] = max([(n.sum, n), *(top[id(k)] for k in n.items if isinstance(k, Node))], key=lambda x: x[0])
+    marked, todo = {id(best)}, [nodes[0]]
+    while todo:
+        n = todo.pop()
+        if id(n) in marked or n.density < threshold or not n.chars:
+            continue
+        marked.add(id(top[id(n)][1]))
+        todo.extend(k for k in n.items if isinstance(k, Node))
+    holds: dict[int, int] = {}  # marked nodes in each subtree
+    for n in reversed(nodes):
+        holds[id(n)] = (id(n) in marked) + sum(holds[id(k)] for k in n.items if isinstance(k, Node))
+    cover, down = nodes[0], nodes[0]
+    while down is not None:
+        cover = down
+        down = None if id(cover) in marked else next((k for k in cover.items if isinstance(k, Node) and holds[id(k)] == holds[id(nodes[0])]), None)
+    cover = _block(cover)
+    todo = [cover]
+    while todo:
+        n = todo.pop()
+        if id(n) in marked:
+            continue
+        for at, k in enumerate(n.items):
+            if isinstance(k, Node):
+                if holds[id(k)]:
+                    todo.append(k)
+                elif k.tag in BLOCK and k.density < threshold and k.link_tags > 2 and 2 * k.link_chars > k.chars:
+                    n.items[at] = Node("hr", n)
+    return cover
 
 
 def blocks(node: Node) -> list[str]:

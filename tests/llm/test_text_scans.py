@@ -42,6 +42,22 @@ def test_density_finds_the_text_among_links():
     assert html_text.main_text(page).startswith("Real prose") and "entry" not in html_text.main_text(page)
 
 
+def prose(n, word):
+    return "".join(f"<p>{(word + ' ') * 60}</p>" for _ in range(n))
+
+
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_sections_without_an_article_come_out_whole(tag):
+    parts = [prose(n, w) for n, w in ((5, "alpha"), (4, "gamma"), (6, "delta"))]
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>entry {k}</a></li>" for k in range(30)) + "</ul>"
+    inner = f"<h1>The title</h1>{''.join(f'<{tag}>{x}</{tag}>' for x in parts)}"
+    got = html_text.main_text(f"<body><div>{inner}</div></body>")
+    assert got.splitlines() == ["The title", *[" ".join([w] * 60) for n, w in ((5, "alpha"), (4, "gamma"), (6, "delta")) for _ in range(n)]]
+    assert html_text.main_text(f"<body><div>{links}</div><div>{inner}</div></body>") == got
+    assert html_text.main_text(f"<body>{inner}{links}</body>") == got
+    assert html_text.main_text(f"<body><div>{inner.replace('The title', '<a href=/>The title</a>')}</div></body>") == got
+
+
 @pytest.mark.parametrize("page", ["<" * 20_000 + '"', "<div " * 5000, '<a href="x' * 5000, "<div>" * 3000 + "x", "<p>" * 5000 + "y", "<!--" * 5000, "<b>" * 3000 + "<p>z"])
 def test_hostile_pages_end(page):
     html_text.main_text(page)
