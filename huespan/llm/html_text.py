@@ -1,7 +1,8 @@
 """6. HTML extraction by composite text density.
 
 A tolerant parser builds the tree of a page, without elements that never hold the main text (by tag, role or
-class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Every node then gets its composite
+class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments). An element with such a class or id stays if the page's article,
+or most of its text, lies in it. Every node then gets its composite
 text density: characters per tag, scaled down the more of them are link text. A node's density sum adds up the densities of its
 children. The search starts at the node with the largest sum; the least density on the path from it to the body is the
 threshold. If that node lies in an article, or holds one, the article is taken. Else below every node that reaches the threshold the one with the
@@ -37,6 +38,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side|menus?|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|warnings?|popups?|modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|login|search|copyright|legal|disclaimer|skip|tags?|rating)(?:$|[\s_-])"
 )
+#: Parts of a class that say something about the page, not what the element is: no-sidebar, with-header, tag-travel.
+MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|category|tag(?![_-]+(?:cloud|links?|list)(?![^\s_-])))[_-]\S*")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(
@@ -46,35 +49,41 @@ _TOKEN = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "junk", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []  # children and stretches of text, in order
+        self.junk = False  # by class or id
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _junk(tag: str, attrs: str) -> bool:
+def _junk(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element never holds the main text, and whether its class or id says so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     low = attrs.lower()
     if HIDDEN.search(low):
-        return True
+        return True, False
+    named = False
     for name, a, b, c in _ATTR.findall(low):
         value = a or b or c
-        if value in ROLES if name == "role" else JUNK.search(value):
-            return True
-    return False
+        if name == "role":
+            if value in ROLES:
+                return True, False
+        elif JUNK.search(value):
+            named = named or JUNK.search(MODIFIED.sub("", value)) is not None
+    return False, named
 
 
 def parse(page: str) -> Node:
     """The tree of a page without the elements that never hold the main text."""
     root = node = Node("body", None)
     skip: list[str] = []  # open tags inside a dropped element, which is the first
-    at = 0
+    at, flagged = 0, False
 
     def text(s: str) -> None:
         if s and not skip:
@@ -127,15 +136,20 @@ def parse(page: str) -> Node:
             child = Node(tag, node)
             node.items.append(child)
             continue
-        if _junk(tag, attrs):
+        dropped, named = _junk(tag, attrs)
+        if dropped:
             if not attrs.rstrip().endswith("/"):
                 skip.append(tag)
             node.items.append(Node("hr", node))  # what stood there parts the text
             continue
         child = Node(tag, node)
+        child.junk = named
+        flagged = flagged or named
         node.items.append(child)
         node = child
     text(page[at:])
+    if flagged:
+        _prune(root)
     return root
 
 
@@ -147,6 +161,58 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _prune(root: Node) -> None:
+    """Drops the elements whose class or id is junk, less those that hold the page's article or most of its text."""
+    nodes = _order(root)
+    plain: dict[int, int] = {}  # characters outside links
+    most: dict[int, int] = {}  # of them, those of the largest article in a subtree
+    clear: dict[int, int] = {}  # and those outside junk
+    for n in reversed(nodes):
+        kids = [k for k in n.items if isinstance(k, Node)]
+        own = 0 if n.tag == "a" else sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
+        plain[id(n)] = 0 if n.tag == "a" else own + sum(plain[id(k)] for k in kids)
+        clear[id(n)] = 0 if n.tag == "a" else own + sum(clear[id(k)] for k in kids if not k.junk)
+        most[id(n)] = max(plain[id(n)] if n.tag in ("article", "main") else 0, *(most[id(k)] for k in kids), 0)
+
+    def survey(start: list[Node]) -> tuple[list[Node], bool]:
+        """The topmost junk below nodes, and whether an article with text of its own lies outside it."""
+        junk, seen, todo = [], False, list(start)
+        while todo:
+            n = todo.pop()
+            if n.junk:
+                junk.append(n)
+            else:
+                seen = seen or (n.tag in ("article", "main") and clear[id(n)] > 0)
+                todo.extend(k for k in n.items if isinstance(k, Node))
+        return junk, seen
+
+    # No article is left: keep what holds the largest one.
+    junk, seen = survey([root])
+    while not seen and (best := max(junk, key=lambda n: most[id(n)], default=None)) is not None and most[id(best)]:
+        best.junk = False
+        more, seen = survey([best])
+        junk = [n for n in junk if n is not best] + more
+    # Most of the text: keep that, unless another article has text of its own.
+    articles, todo = 0, [root]
+    while todo:
+        n = todo.pop()
+        if not n.junk:
+            articles += n.tag in ("article", "main") and clear[id(n)] > 0
+            todo.extend(k for k in n.items if isinstance(k, Node))
+    outer: list[tuple[Node, int]] = [(root, 0)]  # with the number of such articles around it
+    while outer:
+        n, around = outer.pop()
+        around += n.tag in ("article", "main") and clear[id(n)] > 0
+        for at, k in enumerate(n.items):
+            if not isinstance(k, Node):
+                continue
+            large = 2 * most[id(k)] > plain[id(root)]
+            if k.junk and not large and (around < articles or 2 * plain[id(k)] <= plain[id(root)]):
+                n.items[at] = Node("hr", n)  # what stood there parts the text
+            else:
+                outer.append((k, around))
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of every node; the nodes, parents before children."""
     nodes = _order(root)

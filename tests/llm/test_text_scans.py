@@ -42,6 +42,18 @@ def test_density_finds_the_text_among_links():
     assert html_text.main_text(page).startswith("Real prose") and "entry" not in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout with-sidebar", "entry has-header", "post tag-travel", "page_with_nav", "search-results", "share"])
+@pytest.mark.parametrize("page", ["<div class='{}'><article><p>the text of it</p></article></div>", "<div id='{}'><p>the text of it</p></div><p>x</p>", "<article><h1>T</h1><div class='{}'><p>the text of it</p></div></article>"])
+def test_junk_names_do_not_take_the_article(name, page):
+    assert "the text of it" in html_text.main_text(page.format(name)).splitlines()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "comments-area", "site-footer", "tag-cloud", "sidebar-no-border", "tags"])
+def test_junk_still_goes(name):
+    assert html_text.main_text(f"<div class='x'><p>the main text</p></div><div class='{name}'><p>gone</p></div>") == "the main text"
+    assert html_text.main_text(f"<main><article><p>short</p></article><div class='{name}'><article>one longer one</article><article>another longer one</article></div></main>") == "short"
+
+
 def prose(n, word):
     return "".join(f"<p>{(word + ' ') * 60}</p>" for _ in range(n))
 
