@@ -1,8 +1,8 @@
 """7. License scan by ordered signature rules.
 
 A text becomes a line of lower-case words with one space around each, so rules are regular expressions over
-words that punctuation, line ends and comment signs don't disturb. Every rule names a keyword; one Aho-Corasick pass
-finds the keywords of a text, and only rules whose keyword it holds are tried. Detections are then ordered by priority
+words that punctuation, line ends and comment signs don't disturb. Every rule names keywords, one of which each of its matches holds; one Aho-Corasick pass
+finds the keywords of a text, and only rules with a keyword that it holds are tried. Detections are then ordered by priority
 (whole notices over tags, tags over names, names with a version over bare ones), longer before shorter, earlier before later, and one whose interval
 lies inside that of a detection before it is suppressed.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 # The two-way phrases of the base labels.
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
-# Licences: label, keyword, name as a pattern over words, tags of the SPDX list as words, addresses as words.
+# Licences: label, keywords, name as a pattern over words, tags of the SPDX list as words, addresses as words.
 FAMILIES = [
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: x11)?", "mit", r"opensource org licenses mit(?: license)?"),
+    ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?: x11)?", "mit", r"opensource org licenses mit(?: license)?"),
     ("mit-0", "mit", r"mit (?:no attribution|0)", "mit 0", r"github com aws mit 0"),
     ("apache-1.0", "apache", r"apache(?: software)? license(?: version)? 1 0", "apache 1 0", r"www apache org licenses license 1 0"),
     ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 1", "apache 1 1", r"www apache org licenses license 1 1"),
@@ -42,7 +42,7 @@ FAMILIES = [
     ("gfdl-1.1", "documentation", r"gnu free documentation license(?: version)? 1 1", "gfdl 1 1", r"gnu org licenses(?: old licenses)? fdl 1 1"),
     ("gfdl-1.2", "documentation", r"gnu free documentation license(?: version)? 1 2", "gfdl 1 2", r"gnu org licenses(?: old licenses)? fdl 1 2"),
     ("gfdl-1.3", "documentation", r"gnu free documentation license(?: version)? 1 3", "gfdl 1 3", r"gnu org licenses fdl(?: 1 3)?"),
-    ("bsd-0-clause", "bsd", r"(?:zero clause|0 clause|0)(?: bsd)?", "0bsd", r"opensource org licenses 0bsd"),
+    ("bsd-0-clause", "zero clause|0 clause|0 bsd", r"(?:zero clause|0 clause)(?: bsd)?|0 bsd", "0bsd", r"opensource org licenses 0bsd"),
     ("bsd-1-clause", "bsd", r"bsd 1 clause", "bsd 1 clause", r"opensource org licenses bsd 1 clause"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|two clause|2 clause)(?: bsd)|bsd 2 clause", "bsd 2 clause", r"opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|three clause|3 clause)(?: bsd)|bsd 3 clause", "bsd 3 clause", r"opensource org licenses bsd 3 clause"),
@@ -58,8 +58,8 @@ FAMILIES = [
     ("epl-1.0", "eclipse", r"eclipse public license(?: version| v)?(?: ?1(?: 0)?)?", "epl 1 0", r"eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", r"eclipse public license(?: version| v)? ?2(?: 0)?", "epl 2 0", r"eclipse org legal epl(?: v20| 2 0)"),
     ("edl-1.0", "eclipse", r"eclipse distribution license(?: version| v)? ?1(?: 0)?", "edl 1 0", r"eclipse org org documents edl v10"),
-    ("cddl-1.0", "cddl", r"(?:common development and distribution license|cddl)(?: version)?(?: ?1(?: 0)?)?", "cddl 1 0", r"opensource org licenses cddl(?: 1 0)?"),
-    ("cddl-1.1", "cddl", r"(?:common development and distribution license|cddl)(?: version)? ?1 1", "cddl 1 1", r"glassfish dev java net public cddl gpl 1 1"),
+    ("cddl-1.0", "cddl|common development", r"(?:common development and distribution license|cddl)(?: version)?(?: ?1(?: 0)?)?", "cddl 1 0", r"opensource org licenses cddl(?: 1 0)?"),
+    ("cddl-1.1", "cddl|common development", r"(?:common development and distribution license|cddl)(?: version)? ?1 1", "cddl 1 1", r"glassfish dev java net public cddl gpl 1 1"),
     ("cpl-1.0", "common", r"common public license(?: version)?(?: ?1(?: 0)?)?", "cpl 1 0", r"opensource org licenses cpl"),
     ("ipl-1.0", "ibm", r"ibm public license(?: version)?(?: ?1(?: 0)?)?", "ipl 1 0", r"opensource org licenses ibmpl"),
     ("eupl-1.1", "european", r"european union public licen[cs]e(?: version| v)? ?1 1", "eupl 1 1", r"joinup ec europa eu software page eupl"),
@@ -100,7 +100,7 @@ FAMILIES = [
     ("elastic-2.0", "elastic", r"elastic(?: license)?(?: 2 0)?", "elastic 2 0", r"www elastic co licensing elastic license"),
 ]
 
-# Notices: label, keyword, sentence as a pattern over words.
+# Notices: label, keywords, sentence as a pattern over words.
 NOTICES = [
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "noninfringement", r"the software is provided as is without warranty of any kind express or implied(?: \S+){0,20} noninfringement"),
@@ -111,11 +111,11 @@ NOTICES = [
     ("apache-2.0", "apache", r"licensed under the apache license version 2 0(?: the license you may not use this file except in compliance with the license)?"),
     ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
     ("gpl", "redistribute", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl-2.0-or-later", "redistribute", r"gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2.0-or-later", "later", r"gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl-3.0-or-later", "later", r"gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)? (?:version|v) ?2(?: 0)?"),
     ("gpl-3.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)? (?:version|v) ?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public license (?:version|v) ?2 1"),
+    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public license (?:version|v) ?2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license (?:version|v) ?3(?: 0)?"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license (?:version|v) ?3(?: 0)?"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -134,7 +134,7 @@ NOTICES = [
     ("dual", "dual", r"dual licensed under(?: \S+){1,10}"),
 ]
 
-# Families without a version: label, keyword, pattern.
+# Families without a version: label, keywords, pattern.
 GENERIC = [
     ("gpl", "general", r"(?:gnu )?general public license"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
@@ -154,7 +154,7 @@ KINDS = {"notice": (0, 0.9), "tag": (1, 0.95), "address": (2, 0.85), "grant": (3
 class Rule:
     name: str
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]  # every match holds one of them
     pattern: re.Pattern[bytes]
     priority: int
     worth: float
@@ -170,7 +170,7 @@ def build_rules() -> list[Rule]:
             ("grant", label, key, rf"(?:licensed|released|distributed|available|provided|published|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{name})(?: licen[cs]e)?(?: version \d+(?: \d+)*)?"),
             ("name", label, key, rf"(?:{name}) licen[cs]e" if "licen" not in name else rf"(?:{name})"),
         ]
-    rules = [Rule(f"{kind}-{k}", label, key.encode(), re.compile(b"(?<= )(?:" + p.encode() + b")(?= )"), KINDS[kind][0], KINDS[kind][1]) for k, (kind, label, key, p) in enumerate(found)]
+    rules = [Rule(f"{kind}-{k}", label, tuple(key.encode().split(b"|")), re.compile(b"(?<= )(?:" + p.encode() + b")(?= )"), KINDS[kind][0], KINDS[kind][1]) for k, (kind, label, key, p) in enumerate(found)]
     return sorted(rules, key=lambda r: r.priority)
 
 
@@ -185,7 +185,8 @@ class Scanner:
         self.rules = build_rules() if rules is None else rules
         self.by_key: dict[bytes, list[int]] = {}
         for k, r in enumerate(self.rules):
-            self.by_key.setdefault(r.keyword, []).append(k)
+            for key in r.keywords:
+                self.by_key.setdefault(key, []).append(k)
         self.keys = ahocorasick.Automaton()
         for key in self.by_key:
             self.keys.add_word(key.decode("latin-1"), key)
@@ -198,7 +199,7 @@ class Scanner:
         """Detections (start, end, rule) of a line of words that survive suppression, best first."""
         keys = {key for _, key in self.keys.iter(line.decode("latin-1"))}
         found = []
-        for k in sorted(k for key in keys for k in self.by_key[key]):
+        for k in sorted({k for key in keys for k in self.by_key[key]}):
             rule = self.rules[k]
             found += [(rule.priority, m.start() - m.end(), m.start(), k, m.end()) for m in rule.pattern.finditer(line)]
         found.sort()

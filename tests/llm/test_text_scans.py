@@ -128,6 +128,42 @@ def test_there_are_hundreds_of_rules_and_suppression_leaves_no_contained_one():
         assert not any((a, b) != (s, e) and a <= s and e <= b and q.priority <= r.priority for a, b, q in kept)
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Common Development and Distribution License 1.0", "cddl-1.0"),
+        ("Common Development and Distribution License 1.1", "cddl-1.1"),
+        ("released under the Expat license", "mit"),
+        ("the Expat license", "mit"),
+        ("under the Zero-Clause License", "bsd-0-clause"),
+        ("GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gpl-2.0-or-later"),
+        ("GNU Library General Public License version 2.1", "lgpl-2.1"),
+    ],
+)
+def test_texts_without_the_usual_keyword(text, label):
+    assert label in scan(text)["labels"]
+
+
+def test_other_licences_with_a_zero_are_no_zero_clause_one():
+    assert scan("the Foo 2.0 License, not BSD")["labels"] == []
+
+
+def holds(parsed, keys, run=b""):
+    """Whether every text that matches a parsed pattern, after run, holds one of the keys."""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "SUBPATTERN" and holds(arg[3], keys, run) or kind == "BRANCH" and all(holds(x, keys, run) for x in arg[1]) or kind == "MAX_REPEAT" and arg[0] and holds(arg[2], keys):
+            return True
+        run = run + bytes([arg]) if kind == "LITERAL" else b""
+        if any(k in run for k in keys):
+            return True
+    return False
+
+
+def test_every_match_of_a_rule_holds_a_keyword():
+    assert [r.name for r in licenses.build_rules() if not holds(re._parser.parse(r.pattern.pattern), r.keywords)] == []
+
+
 def test_base_places_against_plain_search(rnd):
     words = ["mit", "license", "apache", "general", "public", "gnu", "É", "x1"]
     marks = [" ", ", ", "\n", "-", "\x7f", "  ", "é ", " "]
