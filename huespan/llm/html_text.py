@@ -1,16 +1,20 @@
 """6. HTML extraction by composite text density.
 
-A tolerant parser builds the tree of a page, without elements that never hold the main text (by tag, role or
-class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments). An element with such a class or id stays if the page's article,
-or most of its text, lies in it. Every node then gets its composite
-text density: characters per tag, scaled down the more of them are link text. A node's density sum adds up the densities of its
+A tolerant parser builds the tree of a page. Elements that hold no text of the page (scripts, styles, controls, hidden ones) go at once. Menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments, known by tag, role or class, go unless the page's text lies in them: a weak sign
+(a class, a form) is overruled by more than half of the text outside links or by the page's only article, a strong one (nav, header, footer,
+aside, comments) by nine tenths of that text. A heading in the header of an article belongs to the article.
+
+Every node then gets its composite text density: characters per tag, scaled down the more of them are link text. A node's density sum adds up the densities of its
 children. The search starts at the node with the largest sum; the least density on the path from it to the body is the
-threshold. If that node lies in an article, or holds one, the article is taken. Else below every node that reaches the threshold the one with the
+threshold. Below every node that reaches the threshold the one with the
 largest sum is marked, and the smallest subtree that covers all marked ones is taken; in it, blocks beside the marked ones that are mostly text of several links are left out.
+If the node with the largest sum lies in an article, or an article makes up most of it, all outermost articles that reach the threshold are taken in its place.
 All text of what is taken is returned, block by block.
 
 Null, empty and markup-free pages: the empty text, or the text itself. Unclosed tags, tags cut off at the end and references cut short
-are taken as browsers take them. Repeated rows give repeated results. A page is one row's work, linear in its length.
+are taken as browsers take them. Repeated rows, and null ids, give results of their own; columns named as a result are replaced, others don't matter. Ties of sums go to the outer, then
+to the first node. An empty table gives an empty one. A page is one row's work, linear in its length, however deep its tags are nested.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,124 +36,119 @@ CLOSES_P = BLOCK - frozenset("caption legend summary tbody td tfoot th thead tr
 #: An opening tag closes an open one of these, up to the nearest of the tags that bound it.
 SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article aside body button div footer form header html main nav section table td th ul ol dl li blockquote".split())
-# What never holds the main text.
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas select button textarea dialog menu audio video map".split())
+# What holds no text of the page, and what holds it only by mistake.
+EMPTY = frozenset("head script style noscript template iframe object svg canvas select option button input textarea audio video map title".split())
+ASIDE = frozenset("nav header footer aside dialog menu".split())
+IN_HEAD = frozenset("meta link title base script style noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side|menus?|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|warnings?|popups?|modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|login|search|copyright|legal|disclaimer|skip|tags?|rating)(?:$|[\s_-])"
 )
-#: Parts of a class that say something about the page, not what the element is: no-sidebar, with-header, tag-travel.
-MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|category|tag(?![_-]+(?:cloud|links?|list)(?![^\s_-])))[_-]\S*")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true")
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+COMMENTS = re.compile(r"(?:^|\s)(?:[\w-]*[_-])?(?:comments?|commentlist|disqus|replies|respond)(?:[_-](?:area|list|section|thread|wrap|wrapper|container|block|box|body|form|content))?(?:$|\s)")
+#: Parts of a class that say something about the page, not what the element is: no-sidebar, with-header, tag-travel, comments-open.
+MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:no|not|non|with|without|has|hide|category|tag(?![_-]+(?:cloud|links?|list)(?![^\s_-])))[_-]\S*|\S+[_-](?:enabled|disabled|open|closed|on|off)(?!\S))")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile("class|id|role|hidden|style")
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|>)|<(script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</[^>]*>|<[a-z!/?][^>]*\Z|<!--.*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+#: How sure a sign is that an element isn't the page's text, and the share of that text, in tenths, from which the sign is overruled.
+WEAK, STRONG = 1, 2
+OVERRULED = {WEAK: 5, STRONG: 9}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "junk", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "junk", "empty", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []  # children and stretches of text, in order
-        self.junk = False  # by class or id
+        self.junk, self.empty = 0, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
+    def kids(self) -> list[Node]:
+        return [x for x in self.items if isinstance(x, Node)]
+
 
-def _junk(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element never holds the main text, and whether its class or id says so."""
-    if tag in DROPPED:
-        return True, False
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
-    low = attrs.lower()
-    if HIDDEN.search(low):
-        return True, False
-    named = False
+def _judged(node: Node, attrs: str) -> None:
+    """Sets junk and empty from an element's tag and attributes."""
+    tag = node.tag
+    node.empty = tag in EMPTY
+    node.junk = STRONG if tag in ASIDE else WEAK if tag == "form" else 0
+    if not attrs or not _TELLING.search(low := attrs.lower()):
+        return
     for name, a, b, c in _ATTR.findall(low):
         value = a or b or c
-        if name == "role":
-            if value in ROLES:
-                return True, False
-        elif JUNK.search(value):
-            named = named or JUNK.search(MODIFIED.sub("", value)) is not None
-    return False, named
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            node.empty = True
+        elif name == "role" and value in ROLES:
+            node.junk = WEAK if value in ("form", "search") else STRONG
+        elif name in ("class", "id") and tag not in ("article", "main") and JUNK.search(value) and JUNK.search(plain := MODIFIED.sub("", value)):
+            node.junk = max(node.junk, STRONG if COMMENTS.search(plain) else WEAK)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without the elements that never hold the main text."""
-    root = node = Node("body", None)
-    skip: list[str] = []  # open tags inside a dropped element, which is the first
-    at, flagged = 0, False
+    """The whole tree of a page, junk and empty elements marked.
+
+    Open elements are a stack; for each tag the places on it are kept, so closing one costs what it closes."""
+    root = Node("body", None)
+    stack = [root]
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            gone = stack.pop().tag
+            places[gone].pop()
+            if gone in SCOPE:
+                scopes.pop()
 
     def text(s: str) -> None:
-        if s and not skip:
-            node.items.append(html_lib.unescape(s) if "&" in s else s)
+        if s:
+            if places.get("head") and s.strip():
+                close(places["head"][-1])
+            stack[-1].items.append(html_lib.unescape(s) if "&" in s else s)
 
+    at = 0
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         name = m[3] or m[6]
         if name is None:
             continue
-        tag, attrs, closing = name.lower(), m[4] or m[7] or "", (m[2] or m[5]) == "/"
-        if skip:
-            if closing:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                elif tag in ("body", "html", "article", "main"):  # left open by mistake
-                    skip.clear()
-            elif tag not in VOID and not attrs.rstrip().endswith("/"):
-                if not (tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and skip[-1] == tag):
-                    skip.append(tag)
-            if skip or not closing or tag not in ("body", "html", "article", "main"):
-                continue
-        if closing:
-            if tag in ("body", "html"):
-                continue
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            continue
+        tag, attrs = name.lower(), m[4] or m[7] or ""
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in SCOPE:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if (m[2] or m[5]) == "/":
+            if found := places.get(tag):
+                close(found[-1])
+            continue
+        if tag not in IN_HEAD and places.get("head"):
+            close(places["head"][-1])
+        if tag in CLOSES_P and places.get("p") and places["p"][-1] > (scopes[-1] if scopes else 0):
+            close(places["p"][-1])
         if tag in SAME:
             same, bound = SAME[tag]
-            up = node
-            while up is not root and up.tag not in same and up.tag not in bound:
-                up = up.parent
-            if up.tag in same and up is not root:
-                node = up.parent
+            if (of := last(same)) > last(bound):
+                close(of)
+        node = Node(tag, stack[-1])
+        stack[-1].items.append(node)
         if tag in VOID:
-            child = Node(tag, node)
-            node.items.append(child)
             continue
-        dropped, named = _junk(tag, attrs)
-        if dropped:
-            if not attrs.rstrip().endswith("/"):
-                skip.append(tag)
-            node.items.append(Node("hr", node))  # what stood there parts the text
+        _judged(node, attrs)
+        if attrs.rstrip().endswith("/") and (node.empty or node.junk):
             continue
-        child = Node(tag, node)
-        child.junk = named
-        flagged = flagged or named
-        node.items.append(child)
-        node = child
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(node)
     text(page[at:])
-    if flagged:
-        _prune(root)
     return root
 
 
@@ -157,69 +156,77 @@ def _order(root: Node) -> list[Node]:
     """Nodes, parents before children."""
     out = [root]
     for n in out:
-        out.extend(x for x in n.items if isinstance(x, Node))
+        out.extend(n.kids())
     return out
 
 
-def _prune(root: Node) -> None:
-    """Drops the elements whose class or id is junk, less those that hold the page's article or most of its text."""
+def _length(n: Node) -> int:
+    """Characters of a node's own text."""
+    return sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
+
+
+def prune(root: Node) -> Node:
+    """Drops empty and junk elements, less those that hold the page's text; what stood there parts the text around it."""
+    for n in _order(root):
+        n.items = [Node("hr", n) if isinstance(x, Node) and x.empty else x for x in n.items]
     nodes = _order(root)
+    if not any(n.junk for n in nodes):
+        return root
     plain: dict[int, int] = {}  # characters outside links
-    most: dict[int, int] = {}  # of them, those of the largest article in a subtree
-    clear: dict[int, int] = {}  # and those outside junk
+    clear: dict[int, int] = {}  # of them, those outside junk
+    most: dict[int, int] = {}  # and those of the largest article of a subtree that no strong sign is around
+    free: dict[int, int] = {}  # articles with clear text below a node, none of them in junk
+    within = {id(root): 0}  # the strongest sign around a node
+    for n in nodes:
+        for k in n.kids():
+            within[id(k)] = max(within[id(n)], k.junk)
+    article = lambda n: n.tag in ("article", "main")
     for n in reversed(nodes):
-        kids = [k for k in n.items if isinstance(k, Node)]
-        own = 0 if n.tag == "a" else sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
-        plain[id(n)] = 0 if n.tag == "a" else own + sum(plain[id(k)] for k in kids)
-        clear[id(n)] = 0 if n.tag == "a" else own + sum(clear[id(k)] for k in kids if not k.junk)
-        most[id(n)] = max(plain[id(n)] if n.tag in ("article", "main") else 0, *(most[id(k)] for k in kids), 0)
-
-    def survey(start: list[Node]) -> tuple[list[Node], bool]:
-        """The topmost junk below nodes, and whether an article with text of its own lies outside it."""
-        junk, seen, todo = [], False, list(start)
-        while todo:
-            n = todo.pop()
-            if n.junk:
-                junk.append(n)
-            else:
-                seen = seen or (n.tag in ("article", "main") and clear[id(n)] > 0)
-                todo.extend(k for k in n.items if isinstance(k, Node))
-        return junk, seen
-
-    # No article is left: keep what holds the largest one.
-    junk, seen = survey([root])
-    while not seen and (best := max(junk, key=lambda n: most[id(n)], default=None)) is not None and most[id(best)]:
-        best.junk = False
-        more, seen = survey([best])
-        junk = [n for n in junk if n is not best] + more
-    # Most of the text: keep that, unless another article has text of its own.
-    articles, todo = 0, [root]
+        kids, own = n.kids(), 0 if n.tag == "a" else _length(n)
+        plain[id(n)] = own + sum(plain[id(k)] for k in kids) if n.tag != "a" else 0
+        clear[id(n)] = own + sum(clear[id(k)] for k in kids if not k.junk) if n.tag != "a" else 0
+        most[id(n)] = max(plain[id(n)] if article(n) and within[id(n)] < STRONG else 0, *(most[id(k)] for k in kids), 0)
+        free[id(n)] = sum(free[id(k)] + (article(k) and clear[id(k)] > 0) for k in kids if not k.junk)
+    # Without an article outside junk, the largest one overrules the weak signs around it.
+    if not free[id(root)] and most[id(root)]:
+        held, signs = root, 0
+        while held is not None:
+            signs, held.junk = signs + held.junk, 0
+            held = next((k for k in held.kids() if most[id(k)] == most[id(root)]), None) if not article(held) else None
+        if signs:
+            return prune(root)
+    todo = [(root, root)]  # a node, and the article around it
     while todo:
-        n = todo.pop()
-        if not n.junk:
-            articles += n.tag in ("article", "main") and clear[id(n)] > 0
-            todo.extend(k for k in n.items if isinstance(k, Node))
-    outer: list[tuple[Node, int]] = [(root, 0)]  # with the number of such articles around it
-    while outer:
-        n, around = outer.pop()
-        around += n.tag in ("article", "main") and clear[id(n)] > 0
+        n, around = todo.pop()
+        around = n if article(n) else around
         for at, k in enumerate(n.items):
             if not isinstance(k, Node):
                 continue
-            large = 2 * most[id(k)] > plain[id(root)]
-            if k.junk and not large and (around < articles or 2 * plain[id(k)] <= plain[id(root)]):
-                n.items[at] = Node("hr", n)  # what stood there parts the text
+            if k.junk and (free[id(around)] or 10 * plain[id(k)] <= OVERRULED[k.junk] * plain[id(around)]):
+                heads = _headings(k) if k.tag == "header" and _in_article(n) else []
+                k = n.items[at] = Node("hr" if not heads else "div", n)  # noqa: PLW2901
+                k.items = [*heads]
+                for h in heads:
+                    h.parent = k
             else:
-                outer.append((k, around))
+                todo.append((k, around))
+    return root
+
+
+def _in_article(n: Node | None) -> bool:
+    return n is not None and (n.tag in ("article", "main") or n.tag in ("div", "section") and n.parent is not None and n.parent.tag in ("article", "main"))
+
+
+def _headings(node: Node) -> list[Node]:
+    return [n for n in _order(node) if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6")]
 
 
 def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of every node; the nodes, parents before children."""
     nodes = _order(root)
     for n in reversed(nodes):
-        own = sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
-        kids = [x for x in n.items if isinstance(x, Node)]
-        n.chars = own + sum(k.chars for k in kids)
+        kids = n.kids()
+        n.chars = _length(n) + sum(k.chars for k in kids)
         n.tags = len(kids) + sum(k.tags for k in kids)
         n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in kids)
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
@@ -230,12 +237,12 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(1, c - lc) * lc + l_body / c_body * c + math.e)
             n.density = c / t * math.log(max(c / max(1, lc) * t / max(1, lt), 1.0000001)) / math.log(max(base, 1.0000001)) if base > 1 else c / t
     for n in nodes:
-        n.sum = sum(k.density for k in n.items if isinstance(k, Node)) + sum(1.0 for x in n.items if isinstance(x, str) and x.strip())
+        n.sum = sum(k.density for k in n.kids()) + sum(1.0 for x in n.items if isinstance(x, str) and x.strip())
     return nodes
 
 
-def main_node(root: Node) -> Node:
-    """The subtree that holds the main text."""
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order."""
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.sum)  # the first of equals, so the outer one
     path, up = [], best
@@ -243,20 +250,18 @@ def main_node(root: Node) -> Node:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:
-        outer = up.parent
-        while outer is not None:  # an article inside an article belongs to it
-            if outer.tag in ("article", "main"):
-                up = outer
-            outer = outer.parent
-        return up
-    inner = [n for n in _order(best) if n.tag in ("article", "main") and n.chars]
-    if inner:
-        return max(inner, key=lambda n: n.chars)
-    return _covering(nodes, _block(best), threshold)
+    outer, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("article", "main") and n.chars:
+            outer.append(n)
+        else:
+            todo.extend(reversed(n.kids()))
+    held = {id(n) for n in path}
+    inside = {id(n) for n in _order(best)}
+    if any(id(n) in held for n in outer) or 2 * sum(n.chars for n in outer if id(n) in inside) > best.chars:
+        return [n for n in outer if n.density >= threshold or id(n) in held]
+    return [_covering(nodes, _block(best), threshold)]
 
 
 def _block(node: Node) -> Node:
@@ -271,21 +276,21 @@ def _covering(nodes: list[Node], best: Node, threshold: float) -> Node:
     # The largest sum below each node.
     top: dict[int, tuple[float, Node]] = {}
     for n in reversed(nodes):
-        top[id(n)] = max([(n.sum, n), *(top[id(k)] for k in n.items if isinstance(k, Node))], key=lambda x: x[0])
+        top[id(n)] = max([(n.sum, n), *(top[id(k)] for k in n.kids())], key=lambda x: x[0])
     marked, todo = {id(best)}, [nodes[0]]
     while todo:
         n = todo.pop()
         if id(n) in marked or n.density < threshold or not n.chars:
             continue
         marked.add(id(top[id(n)][1]))
-        todo.extend(k for k in n.items if isinstance(k, Node))
+        todo.extend(n.kids())
     holds: dict[int, int] = {}  # marked nodes in each subtree
     for n in reversed(nodes):
-        holds[id(n)] = (id(n) in marked) + sum(holds[id(k)] for k in n.items if isinstance(k, Node))
+        holds[id(n)] = (id(n) in marked) + sum(holds[id(k)] for k in n.kids())
     cover, down = nodes[0], nodes[0]
     while down is not None:
         cover = down
-        down = None if id(cover) in marked else next((k for k in cover.items if isinstance(k, Node) and holds[id(k)] == holds[id(nodes[0])]), None)
+        down = None if id(cover) in marked else next((k for k in cover.kids() if holds[id(k)] == holds[id(nodes[0])]), None)
     cover = _block(cover)
     todo = [cover]
     while todo:
@@ -333,7 +338,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(main_node(parse(page))))
+    return "\n".join(b for n in main_nodes(prune(parse(page))) for b in blocks(n))
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text", keep: list[str] | None = None) -> DataFrame:

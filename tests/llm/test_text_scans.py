@@ -1,7 +1,10 @@
 """6, 7 and 8: main text, licences, toxicity."""
 
 import html
+import math
 import re
+import time
+import xml.etree.ElementTree
 import zlib
 
 import pytest
@@ -70,6 +73,111 @@ def test_sections_without_an_article_come_out_whole(tag):
     assert html_text.main_text(f"<body><div>{inner.replace('The title', '<a href=/>The title</a>')}</div></body>") == got
 
 
+PROSE = "".join(f"<p>{'Real prose goes on here and there. ' * 8}{k}</p>" for k in range(4))
+PROSE_TEXT = "\n".join(f"{'Real prose goes on here and there. ' * 8}{k}" for k in range(4))
+
+
+@pytest.mark.parametrize("name", ["content-area no-sidebar", "layout has-sidebar", "tag-news post", "post social-share-enabled", "entry side", "wp-site-blocks has-global-header header", "rating-page", "comments-open"])
+@pytest.mark.parametrize("page", ["<body><div class='{}'>{}</div></body>", "<body><nav><a href=/>x</a></nav><div id='{}'>{}</div><footer>f f f</footer></body>", "<body><form class='{}' id=aspnetForm><nav>m</nav>{}<button>b</button></form></body>"])
+def test_signs_do_not_take_the_only_text(name, page):
+    assert html_text.main_text(page.format(name, PROSE)) == PROSE_TEXT
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p title='a hidden gem'>A gem. {'x y z ' * 50}</p>{PROSE}", f"A gem. {('x y z ' * 50).strip()}\n{PROSE_TEXT}"),
+        (f"<article>{PROSE}</article><article><h2>Two</h2>{PROSE}</article>", f"{PROSE_TEXT}\nTwo\n{PROSE_TEXT}"),
+        (f"<div class=post>{PROSE}</div><div class='comments-area'>{PROSE * 3}</div>", PROSE_TEXT),
+        (f"<div class=post>{PROSE}</div><div id=comments><article>{PROSE}</article><article>c</article></div>", PROSE_TEXT),
+        (f"<article><header><h1>Head</h1><span>by x</span></header>{PROSE}<footer>foot</footer></article>", f"Head\n{PROSE_TEXT}"),
+        (f"<article>promo</article><div>{PROSE}</div>", PROSE_TEXT),
+        (f"<header><div>{PROSE}", PROSE_TEXT),
+        (f"<div class=cookie-notice>We use cookies</div><div class=ad>{'buy now. ' * 20}</div><div>{PROSE}</div><div class=related-posts><a>one</a></div>", PROSE_TEXT),
+    ],
+)
+def test_what_stays_and_what_goes(page, want):
+    assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == want
+
+
+def brute_text(page):
+    """The method as the formulas have it, by recursion, for well-formed pages without signs or articles."""
+    root = xml.etree.ElementTree.fromstring(page)
+    up = {k: e for e in root.iter() for k in e}
+    pieces = lambda e: [x for x in [e.text, *(k.tail for k in e)] if x and x.strip()]
+    chars = lambda e: sum(len(" ".join(x.split())) for x in pieces(e)) + sum(chars(k) for k in e)
+    tags = lambda e: sum(1 + tags(k) for k in e)
+    link_chars = lambda e: chars(e) if e.tag == "a" else sum(link_chars(k) for k in e)
+    links = lambda e: len(list(e.iter("a"))) - (e.tag == "a")
+
+    def density(e):
+        c, t, lc, lt = chars(e), max(1, tags(e)), link_chars(e), links(e)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + link_chars(root) / max(1, chars(root)) * c + math.e)
+        if base <= 1:  # no link text at all
+            return c / t
+        return c / t * math.log(max(c / max(1, lc) * t / max(1, lt), 1.0000001)) / math.log(max(base, 1.0000001))
+
+    total = lambda e: sum(density(k) for k in e) + len(pieces(e))
+    path = lambda e: [e, *path(up[e])] if e in up else [e]
+    largest = max(total(e) for e in root.iter())
+    least_depth = min(len(path(e)) for e in root.iter() if total(e) == largest)
+    best = next(e for e in root.iter() if total(e) == largest and len(path(e)) == least_depth)
+    threshold = min(density(e) for e in path(best))
+    block = lambda e: e if e is root or e.tag in ("div", "section") else block(up[e])
+    marked = {block(best)}
+
+    def mark(e):
+        if e not in marked and density(e) >= threshold and chars(e):
+            marked.add(max(e.iter(), key=total))
+            for k in e:
+                mark(k)
+
+    mark(root)
+    holding = lambda e: any(x in marked for x in e.iter())
+    cover = block(max((e for e in root.iter() if all(e in path(m) for m in marked)), key=lambda e: len(path(e))))
+    out = [""]
+
+    def walk(e, part):
+        if part and not holding(e) and e.tag in html_text.BLOCK and density(e) < threshold and links(e) > 2 and 2 * link_chars(e) > chars(e):
+            out.append("")
+            return
+        if e.tag in html_text.BLOCK:
+            out.append("")
+        out[-1] += e.text or ""
+        for k in e:
+            walk(k, part and e not in marked and holding(e))
+            out[-1] += k.tail or ""
+        if e.tag in html_text.BLOCK:
+            out.append("")
+
+    walk(cover, True)
+    # The cover itself always stays.
+    return "\n".join(" ".join(x.split()) for x in out if x.strip())
+
+
+def made_page(rnd, depth=0):
+    words = lambda n: " ".join(rnd.choice(["one", "two", "longer", "w"]) for _ in range(n))
+    if depth > 3 or rnd.random() < 0.3:
+        return rnd.choice([f"<p>{words(rnd.randint(0, 60))}</p>", f"<ul>{''.join(f'<li><a>{words(2)}</a></li>' for _ in range(rnd.randint(1, 8)))}</ul>", f"<p>{words(5)} <a>{words(3)}</a> <b>{words(2)}</b> {words(rnd.randint(0, 9))}</p>", f"<h2>{words(4)}</h2>"])
+    tag = rnd.choice(["div", "div", "section", "blockquote"])
+    return f"<{tag}>{''.join(made_page(rnd, depth + 1) for _ in range(rnd.randint(1, 5)))}</{tag}>"
+
+
+def test_density_against_brute_force(rnd):
+    for _ in range(400):
+        page = f"<body>{''.join(made_page(rnd, 2) for _ in range(rnd.randint(1, 3)))}</body>"
+        assert html_text.main_text(page) == brute_text(page), page
+
+
+@pytest.mark.parametrize("page", ["<h1>", "<b>", "<b></i>", "<div class=ad>", "<p><b>", "<ul><li>", "<a href='x ", "<form>", "<header>", "<span hidden>"])
+def test_time_is_linear_in_nested_tags(page):
+    began = time.perf_counter()
+    html_text.main_text(page * 100_000 + "x")
+    assert time.perf_counter() - began < 6  # some 2 s at most on a free machine; a quadratic walk takes minutes
+
+
 @pytest.mark.parametrize("page", ["<" * 20_000 + '"', "<div " * 5000, '<a href="x' * 5000, "<div>" * 3000 + "x", "<p>" * 5000 + "y", "<!--" * 5000, "<b>" * 3000 + "<p>z"])
 def test_hostile_pages_end(page):
     html_text.main_text(page)
