@@ -272,6 +272,50 @@ def test_every_match_of_a_rule_holds_a_keyword():
     assert [r.name for r in licenses.build_rules() if not holds(re._parser.parse(r.pattern.pattern), r.keywords)] == []
 
 
+def example(parsed, rnd):
+    """A text that matches a parsed pattern."""
+    out = b""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += bytes([arg])
+        elif kind == "SUBPATTERN":
+            out += example(arg[3], rnd)
+        elif kind == "BRANCH":
+            out += example(rnd.choice(arg[1]), rnd)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += b"".join(example(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif kind == "IN":
+            first = arg[0]
+            out += bytes([first[1]]) if str(first[0]) == "LITERAL" else rnd.choice([b"7", b"2"]) if "DIGIT" in str(first[1]) and "NOT" not in str(first[1]) else b"x"
+        elif kind not in ("ASSERT", "AT"):
+            raise AssertionError(kind)
+    return out
+
+
+def test_prefilter_loses_nothing(spark, rnd):
+    s = licenses.scanner()
+    for r in s.rules:
+        for _ in range(8):
+            line = b" foo " + example(re._parser.parse(r.pattern.pattern), rnd) + b" bar "
+            assert r.pattern.search(line), (r.name, line)
+            assert s.detect(line) == s.detect(line, prefilter=False), line
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        line = b" " + b" ".join(s.words(row.text)) + b" "
+        assert s.detect(line) == s.detect(line, prefilter=False)
+
+
+def test_places_and_time_of_many_detections():
+    text = "the MIT license, see the GPL v2 license; " * 20_000
+    began = time.perf_counter()
+    got = scan(text)
+    assert time.perf_counter() - began < 5  # quadratic counting took minutes
+    assert got["n_base"] == 20_000 and (got["first_word"], got["last_word"]) == (1, 8 * 20_000 - 7)
+    words = licenses.scanner().words(text)
+    for d in got["detections"][:50] + got["detections"][-50:]:
+        assert words[d["first"] : d["first"] + d["words"]] in ([b"the", b"mit", b"license"], [b"mit", b"license"], [b"gpl", b"v2", b"license"], [b"gpl", b"v2"])
+
+
 def test_base_places_against_plain_search(rnd):
     words = ["mit", "license", "apache", "general", "public", "gnu", "É", "x1"]
     marks = [" ", ", ", "\n", "-", "\x7f", "  ", "é ", " "]
