@@ -6,6 +6,7 @@ any other text is handed to the library's own normalizer and pre-tokenizer.
 
 from __future__ import annotations
 
+import os
 import re
 
 # White space, letters and numbers below U+0250.
@@ -38,12 +39,13 @@ class Cutter:
         self.words = words
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
+        self.mark = os.path.commonprefix(list(self.special)) or ""
         self.pattern = WORD_LEVEL if words else BYTE_LEVEL
         self.chars = byte_alphabet()
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches of the text, each with whether it is a special string."""
-        if not self.special or "<|" not in text:
+        if not self.special or self.mark not in text:  # no special string lacks the mark
             return [(text, False)]
         out, at = [], 0
         for m in self.split_special.finditer(text):
@@ -57,8 +59,9 @@ class Cutter:
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a stretch without special strings."""
-        if PLAIN.fullmatch(text):
-            return self.pattern.findall(text.lower() if self.words else text)
+        shown = text.lower() if self.words else text
+        if PLAIN.fullmatch(shown):  # what the pattern will see: small letters may lie in another range than their capitals
+            return self.pattern.findall(shown)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         chars = self.chars

@@ -10,8 +10,9 @@
 4. Each task adds up what its rows give to each document of a block, and the sums meet by block, with the
    keys and sizes of the block's documents, which travel along as a posting of the empty pre-token.
 
-No ids are made anywhere. Null and empty texts count 0. Repeated rows and null keys are rows of their own,
-as a row is known by its place in its block. Special strings inside a text count 1 each, as the library's default has it.
+No document gets ids; those of a distinct pre-token exist for the moment in which they are counted. Null and empty texts count 0. Repeated rows and null keys are rows of their own,
+as a row is known by its place in its block. Special strings inside a text count 1 each, as the library's default has it. A very long text is a block of its own, whose
+frequencies go into several postings; a very long pre-token is counted like any other. Other columns, whatever their names, don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from huespan.llm import bpe, queries, token_counts
 from huespan.llm.pretokens import Cutter
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["a", "b", "e", "th", " ", "  ", "\n", "'s", "'", "1", "²", "½", "é", "É", "ñ", "中", "文", "🙂", "<|endoftext|>", "<|startoftext|>", "<|", "_", "\x1c", "\x85", "　", "İ", "ing", "the", "ABC", "==", "\t", "...", " the", "́", "ß", "Σ", "ǅ"]
+PARTS = ["a", "b", "e", "th", " ", "  ", "\n", "'s", "'", "1", "²", "½", "é", "É", "ñ", "中", "文", "🙂", "<|endoftext|>", "<|startoftext|>", "<|", "_", "\x1c", "\x85", "　", "İ", "ing", "the", "ABC", "==", "\t", "...", " the", "́", "ß", "Σ", "ǅ", "Ə", "Ɓ", "Ɛ", "Ɔ", "Ⱥ", "K", "ẞ"]
 
 
 def texts(rnd, n=3000):
@@ -75,6 +75,32 @@ def test_pretokens_of_plain_and_other_text_agree(rnd):
         assert cutter.cut(t) == [bytes(chars[c] for c in p).decode() for p, _ in cutter.library.pre_tokenizer.pre_tokenize_str(t)]
 
 
+def low_characters():
+    return [chr(k) for k in range(0x250)] + [c for c in map(chr, range(0x250, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and any(ord(x) < 0x250 for x in c.lower())]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_cuts_of_all_low_characters_and_pairs_give_the_library_s_pieces(path, rnd):
+    lib, cutter = Tokenizer.from_file(path), Cutter(path, words=path == WORDS)
+    low = low_characters()
+    texts = [*low, *(f"{a}{b}" for a in low for b in rnd.sample(low, 60)), *(f"{rnd.choice(low)}{a}{b} {c}" for a, b, c in (rnd.choices(low, k=3) for _ in range(10_000)))]
+
+    def pieces(text):
+        if lib.normalizer is not None:
+            text = lib.normalizer.normalize_str(text)
+        return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(text)]
+
+    shown = {b: c for c, b in cutter.chars.items()}
+    for t in texts:
+        assert ["".join(shown[b] for b in p.encode()) for p in cutter.cut(t)] == pieces(t), ascii(t)
+
+
+@pytest.mark.parametrize("text", ["AZ\u018fRBAYCAN", "\u011e\u0193", "\u0186\u0189\u0190\u0194 \u023a", "\u212a\u212b", "\u0130stanbul"])
+def test_capitals_whose_small_letters_lie_elsewhere(text):
+    cutter, lib = token_counts.cutter(WORDS), Tokenizer.from_file(WORDS)
+    assert sum(len(x.ids) for x in lib.encode_batch(cutter.cut(text), add_special_tokens=False)) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
 def counted(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, WORDS).collect())
