@@ -1,6 +1,11 @@
 """5: tiles against a plain greedy tiling, and planted passages."""
 
-from huespan.llm import queries
+import tracemalloc
+
+import pytest
+from pyspark.sql import functions as F
+
+from huespan.llm import decontaminate, queries
 from huespan.llm.decontaminate import Index, drop_contaminated, find_contamination, tile, words_of
 
 
@@ -24,7 +29,9 @@ def plain_tiles(doc, item, least):
         in_item.update(range(i, i + n))
 
 
-def test_tiles_equal_plain_tiling(rnd):
+@pytest.mark.parametrize("pairs", [1 << 19, 3])
+def test_tiles_equal_plain_tiling(rnd, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "SLICE", pairs)
     for _ in range(300):
         words = [f"w{k}" for k in range(rnd.choice([2, 4, 12]))]
         doc, item = [rnd.choice(words) for _ in range(rnd.randint(0, 40))], [rnd.choice(words) for _ in range(rnd.randint(4, 20))]
@@ -76,6 +83,47 @@ def test_chunks_make_no_difference(spark):
     assert rows(find_contamination(docs, bench, chunk_chars=20)) == rows(find_contamination(docs, bench))
 
 
+def test_memory_is_bounded_where_texts_repeat_themselves():
+    index = Index.build([(k, " ".join(["same"] * 200)) for k in range(20)])
+    tracemalloc.start()
+    found = index.coverage(" ".join(["same"] * 20_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(k, tiles) for k, tiles, _ in found] == [(k, [(0, 0, 200)]) for k in range(20)]
+    assert peak < 300e6
+
+
+def test_hash_hits_are_checked_by_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda ids, width: decontaminate.np.ones(max(0, len(ids) - width + 1), dtype=decontaminate.np.uint64))
+    index = Index.build([(1, "a b c d e f g h")])
+    assert index.coverage("h g f e d c b a") == []
+    assert index.coverage("x a b c d e y")[0][1] == [(1, 0, 5)]
+
+
+@pytest.mark.parametrize("chunk_chars", [16_000_000, 20])
+def test_other_ids_and_clashing_columns(spark, chunk_chars):
+    docs, bench = frames(spark)
+    docs = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).withColumns({"item_id": F.lit(1), "coverage": F.lit("x"), "key": F.lit(2)})
+    bench = bench.withColumn("item_id", F.concat(F.lit("i"), F.col("item_id").cast("string"))).withColumn("doc_id", F.lit(3))
+    got = {(r.doc_id, r.item_id) for r in find_contamination(docs, bench, chunk_chars=chunk_chars).collect()}
+    assert got == {("d1", "i10"), ("d2", "i10"), (None, "i10"), ("d7", "i11")}
+    kept = drop_contaminated(docs, bench, chunk_chars=chunk_chars)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == ["d3", "d4", "d5", "d6", "d8"]
+
+
+def test_joined_benchmark_equals_indexed_one(spark, rnd):
+    words = [f"w{k}" for k in range(40)]
+    bench = [(k, " ".join(rnd.choice(words[: rnd.choice([3, 40])]) for _ in range(rnd.randint(1, 30)))) for k in range(60)]
+    docs = []
+    for k in range(120):
+        parts = [rnd.choice(bench)[1].split() for _ in range(rnd.randint(0, 3))]
+        docs.append((k, " ".join(w for p in parts for w in [*p[rnd.randint(0, 6) :], *rnd.choices(words, k=5)])))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(find_contamination(docs, bench, chunk_chars=20)) == rows(find_contamination(docs, bench)) != []
+    assert rows(drop_contaminated(docs, bench, chunk_chars=20)) == rows(drop_contaminated(docs, bench))
+
+
 def test_whole_table_against_containment(spark, sf):
     bench = [f" {' '.join(words_of(r.text))} " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holds = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if any(b in f" {' '.join(words_of(r.text))} " for b in bench)}
