@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import tracemalloc
+import zlib
 
 import pytest
 
@@ -37,9 +39,40 @@ ROWS = [(3, "http://a/b?c", "<p>é</p>"), (1, "http://a/", "<p>é</p>"), (2, Non
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_round_trip(spark, compression):
-    path = written(spark, ROWS, compression=compression, most_records=2)
+    path = written(spark, ROWS, compression=compression, piece_bytes=300, file_bytes=600)
     got = warc.capture_digest(warc.assemble(warc.read_archives(spark, path, payloads=False))).collect()
     assert sorted(((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(ROWS)
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u or "") for i, u, _ in ROWS)
+
+
+def test_names_and_members(spark, tmp_path):
+    rows = [*ROWS, (12, " blank ", "<p>é</p>"), (12, " blank ", "<p>é</p>"), (2, None, None)]
+    path = written(spark, rows)
+    records = warc.read_archives(spark, path).collect()
+    names = [r.record_id for r in records]
+    assert len(set(names)) == len(names) == 3 * len(rows)
+    answers = {r.record_id: r for r in records if r.warc_type == "response"}
+    revisits = [r for r in records if r.warc_type == "revisit"]
+    assert revisits and all(answers[r.refers_to].payload_digest == r.payload_digest for r in revisits)
+    files = [r.content for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    for data in map(bytes, files):  # every member is one whole record, or empty
+        at = 0
+        while at < len(data):
+            d = zlib.decompressobj(31)
+            one = d.decompress(data[at:])
+            assert not one or one.startswith(b"WARC/1.1\r\n") and len(list(warc.parse_records([one]))) == 1
+            at = len(data) - len(d.unused_data)
+
+
+def test_large_payloads_are_read_in_steps():
+    payload = bytes(range(256)) * 40_000  # 10 MB
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (len(payload) + 19) + payload + b"\r\n\r\n"
+    data = warc.member(record) * 30
+    tracemalloc.start()
+    got = [r["payload_bytes"] for r in warc.parse_records(warc.unpack(data), payloads=False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [len(payload)] * 30 and peak < 6 * len(payload)
 
 
 def test_captures_are_nested_and_whole(spark):
@@ -57,10 +90,10 @@ def test_missing_parts_and_damage(spark):
     record = lambda head, block: b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
     data = record(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\n", b"x") + b"WARC/1.0\r\nbroken\r\n\r\n" + record(b"WARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\n", b"HTTP/1.1 404 No\r\n\r\nhi") + record(b"WARC-Type: request\r\nWARC-Record-ID: <b>\r\nWARC-Concurrent-To: <lost>\r\n", b"")
     cut = data + b"WARC/1.0\r\nContent-Length: 50\r\n\r\nshort"
-    got = list(warc.parse_records(cut))
+    got = list(warc.parse_records(warc.unpack(cut, 7)))
     assert [r["warc_type"] for r in got] == ["warcinfo", "response", "request"]
     assert got[1]["http_status"] == 404 and got[1]["payload"] == b"hi"
-    assert warc.unpack(gzip.compress(data[:10]) + gzip.compress(data[10:])) == data
+    assert b"".join(warc.unpack(gzip.compress(data[:10]) + gzip.compress(data[10:]), 5)) == data
 
 
 def test_empty_table(spark):
