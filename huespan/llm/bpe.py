@@ -10,8 +10,9 @@ the one that the merge loop gives.
 
 Decoding gathers bytes from one blob of all entries through a table of their offsets.
 
-Null, empty: no ids. Repeated rows: repeated results. Very long pre-tokens: linear, not cached.
-Executors hold the vocabulary and a cache of pre-tokens of bounded size; rows never meet.
+Null, empty: no ids. Repeated rows, null keys: results of their own. Very long pre-tokens: linear, and cached like others until the cache is cleared, as it is
+before the next text once it holds CACHE_IDS ids. Columns named as a result are replaced; others, whatever their names, are kept. An empty table gives an empty one.
+No ties arise: the sequence of entries is unique. Executors hold the vocabulary and that cache, besides the text in hand; rows never meet.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huespan.llm.common import unused
 from huespan.llm.pretokens import Cutter, byte_alphabet
 
 #: Pre-tokens, and ids of theirs, that a worker keeps from one text to the next.
@@ -245,7 +247,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all but the text by default) and `ids`, an array of ints for every row."""
     keep = [c for c in docs.columns if c not in (text, ids)] if keep is None else keep
-    out = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    out = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(unused(docs, "encoded")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -262,7 +264,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """The other way: `ids` becomes `text`; null ids decode to an empty text."""
     keep = [c for c in encoded.columns if c not in (text, ids)]
-    out = encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("__ids"))
+    out = encoded.select(*[encoded[c] for c in keep], encoded[ids].alias(unused(encoded, "decoded")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huespan.llm.common import materialize
+from huespan.llm.common import drop_materialized, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,25 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("top"))
             jumped = materialize(parents.join(up, "root").select("node", F.col("root").alias("old"), "top"), "jumped")
+            drop_materialized(parents)
             parents = jumped.select("node", F.col("top").alias("root"))
             if jumped.where("old <> top").isEmpty():
                 break
-        found = parents if found is None else materialize(_compose(found, parents), "roots")
         a = parents.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = parents.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = materialize(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        rest = materialize(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        drop_materialized(left)
+        left = rest
+        if found is None:
+            found = parents
+        else:
+            further = materialize(_compose(found, parents), "roots")
+            drop_materialized(found)
+            drop_materialized(parents)
+            found = further
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    drop_materialized(left)
     return found
 
 

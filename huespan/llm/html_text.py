@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from huespan.llm.common import unused
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -344,7 +346,7 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all but html by default), text and n_chars, its number of code points."""
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html, text, "n_chars")]
-    rows = pages.select(*[pages[c] for c in keep], pages[html].cast("string").alias("__html"))
+    rows = pages.select(*[pages[c] for c in keep], pages[html].cast("string").alias(unused(pages, "page")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huespan.llm.common import unused
+
 # The two-way phrases of the base labels.
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
@@ -269,7 +271,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """Columns of docs (or those in keep), and the scan of each row. Columns of docs named as a result are left out."""
     names = [n for n, _ in ADDED]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    rows = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(unused(docs, "scanned")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner()

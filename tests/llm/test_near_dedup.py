@@ -33,14 +33,18 @@ def brute(rows):
                 parent[find(i)] = find(j)
         for h in s:
             holders[h].append(i)
+    texts = [find(i) for i in range(len(rows))]  # groups by texts alone
+    by_id = {}
+    for i, (d, _) in enumerate(rows):
+        parent[find(i)] = find(by_id.setdefault(d, i))
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), d), d)
-    return {d: (len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)}
+    return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)), texts
 
 
 def result(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
 
 
 def families(rnd):
@@ -61,13 +65,57 @@ def families(rnd):
 @pytest.mark.parametrize("block", [512, 10])
 def test_components_of_families(spark, rnd, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    if block == 10:
+        monkeypatch.setattr(near_dedup, "CROSS", 4)
+        monkeypatch.setattr(near_dedup, "CELL", 1)
+        monkeypatch.setattr(near_dedup, "LEADERS", 2)
     rows = families(rnd)
-    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)[0]
+
+
+def changed(rnd, base, n):
+    out = list(base)
+    for k in rnd.sample(range(len(out)), n):
+        out[k] = f"x{rnd.randint(0, 10**9)}"
+    return " ".join(out)
+
+
+def test_repeated_ids_with_other_texts(spark, rnd):
+    a, b, c = ([f"{x}{k}" for k in range(120)] for x in "abc")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, changed(rnd, b, 2)), (11, changed(rnd, a, 2)), (5, " ".join(a)), (20, ""), (20, ""), (20, " ".join(c)), (4, changed(rnd, c, 2)), (30, " ".join(f"d{k}" for k in range(9)))]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, near int")
+    want, texts = brute(rows)
+    assert result(df) == want
+    assert {r[0]: r[2] for r in want} == {4: 4, 5: 5, 9: 5, 11: 5, 20: 4, 30: 30}
+    kept = keep_one_of_each(df)
+    assert kept.columns == df.columns
+    # One row of each group of linked texts: the other text of a repeated id isn't lost.
+    assert sorted((r.doc_id, (r.text or "")[:2]) for r in kept.collect()) == [(4, "c0"), (5, "a0"), (5, "b0"), (20, ""), (30, "d0")]
+
+
+def test_a_family_below_the_threshold_loses_no_link(spark, rnd, monkeypatch):
+    """Similarities of 0.66 to 0.8: some linked, most not, all in the same posting lists."""
+    for name in ("CROSS", "CELL"):
+        monkeypatch.setattr(near_dedup, name, 8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, changed(rnd, base, rnd.choice([5, 6, 8, 8, 8]))) for k in range(250)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)[0]
+
+
+def test_similar_agrees_with_plain_sets(rnd):
+    import numpy as np
+
+    sets = [np.unique(np.array([rnd.randint(0, 40) for _ in range(rnd.randint(1, 60))], dtype=np.uint64)) for _ in range(30)]
+    every = [(x, y) for x in range(30) for y in range(30) if x != y]
+    for pairs in (every, every[:20], every[::7]):
+        a, b = np.array(pairs).T
+        plain = [100 * len(set(sets[x]) & set(sets[y])) >= 75 * len(set(sets[x]) | set(sets[y])) for x, y in pairs]
+        assert near_dedup._similar(sets, a, b).tolist() == plain
 
 
 def test_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    assert result(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert result(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])[0]
 
 
 def test_null_ids_repeats_extra_columns_and_empty(spark):
