@@ -11,11 +11,11 @@ Merge: members of a posting list carry their signatures, so the collisions of tw
 enough agreement of a longer sketch (SKETCH coordinates of a bit each, made for posted classes only) make a candidate pair.
 
 Skip: in the first pass a class is compared with a leader of the list only; if it passes it is skipped from then
-on, else it waits for the next leader. That gives a list of n near copies about n pairs. In a second pass over the lists that still hold several components, members of the
+on, else it waits for the next leader. Of the leaders that a class met, FEW are confirmed with it, so n near copies give FEW * n pairs at most, in however many lists they meet. In a second pass over the lists that still hold several components, members of the
 largest component meet only those outside it, and these each other; a pair counts in the list of the first pair of the prefixes that both hold, so once. No link between
 different texts is lost, while copies are never expanded into all pairs.
 
-Confirmation: candidate pairs are gathered to cells of two blocks of classes, blocks of the classes with the same most frequent pair; a class's full set travels once
+Confirmation: candidate pairs are gathered to cells of two blocks of classes, blocks of the classes that share a frequent pair; a class's full set travels once
 to each cell that it has pairs in, not once for each pair, and a cell counts common shingles for one class against all others at once. A block grows with the root of its list, so what travels
 for a family of n documents just below the threshold grows with n to the power of 1.5.
 
@@ -48,9 +48,13 @@ SKETCH, SKETCH_MATCHES = 2048, 1723
 #: Most members of a posting list that one task takes at once in the first pass; longer lists are dealt in blocks. How many leaders it tries.
 BLOCK = 512
 LEADERS = 24
+#: Leaders that a class is confirmed with in the first pass, of those that it met in its lists. More would only join it again; what these leave apart is the second pass's.
+FEW = 4
 #: In the second pass a list of n members is dealt in the root of n / CROSS blocks; in confirmation classes are dealt in the root of n / CELL, so that no block has more than BLOCK_MOST
 #: classes or BLOCK_BYTES of sets.
 CROSS, CELL, BLOCK_MOST, BLOCK_BYTES = 256, 64, 2048, 16 << 20
+#: Pairs that a task holds before it passes them on.
+CELL_PAIRS = 200_000
 #: Rows at most, of 64 bits, in the table that tells texts which aren't posted.
 BIT_WORDS = 1 << 20
 
@@ -181,19 +185,34 @@ def _starts(table: pa.Table, keys: int) -> np.ndarray:
     return np.repeat(at, np.diff(np.append(at, table.num_rows)))
 
 
-PAIRS = ["ha", "hb", "a", "b"]
-PAIRS_SQL = "ha long, hb long, a long, b long"
-
-
-def _pairs_batch(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray) -> pa.RecordBatch:
-    """Pairs of classes with their blocks, the lesser block and class first."""
-    turn = (ha > hb) | (ha == hb) & (a > b)
-    columns = [np.where(turn, y, x) for x, y in ((ha, hb), (hb, ha), (a, b), (b, a))]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PAIRS)
+#: Rows of a cell (ha, hb), the blocks of two classes: kind 0, a class (a) that has pairs in it; kind 1, a class (a) and those (bs) that it is paired with.
+CELLS = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("bs", pa.list_(pa.int64()))])
+CELLS_SQL = "ha long, hb long, kind int, a long, bs array<long>"
+
+
+def _cells(found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of cells from (class, its block, classes, their blocks)."""
+    ha, hb, a, bs = [], [], [], []
+    for x, home, ys, homes in found:
+        order = np.argsort(homes, kind="stable")
+        cuts = np.flatnonzero(np.diff(homes[order])) + 1
+        for part in np.split(order, cuts):
+            other = int(homes[part[0]])
+            ha.append(min(home, other))
+            hb.append(max(home, other))
+            a.append(x)
+            bs.append(ys[part])
+    size = [len(x) for x in bs]
+    member = np.unique(np.array([np.concatenate([np.repeat(ha, size), ha]), np.concatenate([np.repeat(hb, size), hb]), np.concatenate([*bs, a])], dtype=np.int64), axis=1)
+    k = member.shape[1]
+    ends = np.cumsum([0] * (k + 1) + size).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bs), pa.int64()))
+    columns = [pa.array(np.concatenate([m, x]), pa.int64()) for m, x in zip(member, (ha, hb, a), strict=True)]
+    return pa.RecordBatch.from_arrays([*columns[:2], pa.array(np.repeat([0, 1], [k, len(a)]), pa.int32()), columns[2], lists], schema=CELLS)
 
 
 def _leader_pairs(postings: DataFrame) -> DataFrame:
-    """First pass: pairs of a leader and a member of a posting list that collide often enough, sketches and sizes fitting."""
+    """First pass: cells of pairs of a leader and a member of a posting list that collide often enough, sketches and sizes fitting."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
@@ -211,7 +230,7 @@ def _leader_pairs(postings: DataFrame) -> DataFrame:
                 ok = _sizes_fit(n[rows], n[at]) & ((sig[rows] == sig[at]).sum(axis=1) >= MATCHES)
                 ok[ok] = _sketches_fit(sk[rows[ok]], sk[at[ok]])
                 if ok.any():
-                    yield _pairs_batch(ck[rows[ok]], ck[at[ok]], home[rows[ok]], home[at[ok]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ck[rows[ok]], home[rows[ok]], ck[at[ok]], home[at[ok]])], ["ck", "home", "leader", "its"])
                 rows = rows[~ok]
                 if not len(rows):
                     break
@@ -220,11 +239,17 @@ def _leader_pairs(postings: DataFrame) -> DataFrame:
                 leader[rows] = np.repeat(rows[first], np.diff(np.append(first, len(rows))))
 
     dealt = postings.select("token", "block", "ck", "home", "n", "sig", "sk").repartition("token", "block").sortWithinPartitions("token", "block", "ck")
-    return dealt.mapInArrow(work, PAIRS_SQL).distinct()
+    met = dealt.mapInArrow(work, "ck long, home long, leader long, its long")
+    # A class has as many rows as lists at most. All choose by one order, so those of a family choose alike.
+    choice = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("leader").alias("place"), "leader", "its"))), 1, FEW)
+    x = met.groupBy("ck", "home").agg(choice.alias("few")).select("ck", "home", F.explode("few").alias("x")).select("ck", "home", "x.leader", "x.its")
+    cell = [F.least("home", "its").alias("ha"), F.greatest("home", "its").alias("hb")]
+    one = x.select(*cell, F.lit(1).alias("kind"), F.col("ck").alias("a"), F.array("leader").alias("bs"))
+    return one.unionByName(x.select(*cell, F.lit(0).alias("kind"), F.explode(F.array("ck", "leader")).alias("a"), F.array().cast("array<long>").alias("bs")).distinct())
 
 
 def _cross_pairs(postings: DataFrame) -> DataFrame:
-    """Second pass: pairs of a posting list from different components that collide often enough, sketches and sizes fitting.
+    """Second pass: cells of pairs of a posting list from different components that collide often enough, sketches and sizes fitting.
 
     postings: token, within, i, j (two blocks of the list; within: both of classes outside the largest component, i <= j), mine (the row's own block, or
     if not within, 0 for outside the largest component and 1 for in it), ck, home, n, sig, mask (the coordinates of its prefix, as bits), sk, comp.
@@ -239,6 +264,7 @@ def _cross_pairs(postings: DataFrame) -> DataFrame:
             posted = (table.column("mask").to_numpy()[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
             sk = _matrix(table.column("sk").combine_chunks(), SKETCH // 8).view(np.uint64)
             bounds = np.append(np.unique(start), table.num_rows)
+            out, held = [], 0
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo < 2:
                     continue
@@ -255,10 +281,16 @@ def _cross_pairs(postings: DataFrame) -> DataFrame:
                     first = (same & posted[others] & posted[x]).argmax(axis=1) == place
                     others = others[first & (same.sum(axis=1) >= MATCHES)]
                     if len(others) and len(ys := others[_sketches_fit(sk[others], sk[x])]):
-                        yield _pairs_batch(np.full(len(ys), ck[x]), ck[ys], np.full(len(ys), home[x]), home[ys])
+                        out.append((int(ck[x]), int(home[x]), ck[ys], home[ys]))
+                        held += len(ys)
+                        if held > CELL_PAIRS:
+                            yield _cells(out)
+                            out, held = [], 0
+            if out:
+                yield _cells(out)
 
     keys = ["token", "within", "i", "j"]
-    return postings.select(*keys, "mine", "ck", "home", "n", "sig", "mask", "sk", "comp").repartition(*keys).sortWithinPartitions(*keys, "ck").mapInArrow(work, PAIRS_SQL)
+    return postings.select(*keys, "mine", "ck", "home", "n", "sig", "mask", "sk", "comp").repartition(*keys).sortWithinPartitions(*keys, "ck").mapInArrow(work, CELLS_SQL)
 
 
 def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,29 +317,33 @@ def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return 100 * both >= PERCENT * (size[a] + size[b] - both)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Pairs have been written, as they are read twice."""
+def _confirmed(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of written rows of cells whose full sets are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
             start = _starts(table, 2)
             bounds = np.append(np.unique(start), table.num_rows)
-            kind, a, b = (table.column(c).to_numpy() for c in ("kind", "a", "b"))
-            data = table.column("shingles")
+            kind, a = (table.column(c).to_numpy() for c in ("kind", "a"))
+            data, bs = table.column("shingles"), table.column("bs")
             out_a, out_b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 cut = lo + int(np.searchsorted(kind[lo:hi], 1))
                 held = [np.frombuffer(data[k].as_buffer(), dtype=np.uint64) for k in range(lo, cut)]  # in order of their classes
-                x, y = np.searchsorted(a[lo:cut], a[cut:hi]), np.searchsorted(a[lo:cut], b[cut:hi])
+                lists = bs.slice(cut, hi - cut).combine_chunks()
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                pa_, pb = np.repeat(a[cut:hi], size), lists.flatten().to_numpy()
+                x, y = np.searchsorted(a[lo:cut], pa_), np.searchsorted(a[lo:cut], pb)
                 ok = _similar(held, x, y)
-                out_a.append(a[cut:hi][ok])
-                out_b.append(b[cut:hi][ok])
+                out_a.append(pa_[ok])
+                out_b.append(pb[ok])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
-    needed = pairs.select("ha", "hb", F.explode(F.array("a", "b")).alias("ck")).distinct().hint("merge").join(sets.select("ck", "shingles"), "ck")
-    rows = needed.select("ha", "hb", F.lit(0).alias("kind"), F.col("ck").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
-    rows = rows.unionByName(pairs.select("ha", "hb", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    return rows.repartition("ha", "hb").sortWithinPartitions("ha", "hb", "kind", "a", "b").mapInArrow(work, "a long, b long")
+    needed = cells.where("kind = 0").select("ha", "hb", F.col("a").alias("ck")).distinct().hint("merge").join(sets.select("ck", "shingles"), "ck")
+    none = F.lit(None).cast("binary")
+    rows = needed.select("ha", "hb", F.lit(0).alias("kind"), F.col("ck").alias("a"), F.array().cast("array<long>").alias("bs"), "shingles")
+    rows = rows.unionByName(cells.where("kind = 1").withColumn("shingles", none))
+    return rows.repartition("ha", "hb").sortWithinPartitions("ha", "hb", "kind", "a").mapInArrow(work, "a long, b long")
 
 
 def _bit(at: Column) -> Column:
@@ -357,12 +393,13 @@ def _blocks(size: Column, each: int) -> Column:
 
 
 def _home(pairs: Column, ck: Column, n: Column) -> Column:
-    """The block of a class in confirmation: by its most frequent posted pair, so that families share blocks, and its place among many."""
-    most = F.array_max(pairs)
-    cnt = most["cnt"]
-    needed = F.greatest(_blocks(cnt, CELL), F.ceil(cnt / BLOCK_MOST).cast("long"), F.ceil(cnt * n * 8 / BLOCK_BYTES).cast("long"))
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(needed.cast("double")))).cast("long")  # few different numbers, so that members of a list agree
-    return F.xxhash64(most["token"], blocks, F.pmod(F.xxhash64(ck, F.lit(7)), blocks))
+    """The block of a class in confirmation: by a posted pair that is about as frequent as its most frequent one, the first in an order that all share, so that most of a family
+    agree; and by its place among the many that have that pair."""
+    most = F.array_max(F.transform(pairs, lambda p: p.cnt))
+    of = F.array_min(F.transform(F.filter(pairs, lambda p: 2 * p.cnt >= most), lambda p: F.struct(F.xxhash64(p.token).alias("place"), p.token.alias("token"), p.cnt.alias("cnt"))))
+    sized = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(of["cnt"] * n * 8 / BLOCK_BYTES).cast("double"))))  # few different numbers, so that members of a list agree
+    blocks = F.greatest(_blocks(of["cnt"], CELL), F.ceil(of["cnt"] / BLOCK_MOST).cast("long"), sized.cast("long"))
+    return F.xxhash64(of["token"], blocks, F.pmod(F.xxhash64(ck, F.lit(7)), blocks))
 
 
 def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
