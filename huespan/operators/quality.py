@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huespan.functions import colour
@@ -35,23 +35,36 @@ def sortedness(ordered: DataFrame, place: str = "rank") -> DataFrame:
 
 
 def recall(images: DataFrame, query: Point, threshold: float, strategies: list[str] | None = None, **params: dict) -> DataFrame:
-    """strategy, found, exact, precision, recall, duplication of each strategy against the linear scan."""
-    truth = search.hits(images, query, threshold, "linear").groupBy("id", "filename", "r", "g", "b").agg(F.count(F.lit(1)).alias("want"))
-    rows = None
-    for name in strategies or list(search.STRATEGIES):
-        got = search.hits(images, query, threshold, name, **params.get(name, {})).groupBy("id", "filename", "r", "g", "b").agg(F.count(F.lit(1)).alias("got"))
-        both = got.join(truth, ["id", "filename", "r", "g", "b"], "full")
-        one = both.agg(F.coalesce(F.sum("got"), F.lit(0)).alias("found"), F.count("want").alias("exact"), F.count("got").alias("distinct_found"), F.count_if(F.col("got").isNotNull() & F.col("want").isNotNull()).alias("common"), F.coalesce(F.sum(F.when(F.col("got").isNotNull(), F.col("want"))), F.lit(0)).alias("given"))
-        one = one.select(
-            F.lit(name).alias("strategy"),
-            "found",
-            "exact",
-            F.coalesce(F.try_divide("common", "distinct_found"), F.lit(1.0)).alias("precision"),
-            F.coalesce(F.try_divide("common", "exact"), F.lit(1.0)).alias("recall"),
-            F.coalesce(F.try_divide("found", "given"), F.lit(1.0)).alias("duplication"),
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """strategy, found, exact, precision, recall, duplication of each strategy against the linear scan.
+
+    Every strategy that is a test on the row is a column of the hits, so all of them take one scan and one aggregation; the others (trees, or own parameters) are counted by
+    row and joined to them."""
+    key = ["id", "filename", "r", "g", "b"]
+    names = strategies or list(search.STRATEGIES)
+    rows = search.hits(images, query, threshold, "linear").groupBy(*key).agg(F.count(F.lit(1)).alias("want"))
+    for name in names:
+        if name in search.PREDICATES and name not in params:
+            rows = rows.withColumn(f"got_{name}", F.when(search.PREDICATES[name](query, threshold) & F.col("want").isNotNull(), F.col("want")))
+        else:
+            got = search.hits(images, query, threshold, name, **params.get(name, {})).groupBy(*key).agg(F.count(F.lit(1)).alias(f"got_{name}"))
+            rows = rows.join(got, key, "full")
+    of = lambda name: F.struct(
+        F.lit(name).alias("strategy"),
+        F.coalesce(F.sum(f"got_{name}"), F.lit(0)).alias("found"),
+        F.count("want").alias("exact"),
+        F.count(f"got_{name}").alias("distinct_found"),
+        F.count_if(F.col(f"got_{name}").isNotNull() & F.col("want").isNotNull()).alias("common"),
+        F.coalesce(F.sum(F.when(F.col(f"got_{name}").isNotNull(), F.col("want"))), F.lit(0)).alias("given"),
+    )
+    each = rows.agg(*[of(name).alias(f"of_{name}") for name in names]).select(F.explode(F.array(*[f"of_{name}" for name in names])).alias("x")).select("x.*")
+    return each.select(
+        "strategy",
+        "found",
+        "exact",
+        F.coalesce(F.try_divide("common", "distinct_found"), F.lit(1.0)).alias("precision"),
+        F.coalesce(F.try_divide("common", "exact"), F.lit(1.0)).alias("recall"),
+        F.coalesce(F.try_divide("found", "given"), F.lit(1.0)).alias("duplication"),
+    )
 
 
 def sample(found: DataFrame, n: int = 3) -> DataFrame:
@@ -86,8 +99,3 @@ def visit_counts(images: DataFrame, query: Point, threshold: float, rings: str)
         times = (cheb <= radius).cast("int") + ((steps <= radius) & (steps != cheb)).cast("int")
     found = search.hits(images, query, threshold, "linear").withColumn("times", times)
     return found.agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("times"), F.lit(0)).alias("visits"))
-
-
-def is_sorted_by(found: DataFrame, order: str) -> DataFrame:
-    """As sortedness(), for rows that have no place yet: they get one by a window over `order`, a few rows only."""
-    return sortedness(found.withColumn("rank", F.row_number().over(Window.orderBy(order))))

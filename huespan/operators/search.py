@@ -17,9 +17,10 @@ from huespan.operators import tree
 
 Point = tuple[float, float, float]
 Strategy = Callable[..., DataFrame]
-#: Cell sizes of the two grids, and buckets of the distributed ranking: per unit of distance, and bits of an id.
-GRID_CELL, DYNAMIC_CELL = 30.0, 25.0
-RANK_PER_UNIT, RANK_ID_BITS = 8, 20
+#: Cell sizes of the two grids, and the most cells that a grid's list is made of; more are tested on the row.
+GRID_CELL, DYNAMIC_CELL, MOST_CELLS = 30.0, 25.0, 100_000
+#: Rows that are ranked in one place, sampled rows that set the bounds beyond that, and ranges at most.
+RANK_FEW, RANK_SAMPLE, RANK_RANGES = 20_000, 20_000, 1024
 
 
 def linear(images: DataFrame, query: Point, threshold: float) -> DataFrame:
@@ -37,8 +38,10 @@ def with_cells(images: DataFrame, size: float) -> DataFrame:
 
 
 def hash_grid(images: DataFrame, query: Point, threshold: float, cell: float = GRID_CELL) -> DataFrame:
-    """Rows whose cell is among the query's (2R+1)^3, by an equi-join; the cell list has a size that only R sets."""
+    """Rows whose cell is among the query's (2R+1)^3, by an equi-join; the cell list has a size that only R sets, and MOST_CELLS at most."""
     spark, radius = images.sparkSession, max(0, math.ceil(threshold / cell))
+    if (2 * radius + 1) ** 3 > MOST_CELLS:
+        return images.where(ring(query, cell) <= radius)
     cells = spark.range(1)
     for c, q in zip(colour.CHANNELS, query, strict=True):
         at = math.floor(q / cell)
@@ -47,24 +50,20 @@ def hash_grid(images: DataFrame, query: Point, threshold: float, cell: float = G
     return keyed.select(*images.columns)
 
 
+def _cells_near(query: Point, radius: int, cells: int = colour.FIXED_CELLS) -> F.Column:
+    """Whether a row's cell on the fixed grid is at most radius cells off on every axis."""
+    parts = [F.abs(colour.clamped_cell(F.col(c), cells) - min(math.floor(q / (colour.TOP / cells)), cells - 1)) <= radius for c, q in zip(colour.CHANNELS, query, strict=True)]
+    return parts[0] & parts[1] & parts[2]
+
+
 def hash_fixed(images: DataFrame, query: Point, threshold: float, cells: int = colour.FIXED_CELLS) -> DataFrame:
     """Rows at most one cell off on a 32-cell grid, whatever the threshold: approximate by design."""
-    near = None
-    for c, q in zip(colour.CHANNELS, query, strict=True):
-        at = min(math.floor(q / (colour.TOP / cells)), cells - 1)
-        part = F.abs(colour.clamped_cell(F.col(c), cells) - at) <= 1
-        near = part if near is None else near & part
-    return images.where(near)
+    return images.where(_cells_near(query, 1, cells))
 
 
 def hash_bounded(images: DataFrame, query: Point, threshold: float, cells: int = colour.FIXED_CELLS) -> DataFrame:
     """As hash_fixed, with a radius that follows the threshold (and one more): exact."""
-    radius, near = math.ceil(threshold / (colour.TOP / cells)) + 1, None
-    for c, q in zip(colour.CHANNELS, query, strict=True):
-        at = min(math.floor(q / (colour.TOP / cells)), cells - 1)
-        part = F.abs(colour.clamped_cell(F.col(c), cells) - at) <= radius
-        near = part if near is None else near & part
-    return images.where(near)
+    return images.where(_cells_near(query, math.ceil(threshold / (colour.TOP / cells)) + 1, cells))
 
 
 def ring(query: Point, cell: float) -> F.Column:
@@ -95,6 +94,16 @@ STRATEGIES: dict[str, Strategy] = {"linear": linear, "bbox": bbox, "hash_grid":
 EXACT = [s for s in STRATEGIES if s != "hash_fixed"]
 
 
+#: Strategies that are a test on the row, as columns: (query, threshold) -> whether the row is a candidate.
+PREDICATES: dict[str, Callable[[Point, float], F.Column]] = {
+    "linear": lambda query, threshold: F.lit(True),
+    "bbox": colour.within_box,
+    "hash_grid": lambda query, threshold: ring(query, GRID_CELL) <= max(0, math.ceil(threshold / GRID_CELL)),
+    "hash_fixed": lambda query, threshold: _cells_near(query, 1),
+    "hash_bounded": lambda query, threshold: _cells_near(query, math.ceil(threshold / (colour.TOP / colour.FIXED_CELLS)) + 1),
+    "hash_dynamic": lambda query, threshold: ring(query, DYNAMIC_CELL) <= math.ceil(threshold / DYNAMIC_CELL),
+}
+
 #: Parameters that strategies have by default, as their labels show them.
 DEFAULTS = {"hash_grid": {"cell": GRID_CELL}, "hash_dynamic": {"cell": DYNAMIC_CELL}, "hash_fixed": {"cells": colour.FIXED_CELLS}, "hash_bounded": {"cells": colour.FIXED_CELLS}, "octree": {"cap": 10, "max_depth": 10}, "quadtree": {"cap": 25, "max_depth": 12}}
 
@@ -121,14 +130,36 @@ def hits(images: DataFrame, query: Point, threshold: float, strategy: str | Stra
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """Adds rank, from 1 by (distance, id), without bringing all rows to one task: rows are counted in buckets that follow the order, and a
-    row's rank is what lies in earlier buckets and its place in its own. The counts are about a millionth of the rows."""
-    keyed = found.withColumns({"__d": F.floor(F.col("distance") * RANK_PER_UNIT), "__i": F.shiftright("id", RANK_ID_BITS)})
-    counts = keyed.groupBy("__d", "__i").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__d", "__i").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__d", "__i", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__d", "__i").orderBy("distance", "id"))
-    return keyed.join(offsets, ["__d", "__i"]).withColumn("rank", (place + F.col("__before")).cast("long")).drop("__d", "__i", "__before")
+    """Adds rank, from 1 by (distance, id), null ids first, whatever ids are, without bringing many rows to one task.
+
+    A bounded sample by hash of (distance, id) shows whether the rows are few; few are ranked in one place. Else it gives the bounds of ranges of about equal size, whose rows are
+    counted; a row's rank is what lies in earlier ranges and its place in its own. Bounds and counts (one a range) are literals of the plan, so a
+    task that runs again deals rows as before. Rows equal in distance and id share a range."""
+    key = F.struct("distance", "id")
+    place = F.row_number().over(Window.orderBy("distance", "id"))
+    some = found.select("distance", "id").orderBy(F.xxhash64("distance", "id"), "distance", "id").limit(RANK_FEW + 1).collect()
+    if len(some) <= RANK_FEW:
+        return found.withColumn("rank", place.cast("long"))
+    points = sorted({(r.distance, r.id is not None, r.id) for r in some[:RANK_SAMPLE]}, key=lambda x: x[:2] if x[2] is None else x)
+    step = -(-len(points) // RANK_RANGES)
+    bounds = F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(i).cast(found.schema["id"].dataType).alias("id")) for d, _, i in points[::step]])
+    at = unused(found, "range")
+    dealt = found.withColumn(at, F.size(F.filter(bounds, lambda b: b <= key)))
+    counts = {r[at]: r.n for r in dealt.groupBy(at).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for k in range(len(points[::step]) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    own = F.row_number().over(Window.partitionBy(at).orderBy("distance", "id"))
+    earlier = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col(at) + 1)
+    return dealt.withColumn("rank", own + earlier).drop(at)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df has no column of."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def similar(images: DataFrame, query: Point, threshold: float, strategy: str | Strategy = "auto", k: int | None = None, **params: object) -> DataFrame:

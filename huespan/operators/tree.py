@@ -16,6 +16,8 @@ from huespan.functions import colour
 
 #: Level whose boxes are tested on a row itself, before it is matched with leaves.
 ANCESTORS = 4
+#: Leaves in reach that are handed to the rows as a list; more of them meet the rows by a shuffle.
+MOST_LEAVES = 50_000
 
 
 def _names(dims: int) -> list[str]:
@@ -90,12 +92,19 @@ def candidates(images: DataFrame, query: tuple[float, float, float], threshold:
 
     Branch and bound: rows whose ancestors on an upper level are out of reach go first, by an expression on the row, and the tree is
     built of the rest only, as no other branch is followed. Those rows are matched with the pruned leaves by an equi-join on level and
-    cell; a row in reach lies in a leaf in reach, so none is lost. Rows outside the domain lie in no box and stay candidates.
+    cell; a row in reach lies in a leaf in reach, so none is lost. Up to MOST_LEAVES leaves are fetched, so rows look them up where they are and
+    try only the levels that have any; beyond that both sides are dealt by cell. Rows outside the domain lie in no box and stay candidates.
     """
     inside = colour.box_contains((0.0,) * dims, (colour.TOP,) * dims)
     near = images.where(inside & _ancestor_near(query, threshold * slack, dims))
     kept = prune(leaves(near, cap, max_depth, dims), query, threshold, dims, slack).select("level", *_names(dims))
-    levels = near.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
+    few = kept.limit(MOST_LEAVES + 1).collect()
+    if len(few) > MOST_LEAVES:
+        tried = F.sequence(F.lit(0), F.lit(max_depth))
+    else:
+        kept = F.broadcast(images.sparkSession.createDataFrame(few, kept.schema))
+        tried = F.array(*[F.lit(v) for v in sorted({r.level for r in few})]).cast("array<int>")
+    levels = near.withColumn("level", F.explode(tried))
     keyed = levels.select(*images.columns, "level", *_cells(F.col("level"), dims))
     found = keyed.join(kept, ["level", *_names(dims)], "left_semi").select(*images.columns)
     return found.unionByName(images.where(~inside))

@@ -96,11 +96,9 @@ def images_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), name.alias("filename"), *hashed_rgb(name))
 
 
-def queries_from_parts(spark: SparkSession, sf_dir: str, most: int | None = 200) -> DataFrame:
-    """Parts as query points (query_id, qr, qg, qb): those with keys up to `most`, or all."""
+def queries_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as query points (query_id, qr, qg, qb)."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    if most is not None:
-        parts = parts.where(F.col("p_partkey") <= most)
     rgb = hashed_rgb(F.concat(F.lit("query_"), F.col("p_partkey").cast("string")))
     return parts.select(F.col("p_partkey").alias("query_id"), *[c.alias(f"q{n}") for c, n in zip(rgb, "rgb", strict=True)])
 

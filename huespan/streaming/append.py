@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from huespan.operators import search
-from huespan.sources.images import SCHEMA, append_images
+from huespan.sources.images import SCHEMA
 
 
 def image_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -20,5 +20,9 @@ def hits_stream(images: DataFrame, query: search.Point, threshold: float) -> Dat
 
 
 def store_stream(images: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append every batch to the stored images."""
-    return images.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_images(batch, path)).start()
+    """Append every batch to the stored images, each in a folder of its own (batch=N), which a batch that is run again replaces."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select(*SCHEMA.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return images.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()

@@ -70,6 +70,30 @@ def test_ranks_of_many_equal_distances(spark):
     assert ranked.where("rank <> id + 1").count() == 0
 
 
+def test_ranks_of_hashed_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "RANK_FEW", 300)
+    monkeypatch.setattr(search, "RANK_RANGES", 16)
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 != 0, F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1))).alias("id"), F.lit("f").alias("filename"), (F.col("id") % 7).cast("double").alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), F.lit("x").alias("range"))
+    got = search.ranked(search.hits(rows.unionByName(rows.limit(40)), (0.0, 0.0, 0.0), 5.0)).orderBy("rank").collect()
+    want = sorted(((r.distance, r.id is not None, r.id or 0) for r in got))
+    assert [r.rank for r in got] == list(range(1, len(want) + 1)) and len(want) > 4000
+    assert [(r.distance, r.id is not None, r.id or 0) for r in got] == want and got[0]["range"] == "x"
+
+
+def test_narrow_cells_are_not_listed(sf_images):
+    assert bag(search.hits(sf_images, (66.0, 35.0, 226.0), 441.0, "hash_grid", cell=0.5)) == bag(sf_images.where(colour.distance((66.0, 35.0, 226.0)) <= 441.0))
+
+
+def test_recall_in_one_pass_equals_single_strategies(sf_images):
+    at = (128.0, 128.0, 128.0), 50.0
+    rows = {r.strategy: r for r in quality.recall(sf_images.unionByName(sf_images.limit(100)), *at).collect()}
+    both = sf_images.unionByName(sf_images.limit(100))
+    assert set(rows) == set(search.STRATEGIES)
+    for name, r in rows.items():
+        assert r.found == search.hits(both, *at, name).count()
+        assert r.precision == r.duplication == 1.0 and r.recall == pytest.approx(1.0 if name != "hash_fixed" else r.found / rows["linear"].found, abs=0.01)
+
+
 def test_fixed_grid_finds_a_part_only(sf_images):
     exact, fixed = search.hits(sf_images, (128, 128, 128), 50, "linear"), search.hits(sf_images, (128, 128, 128), 50, "hash_fixed")
     assert fixed.count() == 10 and exact.count() == 448 and fixed.exceptAll(exact).count() == 0
@@ -91,9 +115,26 @@ def test_known_tree_and_grid_statistics(sf_images):
 def test_leaves_partition_the_rows(sf_images):
     leaves = tree.leaves(sf_images, 10, 10, 3)
     assert leaves.count() == 4096
-    inside = F.col("r").between(F.col("lo_r"), F.col("hi_r"))
     assert leaves.select(((F.col("hi_r") - F.col("lo_r")) * (F.col("hi_g") - F.col("lo_g")) * (F.col("hi_b") - F.col("lo_b"))).alias("v")).agg(F.sum("v")).first()[0] == pytest.approx(255.0**3)
-    assert inside is not None
+    # Every row lies in one leaf; a point on a border belongs to the upper one, on the last border to the last.
+    inside = F.lit(True)
+    for c in "rgb":
+        inside = inside & (F.col(c) >= F.col(f"lo_{c}")) & ((F.col(c) < F.col(f"hi_{c}")) | (F.col(f"hi_{c}") == 255.0))
+    held = sf_images.join(F.broadcast(leaves), inside).groupBy("id").agg(F.count("*").alias("n"))
+    assert held.count() == sf_images.count() and held.where("n <> 1").count() == 0
+    full = sf_images.join(F.broadcast(leaves), inside).groupBy("level", "c0", "c1", "c2").count()
+    assert full.where("count > 10 and level < 10").count() == 0
+
+
+@pytest.mark.parametrize("name", ["octree", "quadtree"])
+def test_slack_keeps_more_candidates_and_the_same_hits(sf_images, monkeypatch, name):
+    at = (66.0, 35.0, 226.0), 40.0
+    narrow, wide = (search.STRATEGIES[name](sf_images, *at, slack=x) for x in (1.0, 4.0))
+    assert narrow.exceptAll(wide).count() == 0 and wide.count() > narrow.count()
+    want = bag(search.hits(sf_images, *at, "linear"))
+    assert bag(search.hits(sf_images, *at, name, slack=4.0)) == want
+    monkeypatch.setattr(tree, "MOST_LEAVES", 3)  # the shuffled way
+    assert bag(search.hits(sf_images, *at, name)) == want
 
 
 def test_statistics_of_nothing(spark):
@@ -106,17 +147,23 @@ def test_statistics_of_nothing(spark):
 
 
 def test_join_equals_single_searches(spark, sf_images):
-    queries = src.queries_from_parts(spark, "/root/testdata/sf0.01")
+    queries = src.queries_from_parts(spark, "/root/testdata/sf0.01").where("query_id <= 200")
     pairs = joins.similarity_join(sf_images, queries, 30.0)
     one = pairs.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q"), F.sum("distance").alias("d")).first()
     assert (one.n, one.q) == (17417, 201) and one.d == pytest.approx(389416.5204)
-    assert joins.similarity_join(sf_images, queries, 30.0, cell=12.0).exceptAll(pairs).count() == 0
+    for cell in (0.01, 12.0, 30.0, 100.0):
+        other = joins.similarity_join(sf_images, queries, 30.0, cell=cell)
+        assert other.exceptAll(pairs).count() == pairs.exceptAll(other).count() == 0
+    for q in queries.limit(3).collect():
+        single = search.hits(sf_images, (q.qr, q.qg, q.qb), 30.0, "linear").select("id", "distance")
+        mine = pairs.where(F.col("query_id") == q.query_id).select("id", "distance")
+        assert single.exceptAll(mine).count() == mine.exceptAll(single).count() == 0
     assert joins.similarity_join(sf_images, queries, -1.0).count() == 0
 
 
 def test_join_asks_every_part(spark, sf):
     parts = spark.read.parquet(f"{sf}/part.parquet")
-    asked = QUERIES["similarity_join_all"](spark, sf).select("query_id").distinct()
+    asked = QUERIES["similarity_join"](spark, sf).select("query_id").distinct()
     assert asked.count() == parts.select("p_partkey").distinct().count()
 
 

@@ -72,3 +72,8 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     want = quality.selectivity(src.synthetic(spark, 500), (128.0, 128.0, 128.0), 100.0).first().found
     assert spark.read.parquet(str(tmp_path / "out")).count() == want > 0
+    assert spark.read.parquet(str(tmp_path / "out")).select("id").distinct().count() == want
+    src.append_images(src.synthetic(spark, 5), str(tmp_path / "out" / "batch=0"))  # a batch that is run again replaces what it left
+    (tmp_path / "again").mkdir()
+    append.store_stream(stream, str(tmp_path / "out"), str(tmp_path / "again" / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == want
