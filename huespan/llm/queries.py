@@ -98,8 +98,8 @@ def _op2_sql() -> str:
     return f"""
 WITH c AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM c),
-hosts AS (SELECT host, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix
-    FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM u)),
+hosts AS (SELECT host, CASE WHEN address THEN bare WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN address THEN bare WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix
+    FROM (SELECT *, regexp_matches(bare, '{url_filter.ADDRESS}') AS address FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS bare FROM u))),
 o AS (SELECT host, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS n FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
 oh AS (SELECT * FROM o JOIN hosts USING (host)),
 od AS (SELECT domain, suffix, sum(s) AS s, sum(n) AS n FROM oh GROUP BY ALL),

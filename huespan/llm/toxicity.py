@@ -7,12 +7,13 @@ words of the folded text, with one space around each, are what the automaton run
 over the square root of the text's length in hundreds of words, becomes a score from 0 to 1.
 
 The lexicon has hand-written entries and learned ones. Learning takes a bounded sample of labelled rows
-(SAMPLE_ROWS, by a hash of the key): word starts and whole words are counted by class in Spark; those that tell the classes
-apart best become candidates; then entries are taken one by one, each the one that adds most to positives
-covered fewer than COVER times, until none adds enough. An entry's weight is a lower bound of its log odds.
+(SAMPLE_ROWS, a parameter, by a hash of the key; one text for each key): word starts and whole words are counted by class in Spark; all whose weight, a lower bound of their log odds,
+exceeds LEAST_WEIGHT become candidates; then entries are taken one by one, each the one that adds most to positives
+covered fewer than COVER times, until none adds enough. What the driver holds is bounded by the sample alone.
 
-Null and empty texts score 0. Repeated rows score alike; for a key with several labels the largest counts. An empty label table leaves the
-hand-written entries. Scoring is by row; only the lexicon (MOST_ENTRIES at most) travels.
+Null and empty texts score 0. Repeated rows score alike; for a key with several labels the largest counts, for one with several texts the one with the smallest hash. Ties between entries go to the
+longer, then the later in order. An empty label table leaves the hand-written entries. Columns of other names are kept, one named as the score is replaced. Scoring is by row, in passes
+over its whole text whatever its length; only the lexicon travels. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from huespan.llm.common import materialize
 
-SAMPLE_ROWS, CANDIDATES, MOST_ENTRIES, COVER = 20_000, 3000, 2000, 3
+SAMPLE_ROWS, COVER = 20_000, 3
 STEM_SIZES = range(3, 9)
 #: Counts of features that a task holds before it passes them on.
 FEATURES_HELD = 200_000
@@ -135,11 +136,12 @@ def _features(text: str | None) -> set[str]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Texts and labels (text, y) of at most `rows` labelled keys outside the held-out fold; the keys' number bounds the broadcast."""
+    """Texts and labels (text, y) of at most `rows` labelled keys outside the held-out fold, a row for each; the keys' number bounds the broadcast."""
     key = F.col("doc_id").cast("long")
     train = labels.select(key.alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & (F.crc32(F.col("k").cast("string").cast("binary")) % 4 != 2))
     picked = train.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    return docs.select(key.alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "k").select("text", "y")
+    texts = docs.select(key.alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "k")
+    return texts.groupBy("k", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
@@ -165,11 +167,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
                     yield from out()
         yield from out()
 
-    found = sample.mapInArrow(counts, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 2)
-    rate = (F.col("p") + 0.5) / (F.col("p") + F.col("n") + 1.0)
-    top = found.where((F.col("f") == "") | (F.col("p") > F.col("n"))).orderBy((F.col("f") != ""), (F.col("p") * rate * rate).desc(), "f").limit(CANDIDATES).collect()
-    totals = next(((r.p, r.n) for r in top if r.f == ""), (0, 0))
-    candidates = {r.f: w for r in top if r.f and (w := _weight(r.p, r.n, *totals)) > LEAST_WEIGHT}
+    found = sample.mapInArrow(counts, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where((F.col("p") >= 2) | (F.col("f") == ""))
+    found = materialize(found, "features")
+    totals = found.where("f = ''").select("p", "n").first() or (0, 0)
+    a, b = (F.col("p") + 0.5) / (totals[0] + 1), (F.col("n") + 0.5) / (totals[1] + 1)
+    weight = F.log(a / b) - 1.3 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
+    top = found.where((F.col("f") != "") & (F.col("p") > F.col("n"))).withColumn("w", weight).where(F.col("w") > LEAST_WEIGHT).select("f", "w").collect()
+    candidates = {r.f: r.w for r in sorted(top)}
     probe = Lexicon(candidates | ENTRIES, exceptions=[])
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +193,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     return lexicon
 
 
-def _weight(p: float, n: float, pos: float, neg: float) -> float:
-    """Log odds of an entry's matches, less 1.3 standard errors."""
-    a, b = (p + 0.5) / (pos + 1), (n + 0.5) / (neg + 1)
-    return math.log(a / b) - 1.3 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-
-
 def _cover(positives: list[set[str]], negatives: list[set[str]], candidates: dict[str, float]) -> dict[str, float]:
     """Entries taken greedily until no further one adds to positives covered fewer than COVER times."""
     against = Counter(e for s in negatives for e in s)
@@ -206,7 +204,7 @@ def _cover(positives: list[set[str]], negatives: list[set[str]], candidates: dic
     chosen: dict[str, float] = {}
     gain = {e: len(ks) for e, ks in where.items() if e in candidates}
     least = max(3, len(positives) // 500)
-    while gain and len(chosen) < MOST_ENTRIES:
+    while gain:
         e = max(gain, key=lambda x: (gain[x] - 5 * against[x], len(x), x))
         if gain[e] - 5 * against[e] < least:
             break

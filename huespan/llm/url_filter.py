@@ -8,8 +8,12 @@ blocked if even the upper end of its posterior lies below the bound.
 
 A rule (host, path) fits its host and all subdomains, if the url's path starts with the rule's; the longest decides before any reputation.
 
+A name's levels come from its suffix: the longest of a list of suffixes of two and more labels that it ends in (a parameter; read_suffixes() reads a public list from a file), else its last label. IP
+addresses (of either version) are domain and suffix of their own, as no name is shared; dots at the end of a name don't count.
+
 Null urls, and urls without "://", have an empty host and path, which share the reputation of the host "". Null outcomes
-don't count. Repeated rows count as often as they occur; so do outcomes. Without any outcome every host has the prior of the options.
+don't count. Repeated rows, and null page ids, are judged each; outcomes count as often as they occur, with each page row of their id. Very long urls are cut by plain expressions. Equally long
+rules: the one listed last decides. Columns with other names don't matter. An empty table gives an empty result. Without any outcome every host has the prior of the options.
 Counts are aggregated before they are shuffled, so a host with a third of all pages is one row in the reputations;
 the join back from pages splits it by adaptive execution. Nothing is broadcast but the fitted strengths, as literals.
 """
@@ -18,15 +22,16 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huespan.llm.common import materialize
 
 # The rules of the query, (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-# Suffixes of two parts under which names are registered.
+# Suffixes of two labels under which names are registered, those of the query; a full list can be read from a file.
 TWO_PART_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "com.br", "com.cn", "com.mx", "com.ar", "com.tr", "co.in", "co.kr", "co.za", "com.sg", "com.hk", "com.tw"]
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}([.][0-9]{1,3}){3})$"  # fixed value: hosts that are addresses
 #: Share of good outcomes that a host's posterior must allow, how many standard deviations above its mean count, and bounds of a prior's strength.
 BOUND, Z, STRENGTH = 0.5, 1.64, (1.0, 200.0)
 
@@ -45,12 +50,27 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def name_levels(host: Column) -> tuple[Column, Column]:
+def read_suffixes(spark: SparkSession, path: str) -> list[str]:
+    """Suffixes of two and more labels from a file in the format of the public suffix list; wildcards and exceptions are left out. The list is metadata of some thousands of names."""
+    line = F.lower(F.trim(F.regexp_replace("value", "//.*$", "")))
+    rows = spark.read.text(path).select(line.alias("s")).where(F.col("s").contains(".") & ~F.col("s").rlike("[*!\\s]")).distinct().collect()
+    return sorted(r.s for r in rows)
+
+
+def name_levels(host: Column, suffixes: list[str] | None = None) -> tuple[Column, Column]:
     """Registered domain and suffix of a host, without port and user."""
+    known: dict[int, list[str]] = {}
+    for s in TWO_PART_SUFFIXES if suffixes is None else suffixes:
+        known.setdefault(s.count(".") + 1, []).append(s)
     bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    two = F.substring_index(bare, ".", -2)
-    is_two = two.isin(TWO_PART_SUFFIXES)
-    return F.when(is_two, F.substring_index(bare, ".", -3)).otherwise(two), F.when(is_two, two).otherwise(F.substring_index(bare, ".", -1))
+    bare = F.regexp_replace(bare, "[.]+$", "")
+    domain, suffix = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    for labels in sorted(known):  # longer ones wrap shorter ones
+        last = F.substring_index(bare, ".", -labels)
+        hit = last.isin(known[labels])
+        domain, suffix = F.when(hit, F.substring_index(bare, ".", -labels - 1)).otherwise(domain), F.when(hit, last).otherwise(suffix)
+    address = bare.rlike(ADDRESS)
+    return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
 
 def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -72,11 +92,11 @@ def _moments(level: DataFrame) -> Column:
     return F.when(rho.isNull(), F.lit(low)).when(rho <= 1 / (high + 1), F.lit(high)).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), 1 / rho - 1)))
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
+def reputations(outcomes: DataFrame, suffixes: list[str] | None = None) -> tuple[DataFrame, float]:
     """From (host, good) rows: posteriors (level, name, a, b) of the hosts, domains and suffixes that have outcomes, and the overall rate."""
     good = F.col("good").cast("double")
     by_host = outcomes.where(F.col("good").isNotNull()).groupBy("host").agg(F.sum(good).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
-    domain, suffix = name_levels(F.col("host"))
+    domain, suffix = name_levels(F.col("host"), suffixes)
     by_host = materialize(by_host.withColumns({"domain": domain, "suffix": suffix}), "hosts")  # all levels and strengths are made of it
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
@@ -106,7 +126,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, float]:
     return out, rate
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | None = None, bound: float = BOUND, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | None = None, bound: float = BOUND, z: float = Z, suffixes: list[str] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation (posterior mean), upper (its upper end).
 
     outcomes: (page_id, good), good 1 or 0. Pages that it doesn't name are judged all the same.
@@ -114,10 +134,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     host, path = split_url(F.col("url").cast("string"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("int").alias("good")).where(F.col("page_id").isNotNull() & F.col("good").isNotNull())
-    table, rate = reputations(urls.join(known, "page_id").select("host", "good"))
+    table, rate = reputations(urls.join(known, "page_id").select("host", "good"), suffixes)
     # Hosts of all pages, each with the nearest level that has outcomes.
     hosts = urls.select("host").distinct()
-    domain, suffix = name_levels(F.col("host"))
+    domain, suffix = name_levels(F.col("host"), suffixes)
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     low = STRENGTH[0]
     for level in ("host", "domain", "suffix"):

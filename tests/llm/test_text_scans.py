@@ -354,6 +354,44 @@ def test_exceptions_and_length():
     assert lexicon.score("such trash") > 0
 
 
+def naive_score(lexicon, text):
+    """Entries and exceptions looked for one by one in the folded words."""
+    words = re.findall(r"[^\W\d_]+", toxicity.fold(text or ""))
+    line = f" {' '.join(words)} "
+    places = lambda e: [k for k in range(len(line)) if line.startswith(e, k)]
+    free = [(k, k + len(e)) for e in lexicon.exceptions for k in places(e)]
+    best = {}
+    for e, w in lexicon.entries.items():
+        for k in places(e):
+            if not any(a <= k and k + len(e) <= b for a, b in free):
+                best[k] = max(best.get(k, 0.0), w)
+    raw = sum(best[k] for k in sorted(best)) / math.sqrt(max(1.0, len(words) / 100))
+    return raw / (raw + lexicon.scale * 0.7 / 0.3)
+
+
+def test_scores_against_a_naive_matcher(rnd):
+    lexicon = toxicity.Lexicon()
+    parts = [*lexicon.entries, *lexicon.exceptions, "fine", "TRA5H", "ｉdiot", "s.t.u.p.i.d", "\n", "word", "é", "the idiot", "100"]
+    for _ in range(400):
+        text = " ".join(rnd.choice(parts).strip() for _ in range(rnd.randint(0, 40)))
+        assert lexicon.score(text) == pytest.approx(naive_score(lexicon, text), abs=1e-12), text
+
+
+def test_long_texts_repeats_and_clashing_columns(spark):
+    long = "fine words you idiot " * 50_000
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, None, "b"), (None, "you idiot", "c")], "doc_id long, text string, score string")
+    rows = toxicity.score_toxicity(df, toxicity.Lexicon()).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if r.doc_id == 1}) == 1
+    assert {r.doc_id: r.score > 0 for r in rows} == {1: True, 2: False, None: True}
+
+
+def test_a_repeated_key_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (1, "other"), (2, "x")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    keys = [k for k in (1, 2) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert toxicity.sample_of(docs, labels).count() == len(keys)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()

@@ -156,3 +156,29 @@ def test_two_part_suffixes_and_empty(spark):
     domain, suffix = url_filter.name_levels(df.h)
     assert [tuple(r) for r in df.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("y.de", "de")]
     assert judged(spark, []) == {}
+
+
+def test_addresses_dots_and_a_list_of_suffixes(spark, tmp_path):
+    df = spark.createDataFrame([("192.168.0.1",), ("10.7.0.1:80",), ("[::1]:8080",), ("a.b.com..",), ("x.y.z.kawasaki.jp",), ("1.2.3.4.com",), ("u.blogs.co.uk",)], "h string")
+    levels = lambda *x: [tuple(r) for r in df.select(*url_filter.name_levels(df.h, *x)).collect()]
+    assert levels() == [("192.168.0.1",) * 2, ("10.7.0.1",) * 2, ("[::1]",) * 2, ("b.com", "com"), ("kawasaki.jp", "jp"), ("4.com", "com"), ("blogs.co.uk", "co.uk")]
+    (tmp_path / "list.dat").write_text("// names\ncom\nco.uk\nz.kawasaki.jp // three labels\n*.ck\n!www.ck\nKawasaki.jp\n\n")
+    suffixes = url_filter.read_suffixes(spark, str(tmp_path / "list.dat"))
+    assert suffixes == ["co.uk", "kawasaki.jp", "z.kawasaki.jp"]
+    assert levels(suffixes)[4] == ("y.z.kawasaki.jp", "z.kawasaki.jp")
+
+
+def test_unrelated_addresses_do_not_share_a_reputation(spark):
+    urls = [f"http://192.168.0.1/{k}" for k in range(30)] + ["http://10.7.0.1/", "http://fine.com/"]
+    got = judged(spark, urls, [(k, 0) for k in range(30)] + [(31, 1)] * 30)
+    assert got[0].verdict == "block" and got[30].verdict == "allow"
+
+
+def test_null_and_repeated_page_ids_and_long_urls(spark):
+    long = "http://long.com/" + "p" * 200_000
+    rows = [(None, "http://a.com/x"), (None, "http://a.com/x"), (1, "http://a.com/y"), (1, "http://a.com/y"), (2, long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    known = spark.createDataFrame([(1, 1), (None, 0)], "page_id long, good int")
+    out = url_filter.judge_urls(pages, known).collect()
+    assert sorted(str(r.page_id) for r in out) == ["1", "1", "2", "None", "None"] and all(r.verdict == "allow" for r in out)
+    assert [len(r.path) for r in out if r.page_id == 2] == [200_001]
