@@ -27,6 +27,41 @@ def recall(spark, df, **options):
     return hit / total
 
 
+def test_recall_of_one_graph_and_of_four():
+    """A whole table in one shard, as production parameters have it, and in four."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/check_s/embeddings.parquet/*.parquet' WHERE embedding IS NOT NULL").fetchnumpy()
+    v, ids = np.array([*rows["embedding"]], dtype=np.float32), rows["vec_id"].astype(np.int64)
+    keep = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+    v, ids = v[keep], ids[keep]
+    asked = np.flatnonzero(ids % 20 == 0)[::4]
+    exact = v[asked].astype(np.float64) @ v.astype(np.float64).T
+    for shards in (1, 4):
+        found = [hnsw.top_of_shard(hnsw.Graph.build(ids[k::shards], v[k::shards]), ids[asked], v[asked], 20) for k in range(shards)]
+        q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        hit = 0
+        for k, a in enumerate(asked):
+            mine = q == ids[a]
+            got = i[mine][np.lexsort((i[mine], -s[mine]))[:20]]
+            row = np.where(ids == ids[a], -np.inf, exact[k])
+            hit += len(set(got.tolist()) & set(ids[np.lexsort((ids, -row))[:20]].tolist()))
+        assert hit / (20 * len(asked)) >= 0.95
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    rows = [(0, [1e39, 2.0]), (20, [6.3100000004, 1.0]), (1, [1.0, 0.0]), (2, [3.0, 1e-12]), (3, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in hnsw.nearest(df).collect()}
+    assert len(got) == 8 and got[20, 1] == 6.3100000004 and got[0, 3] == np.dot([1e39, 2.0], [1e200, 1e200]) and got[20, 2] == 6.3100000004 * 3 + 1e-12
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [2.0, 0.0])] * 3 + [(8, [1.0, 1.0])]
+    got = hnsw.nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, times string")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(7, 2.0)] * 3 + [(8, 1.0)]
+
+
 def test_recall_on_the_table(spark):
     assert recall(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.95
 
