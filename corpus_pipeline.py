@@ -1,15 +1,20 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, BPE.
 
 Every stage works on all that its predecessor kept, whose rows were written as Parquet and read again.
+
+Null and empty texts are no duplicates and hold nothing toxic or of a benchmark, so they stay, and encode to no ids; so do rows without an id. Repeated rows of an id
+are judged alike, and one of them stays after near-duplicates. Ties between near-duplicates go to the smallest id. Texts of any length are taken whole. Columns of
+documents come out as they came in, whatever their names, of every stage but the last. Empty tables, labels and benchmarks give empty results or drop nothing.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huespan.llm import bpe, decontaminate, near_dedup, toxicity
-from huespan.llm.common import materialize, table
+from huespan.llm.common import materialize, table, unused
 from huespan.session import ship
 
 #: The last stage has no SQL, and neither have learned lexicons and tilings: tests compare the stages with brute force.
@@ -19,7 +24,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score lies below the threshold, by a lexicon learned from labelled rows outside the held-out fold."""
     lexicon = toxicity.learn(docs, table(ship(spark), sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, lexicon, score="__toxicity").where(f"__toxicity < {toxicity.THRESHOLD}").select(*docs.columns)
+    score = unused(docs, "toxicity")
+    return toxicity.score_toxicity(docs, lexicon, score=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
