@@ -41,7 +41,7 @@ def _diverse(sims: np.ndarray, cand: np.ndarray, vectors: np.ndarray, room: int)
     """Up to room of each row's candidates (sorted, nearest first, -1 for none), -1 padded: the diverse ones, then the nearest others."""
     b, c = cand.shape
     v = vectors[np.maximum(cand, 0)]
-    between = np.einsum("bid,bjd->bij", v, v, optimize=True)
+    between = np.matmul(v, v.transpose(0, 2, 1))
     kept = np.zeros((b, c), dtype=bool)
     for k in range(c):
         shadowed = (kept[:, :k] & (between[:, k, :k] >= sims[:, k, None])).any(axis=1)
@@ -96,9 +96,11 @@ def _insert(vectors: np.ndarray, links: np.ndarray, lo: int, hi: int, found: np.
     few, many = np.flatnonzero(count <= room), np.flatnonzero(count > room)
     kept = np.full((len(ys), room), -1, dtype=np.int32)
     kept[few, : min(room, width)] = cand[few, :room]
+    many = many[np.argsort(count[many], kind="stable")]  # most exceed their room by a few links only
     for k in range(0, len(many), 256):
         part = many[k : k + 256]
-        kept[part] = _diverse(sims[part], cand[part], vectors, room)
+        wide = min(width, int(count[part].max()))
+        kept[part] = _diverse(sims[part, :wide], cand[part, :wide], vectors, room)
     links[ys] = kept
 
 
