@@ -6,6 +6,7 @@ row beyond the threshold, and none adds duplicates. Rows that the input repeats
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -19,8 +20,8 @@ Point = tuple[float, float, float]
 Strategy = Callable[..., DataFrame]
 #: Cell sizes of the two grids, and the most cells that a grid's list is made of; more are tested on the row.
 GRID_CELL, DYNAMIC_CELL, MOST_CELLS = 30.0, 25.0, 100_000
-#: Rows that are ranked in one place, sampled rows that set the bounds beyond that, and ranges at most.
-RANK_FEW, RANK_SAMPLE, RANK_RANGES = 20_000, 20_000, 1024
+#: Rows that are ranked in one place, sampled rows that set the bounds beyond that, ranges at most, and how many bounds are compared at once.
+RANK_FEW, RANK_SAMPLE, RANK_RANGES, FAN = 20_000, 20_000, 1024, 16
 
 
 def linear(images: DataFrame, query: Point, threshold: float) -> DataFrame:
@@ -135,19 +136,17 @@ def ranked(found: DataFrame) -> DataFrame:
     A bounded sample by hash of (distance, id) shows whether the rows are few; few are ranked in one place. Else it gives the bounds of ranges of about equal size, whose rows are
     counted; a row's rank is what lies in earlier ranges and its place in its own. Bounds and counts (one a range) are literals of the plan, so a
     task that runs again deals rows as before. Rows equal in distance and id share a range."""
-    key = F.struct("distance", "id")
     place = F.row_number().over(Window.orderBy("distance", "id"))
     some = found.select("distance", "id").orderBy(F.xxhash64("distance", "id"), "distance", "id").limit(RANK_FEW + 1).collect()
     if len(some) <= RANK_FEW:
         return found.withColumn("rank", place.cast("long"))
     points = sorted({(r.distance, r.id is not None, r.id) for r in some[:RANK_SAMPLE]}, key=lambda x: x[:2] if x[2] is None else x)
-    step = -(-len(points) // RANK_RANGES)
-    bounds = F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(i).cast(found.schema["id"].dataType).alias("id")) for d, _, i in points[::step]])
+    bounds = [{"distance": d, "id": i} for d, _, i in points[:: -(-len(points) // RANK_RANGES)]]
     at = unused(found, "range")
-    dealt = found.withColumn(at, F.size(F.filter(bounds, lambda b: b <= key)))
+    dealt = _ranged(found, bounds, at)
     counts = {r[at]: r.n for r in dealt.groupBy(at).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], 0
-    for k in range(len(points[::step]) + 1):
+    for k in range(len(bounds) + 1):
         before.append(total)
         total += counts.get(k, 0)
     own = F.row_number().over(Window.partitionBy(at).orderBy("distance", "id"))
@@ -155,6 +154,21 @@ def ranked(found: DataFrame) -> DataFrame:
     return dealt.withColumn("rank", own + earlier).drop(at)
 
 
+def _ranged(found: DataFrame, bounds: list[dict], at: str) -> DataFrame:
+    """Adds `at`: how many of the ascending bounds (distance, id) a row's lie at or above, looked up step by step, FAN bounds at a time."""
+    kind = f"array<struct<distance:double,id:{found.schema['id'].dataType.simpleString()}>>"
+    levels = [bounds]
+    while len(levels[-1]) > FAN:
+        levels.append(levels[-1][::FAN])
+    key = F.struct("distance", "id")
+    out = found.withColumn(at, F.lit(1))
+    for level in reversed(levels):  # the place, from 1, of the last bound of the level that isn't above; 0 if all are
+        listed, begin = F.from_json(F.lit(json.dumps(level)), kind), (F.col(at) - 1) * FAN
+        met = F.size(F.filter(F.slice(listed, F.greatest(begin, F.lit(0)) + 1, FAN), lambda b: b <= key))
+        out = out.withColumn(at, F.when(F.col(at) == 0, F.lit(0)).otherwise(begin + met))
+    return out
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or one like it that df has no column of."""
     while name in df.columns:

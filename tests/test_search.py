@@ -72,7 +72,8 @@ def test_ranks_of_many_equal_distances(spark):
 
 def test_ranks_of_hashed_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(search, "RANK_FEW", 300)
-    monkeypatch.setattr(search, "RANK_RANGES", 16)
+    monkeypatch.setattr(search, "RANK_RANGES", 200)
+    monkeypatch.setattr(search, "FAN", 3)
     rows = spark.range(5000).select(F.when(F.col("id") % 50 != 0, F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1))).alias("id"), F.lit("f").alias("filename"), (F.col("id") % 7).cast("double").alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), F.lit("x").alias("range"))
     got = search.ranked(search.hits(rows.unionByName(rows.limit(40)), (0.0, 0.0, 0.0), 5.0)).orderBy("rank").collect()
     want = sorted(((r.distance, r.id is not None, r.id or 0) for r in got))
