@@ -382,7 +382,11 @@ _FILES = f"(SELECT name, lower(regexp_extract(name, '[.]([^./]+)$', 1)) AS exten
 
 def demo_folder(spark: SparkSession) -> str:
     """A folder with DEMO_FILES in the place that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp()
     path = f"{base.rstrip('/')}/images-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
