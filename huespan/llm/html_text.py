@@ -48,14 +48,20 @@ JUNK = re.compile(
 )
 COMMENTS = re.compile(r"(?:^|\s)(?:[\w-]*[_-])?(?:comments?|commentlist|disqus|replies|respond)(?:[_-](?:area|list|section|thread|wrap|wrapper|container|block|box|body|form|content))?(?:$|\s)")
 #: Parts of a class that say something about the page, not what the element is: no-sidebar, with-header, tag-travel, comments-open.
-MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:no|not|non|with|without|has|hide|category|tag(?![_-]+(?:cloud|links?|list)(?![^\s_-])))[_-]\S*|\S+[_-](?:enabled|disabled|open|closed|on|off)(?!\S))")
+MODIFIED = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:no|not|non|with|without|has|hide|category|tag(?![_-]+(?:cloud|links?|list)(?![^\s_-])))[_-]\S*|(?<!\S)\S+[_-](?:enabled|disabled|open|closed|on|off)(?!\S)"
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TELLING = re.compile("class|id|role|hidden|style")
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|>)|<(script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</[^>]*>|<[a-z!/?][^>]*\Z|<!--.*\Z",
+#: A comment ends as browsers have it, at "-->" or "--!>", or at once.
+_COMMENT = r"<!--(?:-?>|.*?--!?>)|"
+# Quantifiers are possessive, so stray quotes cost one look more, not one for each way to pair them.
+_REST = re.compile(
+    r"<(script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes)(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</[^>]*>|<[a-z!/?][^>]*\Z|<!--.*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+_TOKEN = re.compile(_COMMENT + _REST.pattern, re.DOTALL | re.IGNORECASE)
 #: How sure a sign is that an element isn't the page's text, and the share of that text, in tenths, from which the sign is overruled.
 WEAK, STRONG = 1, 2
 OVERRULED = {WEAK: 5, STRONG: 9}
@@ -117,8 +123,8 @@ def parse(page: str) -> Node:
                 close(places["head"][-1])
             stack[-1].items.append(html_lib.unescape(s) if "&" in s else s)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, closing = 0, max(page.rfind("-->"), page.rfind("--!>"))
+    while m := (_TOKEN if at <= closing else _REST).search(page, at):  # beyond the last end of a comment none is looked for
         text(page[at : m.start()])
         at = m.end()
         name = m[3] or m[6]

@@ -178,6 +178,28 @@ def test_time_is_linear_in_nested_tags(page):
     assert time.perf_counter() - began < 6  # some 2 s at most on a free machine; a quadratic walk takes minutes
 
 
+@pytest.mark.parametrize("page", ["<p>text</p><script " + '"' * 20_000, "<script " + "\"'" * 20_000, '<script "a' * 20_000, "<!-- x >" * 50_000, f"<div class='{'a-' * 50_000} comments'>x</div>"])
+def test_stray_quotes_and_signs_cost_little(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 3  # each way to pair the quotes took for ever
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a</p><!-->b<p>c</p><!-- x --><p>d</p>", "a\nb\nc\nd"),
+        ("<p>a</p><!-- x --!><p>b</p>", "a\nb"),
+        ("<p>a</p><script>x</script foo><p>b</p><script>y</script>", "a\nb"),
+        ("<!--[if !IE]><!--><p>in</p><!--<![endif]--><p>out</p>", "in\nout"),
+        ("<scripty>a</scripty><p>b</p>", "a\nb"),
+        ("<p>a</p><script src='x>y' \"><p>no</p></script><p>b</p>", "a\nb"),
+    ],
+)
+def test_ends_of_comments_and_scripts(page, want):
+    assert html_text.main_text(page) == want
+
+
 @pytest.mark.parametrize("page", ["<" * 20_000 + '"', "<div " * 5000, '<a href="x' * 5000, "<div>" * 3000 + "x", "<p>" * 5000 + "y", "<!--" * 5000, "<b>" * 3000 + "<p>z"])
 def test_hostile_pages_end(page):
     html_text.main_text(page)
