@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,7 +113,9 @@ class Lexicon:
         for end, (e, harmless) in self._automaton.iter(line):
             (free if harmless else found).append((end - len(e) + 1, end + 1, e))
         if free:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in free)]
+            free.sort()
+            begins, reach = [a for a, _, _ in free], list(accumulate((b for _, b, _ in free), max))  # how far the phrases up to each one reach
+            found = [m for m in found if not ((at := bisect_right(begins, m[0])) and m[1] <= reach[at - 1])]
         return found, len(words)
 
     def raw(self, text: str | None) -> float:

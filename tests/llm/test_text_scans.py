@@ -399,6 +399,18 @@ def test_scores_against_a_naive_matcher(rnd):
         assert lexicon.score(text) == pytest.approx(naive_score(lexicon, text), abs=1e-12), text
 
 
+def test_time_is_linear_in_exception_phrases():
+    began = time.perf_counter()
+    assert toxicity.Lexicon().score("the trash can and the circus clown " * 60_000 + "you idiot") > 0
+    assert time.perf_counter() - began < 5  # each match against each phrase took minutes
+
+
+def test_overlapping_exceptions():
+    lexicon = toxicity.Lexicon({" b ": 1.0, " c d ": 1.0, " e ": 1.0}, exceptions=[" a b c d ", " b ", " d e "])
+    assert lexicon.score("a b c d") == lexicon.score("a b") == lexicon.score("d e") == 0
+    assert lexicon.raw("c d e") == 1.0  # no one phrase holds " c d "
+
+
 def test_long_texts_repeats_and_clashing_columns(spark):
     long = "fine words you idiot " * 50_000
     df = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, None, "b"), (None, "you idiot", "c")], "doc_id long, text string, score string")
