@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huespan.llm import bpe, decontaminate, hnsw, html_text, licenses, near_dedup, token_counts, toxicity, url_filter, warc
+from huespan.llm import bpe, decontaminate, hnsw, html_text, licenses, lloyd, near_dedup, shards, token_counts, toxicity, url_filter, warc, whiten
 from huespan.llm.common import shared_path, table
 
 
@@ -60,7 +60,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw, op2_url_filter, op3_near_dedup, op4_warc, op5_decontamination, op6_html_extraction, op7_license_scan, op8_toxicity, op9_token_counts, op10_bpe)}
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.with_inertia(lloyd.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_url_filter, op3_near_dedup, op4_warc, op5_decontamination, op6_html_extraction, op7_license_scan, op8_toxicity, op9_token_counts, op10_bpe, op11_lloyd, op12_shards, op13_whitening)}
 
 def _base32(h: str) -> str:
     """SQL for the base32 text of a 40-digit hexadecimal text."""
@@ -116,5 +128,26 @@ FROM u JOIN r USING (host)
 """
 
 
+def _op11_sql() -> str:
+    """Rounds as a chain of tables: a is an assignment, c are centroids, m the moved ones."""
+    gap = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.x, c.x)])::BIGINT"
+    steps = []
+    for k in range(lloyd.ROUNDS + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT v.r, min({{'d': {gap}, 'k': c.k}}) AS best FROM v, c{k} c GROUP BY v.r)")
+        if k < lloyd.ROUNDS:
+            steps.append(f"m{k} AS (SELECT k, list(s // n - (s % n < 0)::BIGINT ORDER BY j) AS x FROM (SELECT a.best.k AS k, j, sum(v.x[j])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN v USING (r), (SELECT range AS j FROM range(1, {lloyd.DIM + 1})) GROUP BY ALL) GROUP BY k)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (k))")
+    last = lloyd.ROUNDS
+    return f"""
+WITH e AS (SELECT vec_id, [floor(c::DOUBLE * {lloyd.SCALE})::BIGINT for c in embedding] AS x FROM embeddings
+    WHERE len(embedding) = {lloyd.DIM} AND len([c for c in embedding if c IS NOT NULL AND isfinite(c)]) = {lloyd.DIM}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, x FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{lloyd.SEED}' || vec_id), x) - 1 AS k, x FROM v WHERE vec_id IS NOT NULL ORDER BY k LIMIT {lloyd.CENTROIDS}),
+{", ".join(steps)}
+SELECT v.vec_id, a.best.k::INT AS cluster, a.best.d AS distance, sum(a.best.d) OVER (PARTITION BY a.best.k)::BIGINT AS cluster_inertia, sum(a.best.d) OVER ()::BIGINT AS inertia,
+sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{last} a JOIN v USING (r) JOIN c{last} c ON c.k = a.best.k
+"""
+
+
 #: What SQL can express: the others are learned, iterative, or need a tokenizer, and tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_url_filter": _op2_sql(), "op4_warc": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": _op2_sql(), "op4_warc": OP4_SQL, "op11_lloyd": _op11_sql()}
