@@ -15,7 +15,12 @@ def cells(images: DataFrame, size: float = GRID_CELL) -> DataFrame:
 
 def stats(images: DataFrame, size: float = GRID_CELL) -> DataFrame:
     """cells, avg_occupancy (0 if there are none): one row."""
-    return cells(images, size).agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_occupancy"))
+    return stats_of(cells(images, size)).drop("total")
+
+
+def stats_of(counted: DataFrame) -> DataFrame:
+    """total, cells, avg_occupancy of counted cells: one row."""
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("cells"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_occupancy"))
 
 
 def occupancy(images: DataFrame, size: float = GRID_CELL) -> DataFrame:

@@ -105,6 +105,13 @@ PREDICATES: dict[str, Callable[[Point, float], F.Column]] = {
     "hash_dynamic": lambda query, threshold: ring(query, DYNAMIC_CELL) <= math.ceil(threshold / DYNAMIC_CELL),
 }
 
+
+def predicates(images: DataFrame, query: Point, threshold: float) -> dict[str, Callable[[], F.Column]]:
+    """Every strategy of STRATEGIES as a test on a row of the images; those of trees look at the images when they are called."""
+    own = {name: (lambda test=test: test(query, threshold)) for name, test in PREDICATES.items()}
+    return own | {"octree": lambda: tree.predicate(images, query, threshold, 10, 10, 3), "quadtree": lambda: tree.predicate(images, query, threshold, 25, 12, 2)}
+
+
 #: Parameters that strategies have by default, as their labels show them.
 DEFAULTS = {"hash_grid": {"cell": GRID_CELL}, "hash_dynamic": {"cell": DYNAMIC_CELL}, "hash_fixed": {"cells": colour.FIXED_CELLS}, "hash_bounded": {"cells": colour.FIXED_CELLS}, "octree": {"cap": 10, "max_depth": 10}, "quadtree": {"cap": 25, "max_depth": 12}}
 

@@ -16,8 +16,8 @@ from huespan.functions import colour
 
 #: Level whose boxes are tested on a row itself, before it is matched with leaves.
 ANCESTORS = 4
-#: Leaves in reach that are handed to the rows as a list; more of them meet the rows by a shuffle.
-MOST_LEAVES = 50_000
+#: Leaves in reach that are looked up on a row, and bits of a cell's place on an axis.
+MOST_LEAVES, PACK_BITS = 20_000, 20
 
 
 def _names(dims: int) -> list[str]:
@@ -87,24 +87,55 @@ def _ancestor_near(query: tuple[float, float, float], reach: float, dims: int) -
     return colour.box_contains(tuple(lows), tuple(highs))
 
 
-def candidates(images: DataFrame, query: tuple[float, float, float], threshold: float, cap: int, max_depth: int, dims: int, slack: float = 1.0) -> DataFrame:
-    """Images in the leaves that prune() keeps.
+def _packed(cells: list[Column]) -> Column:
+    """Cells of one level as one number; PACK_BITS a cell."""
+    out = cells[0].cast("long")
+    for c in cells[1:]:
+        out = F.shiftleft(out, PACK_BITS).bitwiseOR(c.cast("long"))
+    return out
+
+
+def _joined(cells: dict[int, set[tuple[int, ...]]], dims: int) -> dict[int, set[tuple[int, ...]]]:
+    """The same space with full sets of siblings as their parent, from the deepest level up."""
+    out = {level: set(found) for level, found in cells.items()}
+    for level in sorted(range(1, max(out, default=0) + 1), reverse=True):
+        of_parent: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+        for c in out.get(level, ()):
+            of_parent.setdefault(tuple(v >> 1 for v in c), []).append(c)
+        for parent, children in of_parent.items():
+            if len(children) == 1 << dims:
+                out[level].difference_update(children)
+                out.setdefault(level - 1, set()).add(parent)
+    return {level: found for level, found in out.items() if found}
+
+
+def predicate(images: DataFrame, query: tuple[float, float, float], threshold: float, cap: int, max_depth: int, dims: int, slack: float = 1.0) -> Column:
+    """Whether a row lies in a leaf that prune() keeps, as a column: no join, so many trees and other tests take one scan together.
 
-    Branch and bound: rows whose ancestors on an upper level are out of reach go first, by an expression on the row, and the tree is
-    built of the rest only, as no other branch is followed. Those rows are matched with the pruned leaves by an equi-join on level and
-    cell; a row in reach lies in a leaf in reach, so none is lost. Up to MOST_LEAVES leaves are fetched, so rows look them up where they are and
-    try only the levels that have any; beyond that both sides are dealt by cell. Rows outside the domain lie in no box and stay candidates.
+    Branch and bound: rows whose ancestors on an upper level are out of reach are left out of the tree, as no other branch is followed. The tree of the rest is one aggregation, whose
+    leaves in reach are fetched; if there are more than MOST_LEAVES, their ancestors on a level that can't have more, which holds more candidates and loses none. A row's cells on the
+    levels that have any are looked up in those sets. Rows outside the domain lie in no box and stay candidates.
     """
     inside = colour.box_contains((0.0,) * dims, (colour.TOP,) * dims)
-    near = images.where(inside & _ancestor_near(query, threshold * slack, dims))
-    kept = prune(leaves(near, cap, max_depth, dims), query, threshold, dims, slack).select("level", *_names(dims))
-    few = kept.limit(MOST_LEAVES + 1).collect()
+    near = _ancestor_near(query, threshold * slack, dims)
+    names = _names(dims)
+    # Packed cells have PACK_BITS an axis; a deeper leaf is known by its ancestor.
+    deepest = min(max_depth, PACK_BITS)
+    kept = prune(leaves(images.where(inside & near), cap, max_depth, dims), query, threshold, dims, slack)
+    above = lambda most: kept.select(F.least("level", F.lit(most)).alias("level"), *[F.call_function("shiftright", F.col(n), F.greatest(F.col("level") - most, F.lit(0))).alias(n) for n in names])
+    few = above(deepest).limit(MOST_LEAVES + 1).collect()
     if len(few) > MOST_LEAVES:
-        tried = F.sequence(F.lit(0), F.lit(max_depth))
-    else:
-        kept = F.broadcast(images.sparkSession.createDataFrame(few, kept.schema))
-        tried = F.array(*[F.lit(v) for v in sorted({r.level for r in few})]).cast("array<int>")
-    levels = near.withColumn("level", F.explode(tried))
-    keyed = levels.select(*images.columns, "level", *_cells(F.col("level"), dims))
-    found = keyed.join(kept, ["level", *_names(dims)], "left_semi").select(*images.columns)
-    return found.unionByName(images.where(~inside))
+        few = above((MOST_LEAVES.bit_length() - 1) // dims).distinct().collect()
+    cells: dict[int, set[tuple[int, ...]]] = {}
+    for r in few:
+        cells.setdefault(r.level, set()).add(tuple(r[n] for n in names))
+    within = F.lit(False)
+    for level, found in sorted(_joined(cells, dims).items()):
+        keys = sorted(sum(v << (PACK_BITS * (dims - 1 - k)) for k, v in enumerate(c)) for c in found)
+        within = within | _packed([colour.level_cell(F.col(c), level) for c in colour.CHANNELS[:dims]]).isin(keys)
+    return ~inside | (near & within)
+
+
+def candidates(images: DataFrame, query: tuple[float, float, float], threshold: float, cap: int, max_depth: int, dims: int, slack: float = 1.0) -> DataFrame:
+    """Images in the leaves that prune() keeps: one aggregation for the tree, one scan with its leaves as a filter."""
+    return images.where(predicate(images, query, threshold, cap, max_depth, dims, slack))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 
 from huespan.functions import colour
 from huespan.operators import grid, joins, quality, reports, search, tree
+from huespan.session import fresh_path
 from huespan.sources import images as src
+from huespan.sources import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The two standard queries: point and threshold.
@@ -116,6 +116,49 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.similarity_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 30.0)
 
 
+_PARTS = f"(SELECT query_id, {_QRGB} FROM (SELECT p_partkey AS query_id, md5('query_' || p_partkey) AS m FROM part))"
+#: Thresholds of the parts: a few wide ones among many narrow ones.
+_OWN = "CASE WHEN query_id % 50 = 0 THEN 120 WHEN query_id % 10 = 0 THEN 60 ELSE query_id % 30 END"
+
+
+@query(f"SELECT query_id, id, {_PAIR_D} AS distance FROM {IMG}, (SELECT *, ({_OWN})::DOUBLE AS threshold FROM {_PARTS}) WHERE {_PAIR_D} <= threshold")
+def similarity_join_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over all images and all parts, thresholds from 0 to 120."""
+    parts = src.queries_from_parts(spark, sf_dir).withColumn("threshold", F.expr(_OWN).cast("double"))
+    return joins.similarity_join_per_row(images(spark, sf_dir), parts)
+
+
+@query(f"SELECT query_id, unnest(range(1, len(best) + 1)) AS rank, unnest(best).id AS id, unnest(best).d AS distance FROM (SELECT query_id, min({{'d': {_PAIR_D}, 'id': id}}, 10) AS best FROM {IMG}, {_PARTS} GROUP BY query_id)")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest images of every part."""
+    return joins.knn_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 10)
+
+
+#: Images a leaf of the stored index holds in the queries: small, so that small tables have several leaves.
+STORED_CAP = 2000
+
+
+def _ranked_hits(found: DataFrame) -> DataFrame:
+    return search.ranked(found).select("id", "filename", "r", "g", "b", "distance", "rank")
+
+
+@query(LINEAR)
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images stored once as an index, and a search of it that opens the leaves in reach only."""
+    path = fresh_path(spark, "index")
+    stored.create(images(spark, sf_dir), path, STORED_CAP)
+    return _ranked_hits(stored.hits(spark, path, *A))
+
+
+@query(LINEAR)
+def stored_insert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the images came in three batches, one of them twice."""
+    path = fresh_path(spark, "index")
+    for k in (0, 1, 2, 1):
+        stored.insert(images(spark, sf_dir).where(F.col("id") % 3 == k), path, f"third-{k}", STORED_CAP)
+    return _ranked_hits(stored.hits(spark, path, *A))
+
+
 @query(f"SELECT {_ROWS}, {_RANK} FROM {_hits(A)} ORDER BY distance, id LIMIT 10")
 def topk_within_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(search.hits(images(spark, sf_dir), *A), 10)
@@ -137,7 +180,22 @@ def top3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT coalesce(bool_and(ok), TRUE) AS is_sorted FROM (SELECT distance >= lag(distance) OVER (ORDER BY distance, id) AS ok FROM {_hits(A)})")
 def sortedness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.sortedness(search.ranked(search.hits(images(spark, sf_dir), *A)))
+    """Of the result as a search orders it."""
+    return quality.sortedness(search.similar(images(spark, sf_dir), *A))
+
+
+_ORDERS = {"nearest first": "distance, id", "by id": "id", "farthest first": "distance DESC, id"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS result_order, coalesce(bool_and(ok), TRUE) AS is_sorted FROM (SELECT distance >= lag(distance) OVER (ORDER BY {o}) AS ok FROM {_hits(A)})" for n, o in _ORDERS.items()))
+def sortedness_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether distances rise along the hits in three orders; two of them are none of distance."""
+    out = None
+    for name, order in _ORDERS.items():
+        rows = search.hits(images(spark, sf_dir), *A).orderBy(*[F.expr(o.removesuffix(" DESC")).desc() if o.endswith("DESC") else F.expr(o) for o in order.split(", ")])
+        one = quality.sortedness(rows).select(F.lit(name).alias("result_order"), "is_sorted")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"SELECT count(*) AS found FROM {_hits(A)}")
@@ -382,12 +440,7 @@ _FILES = f"(SELECT name, lower(regexp_extract(name, '[.]([^./]+)$', 1)) AS exten
 
 def demo_folder(spark: SparkSession) -> str:
     """A folder with DEMO_FILES in the place that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/images-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "images")
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name in DEMO_FILES:

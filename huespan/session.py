@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dir: str | None = None
 #: Rows and bytes of one batch that a Python worker gets: texts may be long, and a worker holds a batch and what it makes of it.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", "8388608")}
 
@@ -44,3 +46,31 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(at)
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset and all run on this machine."""
+    global _own_dir
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if _own_dir is None:
+        _own_dir = "file://" + tempfile.mkdtemp(prefix="huespan-")
+    return _own_dir
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/huespan/{uuid.uuid4().hex}-{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what is read more than once is computed once, and outlives any executor."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
