@@ -3,13 +3,13 @@
 A tolerant parser builds the tree of a page. Elements that hold no text of the page (scripts, styles, controls, hidden ones) go at once. Menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments, known by tag, role or class, go unless the page's text lies in them: a weak sign
 (a class, a form) is overruled by more than half of the text outside links or by the page's only article, a strong one (nav, header, footer,
-aside, comments) by nine tenths of that text. A heading in the header of an article belongs to the article.
+aside, comments) by nine tenths of that text. Headings and paragraphs in the header of an article belong to the article. A word that also names subjects (related, legal, share, rating) is a
+soft sign: it counts only where the element is mostly links, has no paragraph or heading with text, or lies outside the densest subtree.
 
 Every node then gets its composite text density: characters per tag, scaled down the more of them are link text. A node's density sum adds up the densities of its
 children. The search starts at the node with the largest sum; the least density on the path from it to the body is the
 threshold. Below every node that reaches the threshold the one with the
 largest sum is marked, and the smallest subtree that covers all marked ones is taken; in it, blocks beside the marked ones that are mostly text of several links are left out.
-If the node with the largest sum lies in an article, or an article makes up most of it, all outermost articles that reach the threshold are taken in its place.
 All text of what is taken is returned, block by block.
 
 Null, empty and markup-free pages: the empty text, or the text itself. Unclosed tags, tags cut off at the end and references cut short
@@ -43,9 +43,13 @@ EMPTY = frozenset("head script style noscript template iframe object svg canvas
 ASIDE = frozenset("nav header footer aside dialog menu".split())
 IN_HEAD = frozenset("meta link title base script style noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|adsense|sponsor\w*|promo\w*|banners?|sidebars?|side|menus?|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|warnings?|popups?|modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|login|search|copyright|legal|disclaimer|skip|tags?|rating)(?:$|[\s_-])"
+_SOFT_WORDS = "side|share|sharing|social|related|recommend\\w*|search|copyright|legal|disclaimer|skip|tags?|rating"
+SOFT_ONLY = re.compile(rf"(?:^|[\s_-])(?:{_SOFT_WORDS})(?:$|[\s_-])")
+HARD = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|adsense|sponsor\w*|promo\w*|banners?|sidebars?|menus?|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alerts?|warnings?|popups?|modal|overlay|newsletter|subscri\w+|signup|widgets?|toolbar|pagination|pager|login)(?:$|[\s_-])"
 )
+#: Who wrote it and when, in the header of an article.
+BYLINE = re.compile(r"(?:^|[\s_-])(?:by-?lines?|authors?|meta|date-?lines?|dates?|time|timestamp|posted|published|updated)(?:$|[\s_-])")
 COMMENTS = re.compile(r"(?:^|\s)(?:[\w-]*[_-])?(?:comments?|commentlist|disqus|replies|respond)(?:[_-](?:area|list|section|thread|wrap|wrapper|container|block|box|body|form|content))?(?:$|\s)")
 #: Parts of a class that say something about the page, not what the element is: no-sidebar, with-header, tag-travel, comments-open.
 MODIFIED = re.compile(
@@ -63,17 +67,18 @@ _REST = re.compile(
 )
 _TOKEN = re.compile(_COMMENT + _REST.pattern, re.DOTALL | re.IGNORECASE)
 #: How sure a sign is that an element isn't the page's text, and the share of that text, in tenths, from which the sign is overruled.
-WEAK, STRONG = 1, 2
-OVERRULED = {WEAK: 5, STRONG: 9}
+SOFT, WEAK, STRONG = 1, 2, 3
+OVERRULED = {SOFT: 5, WEAK: 5, STRONG: 9}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "junk", "empty", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "junk", "empty", "byline", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []  # children and stretches of text, in order
-        self.junk, self.empty = 0, False
+        self.junk, self.empty, self.byline, self.own = 0, False, False, -1
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -94,8 +99,12 @@ def _judged(node: Node, attrs: str) -> None:
             node.empty = True
         elif name == "role" and value in ROLES:
             node.junk = WEAK if value in ("form", "search") else STRONG
-        elif name in ("class", "id") and tag not in ("article", "main") and JUNK.search(value) and JUNK.search(plain := MODIFIED.sub("", value)):
-            node.junk = max(node.junk, STRONG if COMMENTS.search(plain) else WEAK)
+        elif name in ("class", "id"):
+            node.byline = node.byline or BYLINE.search(value) is not None
+            if tag not in ("article", "main") and (HARD.search(value) or SOFT_ONLY.search(value)):
+                plain = MODIFIED.sub("", value)
+                hard = WEAK if HARD.search(plain) else SOFT if SOFT_ONLY.search(plain) else 0
+                node.junk = max(node.junk, STRONG if COMMENTS.search(plain) else hard)
 
 
 def parse(page: str) -> Node:
@@ -169,8 +178,10 @@ def _order(root: Node) -> list[Node]:
 
 
 def _length(n: Node) -> int:
-    """Characters of a node's own text."""
-    return sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
+    """Characters of a node's own text, which stays as it is parsed."""
+    if n.own < 0:
+        n.own = sum([len(" ".join(x.split())) for x in n.items if isinstance(x, str)])
+    return n.own
 
 
 def prune(root: Node) -> Node:
@@ -185,6 +196,9 @@ def prune(root: Node) -> Node:
     most: dict[int, int] = {}  # and those of the largest article of a subtree that no strong sign is around
     free: dict[int, int] = {}  # articles with clear text below a node, none of them in junk
     within = {id(root): 0}  # the strongest sign around a node
+    linked: dict[int, int] = {}  # characters of links, and whether a paragraph or heading of it has text outside links; both for soft signs
+    told: dict[int, bool] = {}
+    any_soft = any(n.junk == SOFT for n in nodes)
     for n in nodes:
         for k in n.kids():
             within[id(k)] = max(within[id(n)], k.junk)
@@ -195,6 +209,10 @@ def prune(root: Node) -> Node:
         clear[id(n)] = own + sum(clear[id(k)] for k in kids if not k.junk) if n.tag != "a" else 0
         most[id(n)] = max(plain[id(n)] if article(n) and within[id(n)] < STRONG else 0, *(most[id(k)] for k in kids), 0)
         free[id(n)] = sum(free[id(k)] + (article(k) and clear[id(k)] > 0) for k in kids if not k.junk)
+        if not any_soft:
+            continue
+        linked[id(n)] = sum(linked[id(k)] for k in kids) + (_length(n) + sum(plain[id(k)] for k in kids) if n.tag == "a" else 0)
+        told[id(n)] = any(told[id(k)] for k in kids) or (n.tag == "p" or n.tag in HEADINGS) and plain[id(n)] > 0
     # Without an article outside junk, the largest one overrules the weak signs around it.
     if not free[id(root)] and most[id(root)]:
         held, signs = root, 0
@@ -203,6 +221,7 @@ def prune(root: Node) -> Node:
             held = next((k for k in held.kids() if most[id(k)] == most[id(root)]), None) if not article(held) else None
         if signs:
             return prune(root)
+    soft: dict[int, Node] = {}
     todo = [(root, root)]  # a node, and the article around it
     while todo:
         n, around = todo.pop()
@@ -211,22 +230,50 @@ def prune(root: Node) -> Node:
             if not isinstance(k, Node):
                 continue
             if k.junk and (free[id(around)] or 10 * plain[id(k)] <= OVERRULED[k.junk] * plain[id(around)]):
-                heads = _headings(k) if k.tag == "header" and _in_article(n) else []
+                if k.junk == SOFT and told[id(k)] and linked[id(k)] <= plain[id(k)]:
+                    soft[id(k)] = k
+                    todo.append((k, around))
+                    continue
+                heads = _lead(k) if k.tag == "header" and _in_article(n) else []
                 k = n.items[at] = Node("hr" if not heads else "div", n)  # noqa: PLW2901
                 k.items = [*heads]
                 for h in heads:
                     h.parent = k
             else:
                 todo.append((k, around))
+    if soft:
+        _drop_outside(root, soft)
     return root
 
 
+def _drop_outside(root: Node, soft: dict[int, Node]) -> None:
+    """Drops the elements that lie outside the subtree that is the densest without them; of equals the innermost counts."""
+    parents = {id(k.parent): k.parent for k in soft.values()}
+    whole = {key: n.items for key, n in parents.items()}
+    for n in parents.values():
+        n.items = [x for x in n.items if id(x) not in soft]
+    best = max(reversed(measure(root)), key=lambda n: n.sum)
+    for key, n in parents.items():
+        n.items = whole[key]
+    held = {id(n) for n in _order(_block(best))}
+    for n in parents.values():
+        n.items = [Node("hr", n) if id(x) in soft and id(x) not in held else x for x in n.items]
+
+
 def _in_article(n: Node | None) -> bool:
     return n is not None and (n.tag in ("article", "main") or n.tag in ("div", "section") and n.parent is not None and n.parent.tag in ("article", "main"))
 
 
-def _headings(node: Node) -> list[Node]:
-    return [n for n in _order(node) if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6")]
+def _lead(header: Node) -> list[Node]:
+    """Headings and paragraphs of an article's header, without bylines and what is in links."""
+    out, todo = [], [header]
+    while todo:
+        n = todo.pop()
+        if n.tag in HEADINGS or n.tag == "p" and not n.byline and any(_length(x) for x in _order(n) if x.tag != "a"):
+            out.append(n)
+        elif not (n.byline or n.junk and n is not header):
+            todo.extend(reversed(n.kids()))
+    return out
 
 
 def measure(root: Node) -> list[Node]:
@@ -249,8 +296,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
+def main_node(root: Node) -> Node:
+    """The subtree that holds the main text."""
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.sum)  # the first of equals, so the outer one
     path, up = [], best
@@ -258,23 +305,12 @@ def main_nodes(root: Node) -> list[Node]:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    outer, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        if n.tag in ("article", "main") and n.chars:
-            outer.append(n)
-        else:
-            todo.extend(reversed(n.kids()))
-    held = {id(n) for n in path}
-    inside = {id(n) for n in _order(best)}
-    if any(id(n) in held for n in outer) or 2 * sum(n.chars for n in outer if id(n) in inside) > best.chars:
-        return [n for n in outer if n.density >= threshold or id(n) in held]
-    return [_covering(nodes, _block(best), threshold)]
+    return _covering(nodes, _block(best), threshold)
 
 
 def _block(node: Node) -> Node:
     """What is more than a block's inline part."""
-    while node.parent is not None and node.tag not in ("div", "section", "td", "body"):
+    while node.parent is not None and node.tag not in ("article", "main", "div", "section", "td", "body"):
         node = node.parent
     return node
 
@@ -346,7 +382,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(b for n in main_nodes(prune(parse(page))) for b in blocks(n))
+    return "\n".join(blocks(main_node(prune(parse(page)))))
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text", keep: list[str] | None = None) -> DataFrame:

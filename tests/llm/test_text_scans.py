@@ -57,6 +57,26 @@ def test_junk_still_goes(name):
     assert html_text.main_text(f"<main><article><p>short</p></article><div class='{name}'><article>one longer one</article><article>another longer one</article></div></main>") == "short"
 
 
+SUBJECTS = ["related-work", "legal", "share-price", "side-effects", "search-results", "rating", "tags", "skip-list", "copyright-law", "social-history", "recommendations", "disclaimer"]
+
+
+@pytest.mark.parametrize("name", SUBJECTS)
+@pytest.mark.parametrize("page", ["<body><nav><a href=/>m</a></nav><article><h1>T</h1>{}</article><div class=comments><p>Nice one</p></div></body>", "<body><ul class=menu><li><a href=/>m</a></ul><div class=post><h1>T</h1>{}</div></body>"])
+def test_sections_about_a_subject_stay(name, page):
+    part = f"<section class='{name}'><h2>Its heading</h2><p>{'What it says of it. ' * 6}</p></section>"
+    want = ["T", *PROSE_TEXT.splitlines(), "Its heading", ("What it says of it. " * 6).strip()]
+    assert html_text.main_text(page.format(PROSE + part)).splitlines() == want
+    links = f"<div class='{name}'><h3>More</h3>" + "".join(f"<a href=/{k}>another entry {k}</a> " for k in range(5)) + "</div>"
+    assert html_text.main_text(page.format(PROSE + links)).splitlines() == want[:-2]
+    assert html_text.main_text(page.format(PROSE + f"<div class='{name}'>few words</div>")).splitlines() == want[:-2]
+    assert html_text.main_text(page.format(PROSE) + f"<div class='{name}'><p>{'a teaser ' * 5}</p></div>").splitlines() == want[:-2]
+
+
+def test_leads_in_an_articles_header_stay():
+    page = f"<article><header><nav><a href=/>x</a></nav><h1>Head</h1><p class='byline meta'>by x, May 3</p><p>The lead.</p><p><a href=/>all news</a></p></header>{PROSE}</article>"
+    assert html_text.main_text(page) == f"Head\nThe lead.\n{PROSE_TEXT}"
+
+
 def prose(n, word):
     return "".join(f"<p>{(word + ' ') * 60}</p>" for _ in range(n))
 
@@ -250,6 +270,51 @@ def test_labels(text, labels):
     assert scan(text)["labels"] == labels
 
 
+PLAIN = [
+    "a paper published by MIT in 1999",
+    "power is provided by Elastic bands",
+    "books distributed by Ruby Smith",
+    "covered by X11 forwarding",
+    "the book is published by PostgreSQL Press",
+    "it is in the public domain that he won",
+    "Copyright laws and all rights reserved seats",
+    "the Python Software Foundation announced a grant",
+    "we met at the Boost Software booth, and at Apache 2.0 Avenue",
+    "her business source told her that the server side public was small",
+    "an open database, an artistic 2 year plan, and an academic free 3 day trip",
+]
+
+
+def test_prose_with_words_of_licences_has_no_label():
+    names = ["MIT", "Apache", "BSD", "Ruby", "Elastic", "Python", "PostgreSQL", "X11", "Vim", "ISC", "Boost Software", "OpenSSL", "Mozilla", "Eclipse", "Microsoft", "Creative Commons", "NCSA", "W3C", "IBM", "GNU"]
+    frames = ["a report published by {} last year", "the {} team was licensed to drive", "tickets are available under the {} bridge", "software from {} was provided by a vendor", "the driving license of the {} founder expired", "{} released a statement, and all rights were discussed", "his copyright claim against {} failed", "talks covered by {} staff", "she was released by {} in 2004", "distributed by {} and read by many"]
+    lines = PLAIN + [f.format(n) for f in frames for n in names]
+    assert len(lines) > 200
+    scan = licenses.Scanner()
+    assert [(x, scan.scan(x)["labels"]) for x in lines if scan.scan(x)["labels"]] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Released under the MIT License.", "mit"),
+        ("licensed under MIT", "mit"),
+        ("This project is distributed under the terms of the Apache License, Version 2.0", "apache-2.0"),
+        ("Available under the Ruby license", "ruby"),
+        ("Elastic License 2.0", "elastic-2.0"),
+        ("Python Software Foundation License Version 2", "python-2.0"),
+        ("This file is in the public domain.", "public-domain"),
+        ("Released into the public domain by its author", "public-domain"),
+        ("Copyright (c) 2019 Acme Inc. All rights reserved.", "proprietary"),
+        ("Licensed under the PostgreSQL License", "postgresql"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+        ("The Software shall be used for Good, not Evil.", "json"),
+    ],
+)
+def test_notices_are_found(text, label):
+    assert label in licenses.Scanner().scan(text)["labels"]
+
+
 def test_there_are_hundreds_of_rules_and_suppression_leaves_no_contained_one():
     assert len(licenses.build_rules()) > 300
     line = b" licensed under the apache license version 2 0 and the mit license "
