@@ -1,5 +1,7 @@
 """7. License scan by ordered signature rules.
 
+Names of licences are common words or names of firms as well, so a name counts only with the word "license" or behind "licensed under", and a notice only as the sentence that it is.
+
 A text becomes a line of lower-case words with one space around each, so rules are regular expressions over
 words that punctuation, line ends and comment signs don't disturb. Every rule names keywords, one of which each of its matches holds; one Aho-Corasick pass
 finds the keywords of a text, and only rules with a keyword that it holds are tried. Detections are then ordered by priority
@@ -129,15 +131,60 @@ NOTICES = [
     ("boost-1.0", "boost", r"distributed under the boost software license version 1 0"),
     ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "domain", r"(?:this|the) (?:software|program|code|source code|file|library|work|package|data|dataset|text|image|document|module|header) (?:is|are|was|has been)(?: hereby)?(?: put)? in the public domain"),
+    ("public-domain", "domain", r"no copyright(?: is claimed)?(?: \S+){0,6} public domain"),
     ("wtfpl", "want", r"do what the fuck you want to public license"),
     ("cc0-1.0", "waived", r"has waived all copyright and related or neighboring rights"),
-    ("proprietary", "reserved", r"copyright(?: \S+){0,12} all rights reserved"),
+    ("proprietary", "reserved", r"copyright(?: c)?(?: by)?(?: \S+){0,5} (?:19|20)\d\d(?: \S+){0,12} all rights reserved"),
+    ("proprietary", "reserved", r"c (?:19|20)\d\d(?: \S+){0,12} all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)(?: \S+){0,6}"),
     ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited"),
     ("openssl", "openssl", r"this product includes software developed by the openssl project"),
     ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
     ("dual", "dual", r"dual licensed under(?: \S+){1,10}"),
+    ("mit", "notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", "consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("bsd", "binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd", "retain", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-0-clause", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("lgpl", "library", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1-or-later", "later", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-2.0-or-later", "later", r"gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", "later", r"gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0-or-later", "later", r"gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gfdl-1.3", "permission", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3"),
+    ("gfdl-1.2", "permission", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 2"),
+    ("epl-2.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|version) ?2 0"),
+    ("epl-1.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|version) ?1 0"),
+    ("cddl-1.0", "development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", "common", r"this program and the accompanying materials are made available under the terms of the common public license"),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?: version| v)? ?1 2"),
+    ("artistic-2.0", "artistic", r"redistribute it and or modify it under the terms of (?:either )?the artistic license(?: version)? 2 0"),
+    ("perl", "perl", r"under the same terms as perl itself"),
+    ("cc-by-4.0", "commons", r"this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "commons", r"this work is licensed under a creative commons attribution share ?alike 4 0 international license"),
+    ("cc-by-nc-4.0", "commons", r"this work is licensed under a creative commons attribution non ?commercial 4 0 international license"),
+    ("cc0-1.0", "extent", r"to the extent possible under law(?: \S+){1,12} waived all copyright"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1"),
+    ("python-2.0", "psf", r"this license agreement is between the python software foundation psf and the individual or organization"),
+    ("php-3.01", "php", r"this source file is subject to version 3 01 of the php license"),
+    ("postgresql", "california", r"in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("ncsa", "illinois", r"neither the names? of(?: \S+){0,8} university of illinois"),
+    ("w3c", "licensee", r"by obtaining(?: using)? and or copying this work you the licensee agree"),
+    ("busl-1.1", "change", r"change date(?: \S+){1,12} change license"),
+    ("sspl-1.0", "server side", r"server side public license version 1(?: as published by mongodb inc)?"),
+    ("elastic-2.0", "managed", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("afl-3.0", "academic", r"licensed under the academic free license version 3 0"),
+    ("osl-3.0", "open", r"licensed under the open software license version 3 0"),
+    ("blueoak-1.0.0", "contributor", r"each contributor licenses you to do everything with this software that would otherwise infringe that contributor s copyright"),
+    ("upl-1.0", "lrgrwrks", r"to deal in both a the software and b any piece of software and or hardware listed in the lrgrwrks txt file"),
+    ("beerware", "whatever you want", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("proprietary", "written", r"no part of this (?:publication|software|file|document) may be (?:reproduced|copied|redistributed)(?: \S+){0,20} without(?: the)?(?: prior)?(?: express)? written (?:permission|consent)"),
+    ("proprietary", "trade", r"contains trade secrets(?: \S+){0,8} (?:proprietary|confidential) information"),
 ]
 
 # Families without a version: label, keywords, pattern.
@@ -170,11 +217,14 @@ def build_rules() -> list[Rule]:
     """All rules, in order of priority and then as written."""
     found: list[tuple[str, str, str, str]] = [("notice", *x) for x in NOTICES] + [("generic", *x) for x in GENERIC]
     for label, key, name, tag, address in FAMILIES:
+        # Names are words of prose, of firms and of languages too, so they count with the word "license" only, or behind "licensed under".
+        named = rf"(?:{name}) licen[cs]e" + (rf"|{name}" if "licen" in name.replace("(?: license)?", "") else rf"|{name.replace('(?: license)?', ' license')}" if "(?: license)?" in name else "")
         found += [
             ("tag", label, "spdx", rf"spdx license identifier (?:\S+ or )?{tag}(?: only| or later)?"),
             ("address", label, address.replace("(?:www )?", "").replace("(?:", "").split(" ")[0].split("|")[0] if key not in address else key, address),
-            ("grant", label, key, rf"(?:licensed|released|distributed|available|provided|published|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{name})(?: licen[cs]e)?(?: version \d+(?: \d+)*)?"),
-            ("name", label, key, rf"(?:{name}) licen[cs]e" if "licen" not in name else rf"(?:{name})"),
+            ("grant", label, key, rf"(?:released|distributed|available|provided|published|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{named})(?: version \d+(?: \d+)*)?"),
+            ("grant", label, key, rf"(?:licensed|licensing|license|relicensed) (?:is )?under(?: the)?(?: terms of)?(?: the)? (?:{named}|{name})(?: version \d+(?: \d+)*)?"),
+            ("name", label, key, rf"(?:{named})"),
         ]
     rules = [Rule(f"{kind}-{k}", label, tuple(key.encode().split(b"|")), re.compile(b"(?<= )(?:" + p.encode() + b")(?= )"), KINDS[kind][0], KINDS[kind][1]) for k, (kind, label, key, p) in enumerate(found)]
     return sorted(rules, key=lambda r: r.priority)
