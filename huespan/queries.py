@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huespan.functions import colour
-from huespan.operators import grid, joins, quality, reports, search, tree
+from huespan.functions import colour, spaces
+from huespan.operators import choice, dual, grid, joins, quality, reports, search, tree
 from huespan.session import fresh_path
 from huespan.sources import images as src
 from huespan.sources import stored
@@ -134,6 +134,100 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.knn_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 10)
 
 
+@query(ORACLES["similarity_join"])
+def dual_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of similarity_join, by two trees."""
+    return dual.dual_tree_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 30.0)
+
+
+_COSINE = "1 - (r * qr + g * qg + b * qb) / (sqrt(r * r + g * g + b * b) * sqrt(qr * qr + qg * qg + qb * qb))"
+
+
+@query(f"SELECT query_id, id, round({_COSINE}, 9) AS distance FROM {IMG}, {_PARTS} WHERE r + g + b > 0 AND qr + qg + qb > 0 AND {_COSINE} <= 0.002")
+def cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images in the direction of each part, within 3.6 degrees."""
+    return joins.cosine_join(images(spark, sf_dir), src.queries_from_parts(spark, sf_dir), 0.002).withColumn("distance", F.round("distance", 9))
+
+
+_ANGLE = f"(1 - (r * {A[0][0]} + g * {A[0][1]} + b * {A[0][2]}) / (sqrt(r * r + g * g + b * b) * sqrt({A[0][0]} * {A[0][0]} + {A[0][1]} * {A[0][1]} + {A[0][2]} * {A[0][2]})))"
+
+
+@query(f"SELECT id, round({_ANGLE}, 9) AS distance FROM {IMG} WHERE r + g + b > 0 AND {_ANGLE} <= 0.01")
+def cosine_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By angle, over the stored index, which opens the folders that hold such directions."""
+    path = fresh_path(spark, "index")
+    stored.create(images(spark, sf_dir), path, STORED_CAP)
+    return stored.hits(spark, path, A[0], 0.01, "cosine").select("id", F.round("distance", 9).alias("distance"))
+
+
+_BLOCKS = " + ".join(f"abs({c} - {v})" for c, v in zip("rgb", A[0], strict=True))
+
+
+@query(f"SELECT id, {_BLOCKS} AS distance FROM {IMG} WHERE {_BLOCKS} <= 60")
+def manhattan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By city-block distance, with the grid's candidates: a cube holds that ball too."""
+    return search.hits(images(spark, sf_dir), A[0], 60.0, "hash_grid", "manhattan").select("id", "distance")
+
+
+def _lab_sql(r: str, g: str, b: str) -> list[str]:
+    linear = [f"(CASE WHEN {c} / 255.0 <= {spaces.GAMMA_KNEE}::DOUBLE THEN {c} / 255.0 / {spaces.GAMMA_SLOPE}::DOUBLE ELSE pow(({c} / 255.0 + {spaces.GAMMA_OFFSET}::DOUBLE) / {1 + spaces.GAMMA_OFFSET}::DOUBLE, {spaces.GAMMA}::DOUBLE) END)" for c in (r, g, b)]
+    light = ["(" + " + ".join(f"{m}::DOUBLE * {v}" for m, v in zip(row, linear, strict=True)) + f") / {w}::DOUBLE" for row, w in zip(spaces.XYZ, spaces.WHITE, strict=True)]
+    x, y, z = [f"(CASE WHEN {t} > {spaces.DELTA**3!r}::DOUBLE THEN cbrt({t}) ELSE {t} / {3 * spaces.DELTA**2!r}::DOUBLE + {4 / 29!r}::DOUBLE END)" for t in light]
+    return [f"{y} * 116 - 16", f"({x} - {y}) * 500", f"({y} - {z}) * 200"]
+
+
+def _in_space(axes: list[str], point: tuple[float, float, float]) -> str:
+    return "sqrt(" + " + ".join(f"(({a}) - {v!r}::DOUBLE) * (({a}) - {v!r}::DOUBLE)" for a, v in zip(axes, point, strict=True)) + ")"
+
+
+_LAB_D = _in_space(_lab_sql("r", "g", "b"), spaces.SPACES["lab"].point(*A[0]))
+_YUV_D = _in_space([" + ".join(f"{m}::DOUBLE * {c}" for m, c in zip(row, "rgb", strict=True)) for row in spaces.YUV], spaces.SPACES["yuv"].point(*A[0]))
+
+
+@query(f"SELECT id, r, g, b, round({_LAB_D}, 6) AS distance FROM {IMG} WHERE {_LAB_D} <= 20")
+def lab_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours that look alike: within 20 in L*a*b*, with bounds of the channels for the scan."""
+    return spaces.hits(images(spark, sf_dir), A[0], 20.0, "lab").select("id", "r", "g", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT id, r, g, b, round({_YUV_D}, 6) AS distance FROM {IMG} WHERE {_YUV_D} <= 30")
+def yuv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaces.hits(images(spark, sf_dir), A[0], 30.0, "yuv").select("id", "r", "g", "b", F.round("distance", 6).alias("distance"))
+
+
+def _tune_sql(threshold: float, finest: float, levels: int) -> str:
+    tries = " UNION ALL ".join(
+        f"SELECT {finest * 2**k}::DOUBLE AS size, count(*) AS cells, sum(n::DOUBLE * n) AS squares, sum(n) AS total, pow(2 * ceil({threshold} / {finest * 2**k}) + 1, 3)::DOUBLE AS visited FROM (SELECT count(*) AS n FROM {IMG} GROUP BY {', '.join(f'floor({c} / {finest * 2**k})' for c in 'rgb')})"
+        for k in range(levels)
+    )
+    return f"SELECT size, cells, candidates, cost, cost = min(cost) OVER () AS chosen FROM (SELECT size, cells, visited * squares / total AS candidates, visited * squares / total + visited * {choice.CELL} AS cost FROM ({tries}))"
+
+
+@query(_tune_sql(40.0, 4.0, 6))
+def tuned_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of each cell size for the standard threshold, and the size to take."""
+    return choice.tune_cell(images(spark, sf_dir), 40.0)
+
+
+def _estimate_sql(k: int, at: tuple[tuple[float, float, float], float]) -> str:
+    q, t = at
+    size = colour.TOP / (1 << choice.LEVEL)
+    near = " + ".join(f"power(greatest(c{j} * {size} - {v}, 0.0, {v} - (c{j} + 1) * {size}), 2)" for j, v in enumerate(q))
+    far = " + ".join(f"power(greatest({v} - c{j} * {size}, (c{j} + 1) * {size} - {v}), 2)" for j, v in enumerate(q))
+    steps = [(s + 0.5) / choice.SAMPLES for s in range(choice.SAMPLES)]
+    covered = f"len([1 FOR s IN range({choice.SAMPLES**3}) IF " + " + ".join(f"power((c{j} + {steps}[s // {choice.SAMPLES**j} % {choice.SAMPLES} + 1]) * {size} - {v}, 2)" for j, v in enumerate(q)) + f" <= {t * t}]) / {choice.SAMPLES**3}"
+    cells = ", ".join(f"least(floor({c} * 32 / 255.0), 31)::BIGINT AS c{j}" for j, c in enumerate("rgb"))
+    return f"""SELECT {k}::INT AS place, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (sqrt({far}) <= {t}), 0)::BIGINT AS at_least,
+        round(sum(n * CASE WHEN sqrt({near}) > {t} THEN 0 WHEN sqrt({far}) <= {t} THEN 1 ELSE {covered} END), 6)::DOUBLE AS estimate, coalesce(sum(n) FILTER (sqrt({near}) <= {t}), 0)::BIGINT AS at_most
+        FROM (SELECT {cells}, count(*) AS n FROM {IMG} GROUP BY ALL)"""
+
+
+@query(" UNION ALL ".join(_estimate_sql(k, at) for k, at in enumerate((A, B))))
+def selectivity_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a histogram of cells says of the two standard queries."""
+    return choice.estimates(choice.histogram(images(spark, sf_dir)), [A, B]).withColumn("estimate", F.round("estimate", 6))
+
+
 #: Images a leaf of the stored index holds in the queries: small, so that small tables have several leaves.
 STORED_CAP = 2000
 

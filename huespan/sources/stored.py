@@ -16,6 +16,7 @@ Images with a null, NaN or infinite channel are stored in a leaf of their own, w
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -212,17 +213,45 @@ def near(manifest: DataFrame, query: tuple[float, float, float], reach: float) -
     return manifest.where(colour.gap_to_box(query) <= float(reach) * (1 + 1e-9) + 1e-9)
 
 
-def candidates(spark: SparkSession, path: str, query: tuple[float, float, float], threshold: float) -> DataFrame:
-    """Images of the folders in reach, with plain bounds that the scan can use."""
+def near_direction(manifest: DataFrame, query: tuple[float, float, float], reach: float) -> DataFrame:
+    """Folders that may hold a colour whose direction lies within reach of the query's, as distance of unit vectors.
+
+    In a box of channels from 0 up, a coordinate of the direction is least where its channel is least and the others are largest, and the other way round; those intervals are a box of directions.
+    Folders with a channel below 0 are kept."""
+    norm = math.sqrt(sum(q * q for q in query))
+    gap, some_negative = F.lit(0.0), F.lit(False)
+    for c, q in zip(colour.CHANNELS, query, strict=True):
+        others = [o for o in colour.CHANNELS if o != c]
+        length = lambda own, other: F.sqrt(F.col(f"{own}_{c}") ** 2 + sum((F.col(f"{other}_{o}") ** 2 for o in others[1:]), F.col(f"{other}_{others[0]}") ** 2))  # noqa: B023, E731
+        low = F.when(length("lo", "hi") > 0, F.col(f"lo_{c}") / length("lo", "hi")).otherwise(0.0)
+        high = F.when(length("hi", "lo") > 0, F.col(f"hi_{c}") / length("hi", "lo")).otherwise(0.0)
+        one = F.greatest(low - q / norm, F.lit(0.0), q / norm - high)
+        gap, some_negative = gap + one * one, some_negative | (F.col(f"lo_{c}") < 0)
+    return manifest.where(F.col("level").isNotNull() & (some_negative | (F.sqrt(gap) <= reach)))
+
+
+def candidates(spark: SparkSession, path: str, query: tuple[float, float, float], threshold: float, metric: str = "euclidean") -> DataFrame:
+    """Images of the folders in reach; for distances in space with plain bounds that the scan can use. By cosine, a black query or a threshold from 1 on opens all."""
     now = version(spark, path)
-    if now is None or threshold < 0:
+    if now is None or not threshold >= 0:
         return spark.createDataFrame([], SCHEMA)
-    return _folders(spark, path, near(now.manifest, query, threshold)).where(colour.within_box(query, threshold))
+    if metric != "cosine":  # a city-block distance is no shorter than the straight one
+        return _folders(spark, path, near(now.manifest, query, threshold)).where(colour.within_box(query, threshold))
+    if threshold >= 1 or not any(query):
+        return _folders(spark, path, now.manifest)
+    return _folders(spark, path, near_direction(now.manifest, query, math.sqrt(2 * threshold) * (1 + 1e-9) + 1e-7))
 
 
-def hits(spark: SparkSession, path: str, query: tuple[float, float, float], threshold: float) -> DataFrame:
+def hits(spark: SparkSession, path: str, query: tuple[float, float, float], threshold: float, metric: str = "euclidean") -> DataFrame:
     """Stored images within the threshold, inclusive, with their distance."""
-    return candidates(spark, path, query, threshold).withColumn("distance", colour.distance(query)).where(F.col("distance") <= float(threshold))
+    return candidates(spark, path, query, threshold, metric).withColumn("distance", colour.distance(query, metric=metric)).where(F.col("distance") <= float(threshold))
+
+
+def folders(spark: SparkSession, path: str, query: tuple[float, float, float]) -> list[tuple[float, int]]:
+    """(distance of the bounds to the query, images) of each folder: what a choice of strategy weighs. One row a folder."""
+    now = version(spark, path)
+    rows = [] if now is None else now.manifest.where("level IS NOT NULL").select(colour.gap_to_box(query).alias("apart"), "n").collect()
+    return [(r.apart, r.n) for r in rows]
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
