@@ -1,6 +1,7 @@
 """1. Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards of about SHARD_ROWS by a hash of id and vector, which deals a row that is read again as before. A shard's vectors get one
+Up to SHARD_ROWS vectors of a length are one shard. More are dealt by the clusters of their directions (routing.py), and a query visits the shards of as many clusters as measured on a bounded number of exact
+answers, so the work grows with the queries, not with queries times shards. A shard's vectors get one
 more component that makes all norms equal, so the largest inner product with a query is the smallest distance to it. Nodes draw
 levels as in the published method and are inserted in blocks: every node of a block searches the graph as it stands, from the top with a beam on each level, for the nearest nodes
 there, to which the nearest nodes before it in its block are added. On each of its levels it is linked to up to LINKS of them that
@@ -8,8 +9,7 @@ the diversity rule keeps (no kept neighbour lies nearer to the candidate than th
 and a node whose links exceed its room keeps those that the same rule prefers. Equal vectors of a shard are one node, which carries all their ids, so copies take no
 room among links or in a beam. A level is stored as flat arrays: its nodes, and LINKS places for each (twice as many on the lowest).
 
-A search enters at the top, keeps a beam on every level and a wide one (EF) on the lowest, for a block of queries at once. Every query visits every
-shard; each gives its best k, scored in double precision on the original vectors, and a ranking by query merges them, after
+A search enters at the top, keeps a beam on every level and a wide one (EF) on the lowest, for a block of queries at once. Each shard that it visits gives its best k, scored in double precision on the original vectors, and a ranking by query merges them, after
 a ranking inside each task.
 
 Null, zero and non-finite vectors, and those with null components, take no part, as candidate or as query; neither do null ids. Floats are scored as they are, other numbers as doubles; graphs hold
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huespan.llm import routing
 from huespan.llm.common import materialize
 
 #: Rows of a shard, links of a node (twice as many on the lowest level), and widths of the beams: of a search, on the upper levels, and of an insertion.
@@ -279,11 +280,26 @@ def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> tuple[DataFrame, int]:
-    """Written graphs (dim, shard, ids, start, vectors, levels) of the rows of valid_vectors(), and the number of shards.
+def dealt(rows: DataFrame, queries: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> tuple[DataFrame, DataFrame, dict[int, routing.Routes]]:
+    """Rows (dim, vec_id, v, times) and queries (vec_id, v, dim), both with shard, and the routes of the lengths that have several shards.
 
     Rows equal in id and vector are counted before they are dealt; more than k of them can't show in a result."""
-    shards = max(1, -(-rows.count() // shard_rows))
+    counted = rows.groupBy("dim", "vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
+    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    large = sorted(d for d, n in sizes.items() if n > shard_rows)
+    one_shard = lambda df: df.where(~F.col("dim").isin(large)).withColumn("shard", F.lit(0).cast("long"))
+    if not large:
+        return one_shard(counted), one_shard(queries), {}
+    counted, queries = materialize(counted, "counted"), materialize(queries, "queries")
+    placed, asked, routes = one_shard(counted), one_shard(queries), {}
+    for d in large:
+        more, theirs, routes[d] = routing.deal(counted.where(F.col("dim") == d), queries.where(F.col("dim") == d), sizes[d], d, shard_rows, k)
+        placed, asked = placed.unionByName(more), asked.unionByName(theirs)
+    return placed, asked, routes
+
+
+def build_index(placed: DataFrame) -> DataFrame:
+    """Written graphs (dim, shard, ids, start, vectors, levels) of the rows of dealt()."""
 
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
@@ -302,20 +318,21 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> t
             }
         )
 
-    counted = rows.groupBy("dim", "vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, ids binary, start binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"), "graphs"), shards
+    return materialize(placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, ids binary, start binary, vectors binary, levels array<struct<nodes:binary,links:binary>>"), "graphs")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest found among all other rows."""
     rows = valid_vectors(vectors)
-    graphs, shards = build_index(rows, shard_rows, k)
-    kind = np.float32 if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else np.float64
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    built = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    placed, visits, _ = dealt(rows, queries, shard_rows, k)
+    graphs = build_index(placed)
+    kind = np.float32 if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else np.float64
+    # The fullest shard's queries make groups of about QUERY_GROUP, and a graph goes to as many groups as its shard has.
+    visits = materialize(visits.withColumnRenamed("vec_id", "query_id"), "visits")
+    groups = visits.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("groups"))
+    asked = visits.join(F.broadcast(groups), ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("groups"))).drop("groups")
+    built = graphs.join(F.broadcast(groups), ["dim", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
 
     def search(queries: pa.Table, graphs: pa.Table) -> pa.Table:
         q, v, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from huespan.llm import hnsw, queries
+from huespan.llm import hnsw, queries, routing
 
 
 def recall(spark, df, **options):
@@ -81,6 +82,31 @@ def test_recall_over_shards_and_norms(spark):
     assert recall(spark, df.limit(12)) == 1.0
 
 
+def test_queries_visit_few_shards_of_clustered_vectors(spark):
+    """Visits grow with queries: the shards are many, the clusters that hold the answers few; the answers stay."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 16)) * 4
+    rows = [(int(k), (centres[k % 24] + rng.normal(size=16) * 0.3).tolist()) for k in range(4800)]
+    rows += [(10_000 + k, rows[7][1]) for k in range(900)]  # a hot cluster, of several shards
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    valid = hnsw.valid_vectors(df)
+    queries = valid.where("vec_id % 20 = 0").groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    placed, visits, routes = hnsw.dealt(valid, queries, 200)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 400 and len(sizes) >= 20
+    assert max(routes[16].ways) > 1 and routes[16].probes <= 4
+    assert visits.groupBy("vec_id").count().agg(F.max("count")).first()[0] < len(sizes) / 2
+    assert recall(spark, df.where("vec_id < 4800"), shard_rows=200) >= 0.95
+
+
+def test_directions_of_vectors_of_any_size():
+    v = np.array([[1e200, 1e200], [-1e-200, 1e-200], [3.0, 0.0]])
+    d, log_length = routing.unit(v)
+    assert np.isfinite(d).all() and np.isfinite(log_length).all() and np.allclose(np.linalg.norm(d, axis=1), 1)
+    centres, weights = routing.directions_of(v, 5)
+    assert len(centres) == 3 and np.isfinite(weights).all()
+
+
 def test_copies_are_all_found(spark):
     rng = np.random.default_rng(6)
     hot = [float(x) for x in rng.normal(size=8)]
