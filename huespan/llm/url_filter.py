@@ -51,24 +51,35 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def read_suffixes(spark: SparkSession, path: str) -> list[str]:
-    """Suffixes of two and more labels from a file in the format of the public suffix list; wildcards and exceptions are left out. The list is metadata of some thousands of names."""
+    """Suffixes of two and more labels, wildcards and exceptions from a file in the format of the public suffix list, which is metadata of some thousands of names."""
     line = F.lower(F.trim(F.regexp_replace("value", "//.*$", "")))
-    rows = spark.read.text(path).select(line.alias("s")).where(F.col("s").contains(".") & ~F.col("s").rlike("[*!\\s]")).distinct().collect()
+    rows = spark.read.text(path).select(line.alias("s")).where(F.col("s").contains(".") & ~F.col("s").rlike("\\s")).distinct().collect()
     return sorted(r.s for r in rows)
 
 
 def name_levels(host: Column, suffixes: list[str] | None = None) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, without port and user."""
-    known: dict[int, list[str]] = {}
+    """Registered domain and suffix of a host, without port and user.
+
+    A suffix "*.x" stands for every name of one label more than x, and "!a.x" takes a.x out of it: the suffix there is x."""
+    plain: dict[int, list[str]] = {}
+    wild: dict[int, list[str]] = {}
+    excepted: dict[int, list[str]] = {}
     for s in TWO_PART_SUFFIXES if suffixes is None else suffixes:
-        known.setdefault(s.count(".") + 1, []).append(s)
+        kind, name = (wild, s[2:]) if s.startswith("*.") else (excepted, s[1:]) if s.startswith("!") else (plain, s)
+        kind.setdefault(s.count(".") + 1, []).append(name)
     bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
     bare = F.regexp_replace(bare, "[.]+$", "")
     domain, suffix = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
-    for labels in sorted(known):  # longer ones wrap shorter ones
+    for labels in sorted({*plain, *wild}):  # longer ones wrap shorter ones
         last = F.substring_index(bare, ".", -labels)
-        hit = last.isin(known[labels])
+        hit = last.isin(plain.get(labels, []))
+        if labels in wild:
+            hit = hit | F.substring_index(bare, ".", 1 - labels).isin(wild[labels]) & (F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit(""))) >= labels - 1)
         domain, suffix = F.when(hit, F.substring_index(bare, ".", -labels - 1)).otherwise(domain), F.when(hit, last).otherwise(suffix)
+    for labels in sorted(excepted):
+        last = F.substring_index(bare, ".", -labels)
+        hit = last.isin(excepted[labels])
+        domain, suffix = F.when(hit, last).otherwise(domain), F.when(hit, F.substring_index(bare, ".", 1 - labels)).otherwise(suffix)
     address = bare.rlike(ADDRESS)
     return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 

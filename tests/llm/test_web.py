@@ -164,10 +164,29 @@ def test_addresses_dots_and_a_list_of_suffixes(spark, tmp_path):
     assert levels() == [("192.168.0.1",) * 2, ("10.7.0.1",) * 2, ("[::1]",) * 2, ("b.com", "com"), ("kawasaki.jp", "jp"), ("4.com", "com"), ("blogs.co.uk", "co.uk")]
     (tmp_path / "list.dat").write_text("// names\ncom\nco.uk\nz.kawasaki.jp // three labels\n*.ck\n!www.ck\nKawasaki.jp\n\n")
     suffixes = url_filter.read_suffixes(spark, str(tmp_path / "list.dat"))
-    assert suffixes == ["co.uk", "kawasaki.jp", "z.kawasaki.jp"]
+    assert suffixes == ["!www.ck", "*.ck", "co.uk", "kawasaki.jp", "z.kawasaki.jp"]
     assert levels(suffixes)[4] == ("y.z.kawasaki.jp", "z.kawasaki.jp")
 
 
+def test_wildcards_and_exceptions_of_suffixes(spark):
+    names = ["a.b.co.ck", "b.co.ck", "co.ck", "ck", "x.www.ck", "www.ck", "p.city.kobe.jp", "q.r.other.kobe.jp", "kobe.jp", "ack", "a.notck"]
+    df = spark.createDataFrame([(n,) for n in names], "h string")
+    found = [tuple(r) for r in df.select(*url_filter.name_levels(df.h, ["*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp"])).collect()]
+    assert found == [("b.co.ck", "co.ck"), ("b.co.ck", "co.ck"), ("co.ck", "co.ck"), ("ck", "ck"), ("www.ck", "ck"), ("www.ck", "ck"), ("city.kobe.jp", "kobe.jp"), ("r.other.kobe.jp", "other.kobe.jp"), ("kobe.jp", "jp"), ("ack", "ack"), ("a.notck", "notck")]
+
+
+def test_of_equally_long_rules_the_last_decides(spark):
+    urls = ["http://ab.com/x/1", "http://sub.ab.com/x/1", "http://ab.com/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, good int")
+    rules = [("ab.com", "/x/", "block"), ("sub.ab.com", "/", "allow"), ("ab.com", "/x/", "allow"), ("com", "/x/1234", "block")]
+    said = lambda r: {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(pages, none, r).collect()}
+    assert said(rules) == {0: ("ab.com/x/", "allow"), 1: ("sub.ab.com/", "allow"), 2: (None, "allow")}
+    assert said(rules[::-1])[0] == ("ab.com/x/", "block")
+    same = [("ab.com", "/x/", "block"), ("com", "/x/1xxx", "allow"), ("b.com", "/x/1", "allow")]
+    assert said(same)[0] == ("ab.com/x/", "block")
+
+
 def test_unrelated_addresses_do_not_share_a_reputation(spark):
     urls = [f"http://192.168.0.1/{k}" for k in range(30)] + ["http://10.7.0.1/", "http://fine.com/"]
     got = judged(spark, urls, [(k, 0) for k in range(30)] + [(31, 1)] * 30)
