@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from huespan.functions import colour
 from huespan.operators import tree
+from huespan.session import written
 
 Point = tuple[float, float, float]
 Strategy = Callable[..., DataFrame]
@@ -127,9 +128,9 @@ def choose(threshold: float, queries: int = 1) -> str:
     return "bbox" if queries <= 1 else "hash_grid"
 
 
-def hits(images: DataFrame, query: Point, threshold: float, strategy: str | Strategy = "auto", metric: str = "euclidean", **params: object) -> DataFrame:
-    """Rows within the threshold, inclusive, with their distance; in no order."""
-    chosen = choose(threshold) if strategy == "auto" else strategy
+def hits(images: DataFrame, query: Point, threshold: float, strategy: str | Strategy = "auto", metric: str = "euclidean", chooser: object = None, **params: object) -> DataFrame:
+    """Rows within the threshold, inclusive, with their distance; in no order. With a chooser (choice.Chooser of the images), "auto" takes what costs least by its histogram."""
+    chosen = (choose(threshold) if chooser is None else chooser.choose(query, threshold).strategy) if strategy == "auto" else strategy
     narrow = STRATEGIES[chosen] if isinstance(chosen, str) else chosen
     if metric == "cosine":
         narrow = linear  # bounds in space say nothing about an angle
@@ -140,10 +141,11 @@ def hits(images: DataFrame, query: Point, threshold: float, strategy: str | Stra
 def ranked(found: DataFrame) -> DataFrame:
     """Adds rank, from 1 by (distance, id), null ids first, whatever ids are, without bringing many rows to one task.
 
-    A bounded sample by hash of (distance, id) shows whether the rows are few; few are ranked in one place. Else it gives the bounds of ranges of about equal size, whose rows are
+    The rows are written first, so what finds them runs once and what follows reads the rows alone. A bounded sample by hash of (distance, id) shows whether the rows are few; few are ranked in one place. Else it gives the bounds of ranges of about equal size, whose rows are
     counted; a row's rank is what lies in earlier ranges and its place in its own. Bounds and counts (one a range) are literals of the plan, so a
     task that runs again deals rows as before. Rows equal in distance and id share a range."""
     place = F.row_number().over(Window.orderBy("distance", "id"))
+    found = written(found, "hits")
     some = found.select("distance", "id").orderBy(F.xxhash64("distance", "id"), "distance", "id").limit(RANK_FEW + 1).collect()
     if len(some) <= RANK_FEW:
         return found.withColumn("rank", place.cast("long"))

@@ -525,6 +525,96 @@ def strategy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, search.label(s)) for s in search.STRATEGIES], "strategy string, label string")
 
 
+# Orders as a listing of files: names with and without extensions of images, in both cases, some of them unreadable (without a length).
+_KINDS = ["png", "JPG", "jpeg", "bmp", "Tif", "txt", "tiff", "PNG.bak"]
+_LISTED = f"(SELECT 'dir/item_' || o_orderkey || '.' || {_KINDS}[o_orderkey % {len(_KINDS)} + 1] AS path, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS length FROM orders)"
+_PATH_RGB = ", ".join(f"('0x' || substr(md5(path || ':' || length), {2 * k + 1}, 2))::INT::DOUBLE AS {c}" for k, c in enumerate("rgb"))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("o_orderkey") % len(_KINDS) + 1).cast("int"))
+    path = F.concat(F.lit("dir/item_"), F.col("o_orderkey").cast("string"), F.lit("."), kind)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(path.alias("path"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey").cast("long")).alias("length"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY path COLLATE C) AS id, split_part(path, '/', 2) AS filename, {_PATH_RGB} FROM {_LISTED} WHERE length IS NOT NULL AND lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {src.LOADED}")
+def listed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All loadable files of the listing, with ids in order of the path and colours."""
+    return src.load_listed(listing(spark, sf_dir))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY path COLLATE C) AS id, split_part(path, '/', 2) AS filename FROM {_LISTED} WHERE length IS NOT NULL AND lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {src.LOADED} ORDER BY path COLLATE C LIMIT 1000")
+def listed_images_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load limit: the first thousand."""
+    return src.load_listed(listing(spark, sf_dir), 1000).select("id", "filename")
+
+
+@query(f"SELECT extension, count(*) AS n FROM (SELECT lower(regexp_extract(path, '[.]([^./]+)$', 1)) AS extension FROM {_LISTED}) WHERE extension IN {src.COUNTED} GROUP BY extension")
+def listed_images_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.by_extension(listing(spark, sf_dir))
+
+
+# Line items as a log of benchmark runs: the best run of each structure and size counts.
+_RUN_PLACE = f"{reports.ORDER}[l_suppkey % {len(reports.ORDER)} + 1]"
+_RUNS = f"(SELECT *, array_position({reports.ORDER}, structure) AS place FROM (SELECT {_RUN_PLACE} AS structure, (l_partkey % 40 + 1) * 1000 AS dataset_size, min(l_extendedprice)::DOUBLE AS insert_ms, min(l_quantity)::DOUBLE AS search_ms, count(*) AS found FROM lineitem GROUP BY ALL))"
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    structure = F.element_at(F.array(*[F.lit(x) for x in reports.ORDER]), (F.col("l_suppkey") % len(reports.ORDER) + 1).cast("int"))
+    runs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(structure.alias("structure"), ((F.col("l_partkey") % 40 + 1) * 1000).alias("dataset_size"))
+    return runs.agg(F.min(F.col("l_extendedprice").cast("double")).alias("insert_ms"), F.min(F.col("l_quantity").cast("double")).alias("search_ms"), F.count(F.lit(1)).alias("found"))
+
+
+@query(
+    f"""SELECT i.dataset_size, i.structure AS insert_winner, i.insert_ms, s.structure AS search_winner, s.search_ms
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset_size ORDER BY insert_ms, place) AS k FROM {_RUNS}) i
+    JOIN (SELECT *, row_number() OVER (PARTITION BY dataset_size ORDER BY search_ms, place) AS k FROM {_RUNS}) s ON i.dataset_size = s.dataset_size AND i.k = 1 AND s.k = 1"""
+)
+def run_log_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.winner_by_scale(run_log(spark, sf_dir))
+
+
+@query(
+    f"""SELECT lpad(dataset_size::VARCHAR, 10, '0') || '-' || k AS line, CASE WHEN k = 1 THEN dataset_size END AS scale, structure, insert_ms, search_ms, found
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset_size ORDER BY place) AS k FROM {_RUNS})"""
+)
+def run_log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_table(run_log(spark, sf_dir))
+
+
+@query(f"SELECT structure, dataset_size, insert_ms, search_ms, found, dataset_size / insert_ms * 1000 AS insert_per_s, insert_ms / dataset_size AS insert_ms_each FROM {_RUNS}")
+def run_log_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.rates(run_log(spark, sf_dir))
+
+
+@query(
+    """SELECT structure, dataset_size, abs(rec - ite) * 100 / greatest(rec, ite) AS delta_pct, CASE WHEN rec < ite THEN 'recursive' ELSE 'iterative' END AS winner
+    FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'Octree' ELSE 'Quadtree' END AS structure, (l_partkey % 40 + 1) * 1000 AS dataset_size, min(l_extendedprice) FILTER (l_linenumber % 2 = 0)::DOUBLE AS rec, min(l_extendedprice) FILTER (l_linenumber % 2 = 1)::DOUBLE AS ite FROM lineitem GROUP BY ALL)"""
+)
+def run_log_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of odd lines as iterative, of even ones as recursive."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    structure = F.when(F.col("l_suppkey") % 2 == 0, "Octree").otherwise("Quadtree")
+    variant = F.when(F.col("l_linenumber") % 2 == 0, "recursive").otherwise("iterative")
+    runs = items.groupBy(structure.alias("structure"), ((F.col("l_partkey") % 40 + 1) * 1000).alias("dataset_size"), variant.alias("variant"))
+    return reports.variant_delta(runs.agg(F.min(F.col("l_extendedprice").cast("double")).alias("insert_ms")))
+
+
+_SIZES = "(SELECT count(*) AS t FROM lineitem UNION ALL SELECT count(*) FROM orders UNION ALL SELECT count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT count(*) FROM orders GROUP BY o_orderstatus)"
+
+
+@query(f"SELECT t AS total, generate_subscripts(l, 1)::INT AS rung, unnest(l)::BIGINT AS scale FROM (SELECT t::BIGINT AS t, {_LADDER} AS l FROM {_SIZES})")
+def scale_ladder_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ladders of the sizes of two tables and of groups of their rows."""
+    items, orders = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders"))
+    n = F.count(F.lit(1)).alias("total")
+    totals = [items.agg(n), orders.agg(n), items.groupBy("l_returnflag").agg(n).select("total"), orders.groupBy("o_orderstatus").agg(n).select("total")]
+    out = totals[0]
+    for t in totals[1:]:
+        out = out.unionByName(t)
+    return reports.scale_ladder(out)
+
+
 # The next ones read a folder that they make; its names and sizes are known to the SQL as values.
 
 #: Names of a small folder, as text; a name ending in .txt or in a subfolder isn't an image.

@@ -6,10 +6,12 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from huespan.operators.search import ranked
+
 SCHEMA = T.StructType(
     [T.StructField("id", T.LongType(), False), T.StructField("filename", T.StringType(), False), *[T.StructField(c, T.DoubleType(), False) for c in "rgb"]]
 )
@@ -49,22 +51,33 @@ def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = LOA
 
 
 def numbered(files: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ids from 1 in order of the path. With a limit, the top of the order is taken before numbering."""
+    """Ids from 1 in order of the path, numbered by ranges of paths, so no task gets them all. With a limit, the top of the order is taken before numbering."""
     if limit is not None:
         files = files.orderBy("path").limit(limit)
-    return files.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    placed = ranked(files.withColumns({"distance": F.lit(0.0), "id": F.col("path")}))
+    return placed.withColumn("id", F.col("rank")).drop("distance", "rank")
 
 
 def load_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Images of a folder: a file listing is metadata, so numbering it in one place is cheap."""
-    rows = numbered(extract_rgb(scan_files(spark, path)).where(F.col("r").isNotNull()), limit)
+    """Images of a folder, with ids in order of the path."""
+    return load_listed(scan_files(spark, path), limit)
+
+
+def load_listed(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Images of a listing (path, length): those of a loadable extension that can be opened, with ids in order of the path."""
+    rows = numbered(extract_rgb(files.where(has_extension(F.col("path"), LOADED))).where(F.col("r").isNotNull()), limit)
     return rows.select("id", F.element_at(F.split("path", "/"), -1).alias("filename"), "r", "g", "b")
 
 
 def count_images(spark: SparkSession, path: str) -> DataFrame:
     """Files by extension, of all that are counted."""
+    return by_extension(scan_files(spark, path, COUNTED))
+
+
+def by_extension(files: DataFrame, extensions: tuple[str, ...] = COUNTED) -> DataFrame:
+    """extension (lower case), n of the files (path) whose extension is listed."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return scan_files(spark, path, COUNTED).groupBy(ext.alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+    return files.where(has_extension(F.col("path"), extensions)).groupBy(ext.alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pixel_means(spark: SparkSession, path: str) -> DataFrame:
