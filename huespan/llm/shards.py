@@ -189,10 +189,8 @@ def with_slots(rows: DataFrame) -> DataFrame:
     size = max(BIN_ROWS, -(-total // MOST_BINS))
     bits = max(1, (total // size).bit_length())
     celled = rows.withColumn("cell", F.shiftright("key", 64 - bits))
-    per_cell = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    crowded = {r.cell: min(SALTS, -(-r.n // size)) for r in per_cell.where(F.col("n") > size).collect()}
-    ways = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, w in crowded.items() for v in (k, w)]).cast("map<bigint,int>"), F.col("cell")), F.lit(1)) if crowded else F.lit(1)
-    binned = celled.withColumn("part", F.pmod("salt", ways))
+    ways = celled.groupBy("cell").agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("ways"))  # 2 * MOST_BINS cells at most
+    binned = celled.join(F.broadcast(materialize(ways, "ways")), "cell").withColumn("part", F.pmod("salt", "ways")).drop("ways")
     keys = ["shard", "cell", "part"]
     counts = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
