@@ -62,11 +62,19 @@ def count_cells(images: DataFrame) -> DataFrame:
 
 
 def leaf_of_cells(cells: DataFrame, cap: int) -> DataFrame:
-    """code, level of the leaf that each cell lies in: the split nodes above a cell are a chain from the root, so the level is their number."""
-    above = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1)))).withColumn("node", _ancestor(F.col("code"), F.col("level")))
-    split = above.groupBy("level", "node").agg(F.sum("n").alias("n")).where(F.col("n") > cap).select("level", "node")
-    chain = above.join(split, ["level", "node"], "left_semi").groupBy("code").agg(F.count(F.lit(1)).cast("int").alias("level"))
-    return cells.select("code").join(chain, "code", "left").select("code", F.coalesce("level", F.lit(0)).alias("level"))
+    """code, level of the leaf that each cell lies in.
+
+    Counts go up the levels, and whether a node's ancestors are all split comes down them; a node meets its own parent only, so no key has more than eight rows."""
+    levels = [cells.select("code", "n")]
+    for _ in range(DEPTH):
+        levels.append(levels[-1].groupBy(F.shiftright("code", 3).alias("code")).agg(F.sum("n").alias("n")))
+    levels.reverse()
+    known = levels[0].select("code", F.lit(0).alias("level"), (F.col("n") > cap).alias("split"))
+    for k, nodes in enumerate(levels[1:], 1):
+        up = known.select(F.col("code").alias("up"), F.col("level").alias("up_level"), F.col("split").alias("up_split"))
+        here = nodes.withColumn("up", F.shiftright("code", 3)).join(up, "up")
+        known = here.select("code", F.when(F.col("up_split"), F.lit(k)).otherwise(F.col("up_level")).alias("level"), (F.col("up_split") & (F.col("n") > cap)).alias("split"))
+    return known.select("code", "level")
 
 
 @dataclass
