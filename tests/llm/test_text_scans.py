@@ -428,6 +428,55 @@ def test_frames_of_licences(spark):
 # 8
 
 
+@pytest.mark.parametrize(
+    ("text", "folded"),
+    [
+        ("1d1111ot", "idiiiiot"),
+        ("@$5h0le a$$hole", "asshole asshole"),
+        ("1d1!ot m0r0n! d1!!ot", "idiiot moron! di!!ot"),
+        ("a1.5b", "ai.sb"),
+        ("room 101b, b2b, 5,000", "room 101b, b2b, 5,000"),
+        ("100km at 3.5 h", "100km at 3.5 h"),
+    ],
+)
+def test_fold_of_runs(text, folded):
+    assert toxicity.fold(text) == folded
+
+
+def test_fold_leaves_nothing_to_fold(rnd):
+    for _ in range(3000):
+        text = "".join(rnd.choice("aabd0135789@$|!.,- _*2é") for _ in range(rnd.randint(0, 14)))
+        once = toxicity._STAND_INS.sub(lambda m: m[0].translate(toxicity._DIGITS), toxicity.fold(text))
+        assert once == toxicity.fold(text), text
+
+
+@pytest.mark.parametrize("part", ["a" + "1" * 300_000, "@" * 300_000, "a1,5b" * 60_000, "a8!" * 100_000, "a1" + ",1" * 150_000, "a" + "@$" * 150_000 + "8", "a1." * 100_000 + "5b"])
+def test_fold_takes_linear_time(part):
+    began = time.perf_counter()
+    toxicity.fold(part)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "le train est en retard et un retard de paiement est possible, retarder le projet",
+        "sin retardo, no retardar la entrega",
+        "une salopette bleue et un poisson clown",
+        "sacar la basura y tirar la basura al contenedor de basura",
+        "der idiot von dostojewski ist idiotensicher, in loser folge, ein loser zusammenschluss",
+        "a bastard sword and a fire retardant",
+    ],
+)
+def test_exceptions_of_four_languages(text):
+    assert toxicity.Lexicon().score(text) == 0
+
+
+def test_exceptions_hide_no_insult_beside_them():
+    for text in ("tu es en retard, connard", "saca la basura, gilipollas", "in loser folge, du arschloch", "you retard", "der idiot von nebenan"):
+        assert toxicity.Lexicon().score(text) > toxicity.THRESHOLD, text
+
+
 @pytest.mark.parametrize(("text", "folded"), [("1D10T sh17", "idiot shit"), ("ｔｒａｓｈ", "trash"), ("іdiоt", "idiot"), ("f.u.c.k off", "fuck off"), ("3.14 and 100", "3.14 and 100"), ("id​iot", "idiot")])
 def test_fold(text, folded):
     assert toxicity.fold(text) == folded
