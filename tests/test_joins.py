@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,15 @@ def test_plans_hold_no_nested_loop(spark, sf):
         text = plan_text(QUERIES[name](spark, sf))
         assert "NestedLoop" not in text and "Cartesian" not in text
     assert "WindowGroupLimit" in plan_text(QUERIES["knn_join"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["similarity_join"])
+def test_spread_rows_are_not_broadcast(spark, sf, name):
+    """Their size is underestimated a hundredfold, so the driver would hold what Spark takes for a small side."""
+    from huespan.queries import QUERIES
+
+    done = QUERIES[name](spark, sf)
+    done.collect()
+    text = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joined = [line for line in text.splitlines() if re.search(r"Join \[.*cr#", line)]
+    assert joined and all("SortMergeJoin" in line for line in joined)
