@@ -2,6 +2,7 @@
 
 import colorsys
 import math
+import re
 import random
 
 import pytest
@@ -182,3 +183,13 @@ def test_tuned_cells_follow_the_data(spark):
     narrow = images.withColumns({c: F.col(c) / 16 for c in "rgb"})
     assert best(images, 40.0) > best(narrow, 4.0) and best(images, 40.0) in (16.0, 32.0, 64.0)
     assert choice.tune_cell(images.limit(0), 40.0).count() == 0
+
+
+def test_dual_tree_meets_queries_first(spark):
+    """Images meet the queries near their node, not a row for every pair of nodes, and neither side is broadcast."""
+    images, parts = sf_images(spark, "/root/testdata/sf0.01"), src.queries_from_parts(spark, "/root/testdata/sf0.01")
+    done = dual.dual_tree_join(images, parts, 30.0)
+    done.collect()
+    text = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joined = [line for line in text.splitlines() if re.search(r"Join \[[ab]_key#", line)]
+    assert len(joined) >= 2 and all("SortMergeJoin" in line for line in joined[:2]) and "[a_key#" in joined[0]
