@@ -136,7 +136,7 @@ def test_plans_hold_no_nested_loop(spark, sf):
     assert "WindowGroupLimit" in plan_text(QUERIES["knn_join"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["similarity_join", "similarity_join_per_row", "knn_join"])
+@pytest.mark.parametrize("name", ["similarity_join", "similarity_join_per_row", "cosine_join", "knn_join"])
 def test_spread_rows_are_not_broadcast(spark, sf, name):
     """Their size is underestimated a hundredfold, so the driver would hold what Spark takes for a small side."""
     from huespan.queries import QUERIES
