@@ -30,9 +30,11 @@ def hashed_rgb(text: Column) -> list[Column]:
     return [_byte(m, k).alias(c) for k, c in enumerate("rgb")]
 
 
-def _hashed_once(text: Column, names: list[str]) -> Column:
-    """The three bytes as columns of those names, by a generator: filters on them stay above it, while those on plain columns go down to the scan, where each hashes the text again."""
-    return F.inline(F.array(F.struct(*[c.alias(n) for c, n in zip(hashed_rgb(text), names, strict=True)])))
+def _hashed_once(rows: DataFrame, text: Column, names: list[str]) -> DataFrame:
+    """Adds the three bytes of hashed_rgb under those names. A generator gives them as one number, so each text is hashed once: filters stay above it, while those on plain columns go down to the scan and hash the text again, and a generator of three columns hashes it three times."""
+    three = F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("int")
+    hashed = rows.select("*", F.inline(F.array(F.struct(three.alias("three_bytes")))))
+    return hashed.withColumns({n: F.shiftright("three_bytes", 16 - 8 * k).bitwiseAND(F.lit(255)).cast("double") for k, n in enumerate(names)}).drop("three_bytes")
 
 
 def extract_rgb(files: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
@@ -111,13 +113,13 @@ def synthetic(spark: SparkSession, n: int, seed: int = 42, partitions: int | Non
 def images_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as images: the name is made of the key, the colour of the name."""
     name = F.concat(F.lit("item_"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), name.alias("filename"), _hashed_once(name, ["r", "g", "b"]))
+    return _hashed_once(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), name.alias("filename")), F.col("filename"), ["r", "g", "b"])
 
 
 def queries_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as query points (query_id, qr, qg, qb)."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return parts.select(F.col("p_partkey").alias("query_id"), _hashed_once(F.concat(F.lit("query_"), F.col("p_partkey").cast("string")), ["qr", "qg", "qb"]))
+    return _hashed_once(parts.select(F.col("p_partkey").alias("query_id")), F.concat(F.lit("query_"), F.col("query_id").cast("string")), ["qr", "qg", "qb"])
 
 
 def query_point(files: DataFrame, wanted: str, default: tuple[float, float, float] = DEFAULT_QUERY) -> DataFrame:

@@ -1,14 +1,16 @@
-"""An index that is stored once and searched many times: images in the leaves of an octree, in Z-order, with a manifest.
+"""An index that is stored once and searched many times: images in Z-order, with a manifest of the leaves of an octree.
 
-    data/batch=<batch>/leaf=<leaf>/*.parquet     images of a leaf that came with a batch
+    data/batch=<batch>/node=<node>/*.parquet     images of a batch, by the nodes of one level; a file holds a stretch of the Z-order
     versions/v=<n>/{manifest,cells,batches}      what holds since the n-th insert
 
-The manifest has a row for each folder: its leaf, rows, and the least and largest value of every channel. A search keeps the folders whose bounds come within
-the threshold and opens no others, so it prunes files, not rows; bounds are those of the rows, so colours outside the domain are found too. `cells` counts images by the 2^24 cells of the deepest level, whatever the
+The manifest has a row for each leaf in each file: its rows, and the least and largest value of every channel. A search keeps the leaves whose bounds come within
+the threshold and opens no other files, so it prunes files, not rows; bounds are those of the rows, so colours outside the domain are found too. `cells` counts images by the 2^24 cells of the deepest level, whatever the
 number of images; the tree follows from it alone: a node is split if it holds more than `cap` images and isn't on the deepest level.
 
-An insert adds its cells' counts to the stored ones, and as counts only grow, so does the tree: leaves beyond the cap are read and written anew as their children, all others stay
-as they are and get a further folder. The tree after any number of inserts is that of one load of everything. A new version is written aside and renamed, so a reader sees an insert wholly or not at all, and one that broke
+Files don't follow the leaves: a batch has 512 nodes at most and as many files besides as tasks wrote it, however many leaves there are. While leaves are few, the nodes are on the level of the leaves of evenly spread images.
+
+An insert adds its cells' counts to the stored ones, and as counts only grow, so does the tree: files with leaves beyond the cap are read and described anew by the leaves' children, and no stored image is written again.
+The tree after any number of inserts is that of one load of everything. A new version is written aside and renamed, so a reader sees an insert wholly or not at all, and one that broke
 off is repeated under the same batch id, whose folder it replaces; a batch that is known already is left out. There may be one writer at a time.
 
 Images with a null, NaN or infinite channel are stored in a leaf of their own, which no search opens. Columns other than those of images are not stored.
@@ -27,25 +29,29 @@ from huespan.functions import colour
 from huespan.session import written
 from huespan.sources.images import SCHEMA
 
-#: Halvings of a channel down to the deepest cells; images a leaf may hold; folders that a search opens by name, beyond which it opens them by a join.
+#: Halvings of a channel down to the deepest cells; images a leaf may hold; files that a search opens by name, beyond which it opens them by a join.
 DEPTH, CAP, MOST_FOLDERS = 8, 1_000_000, 5000
-#: The leaf of images without a place.
+#: The deepest level whose nodes are folders.
+NODE_LEVEL = 3
+#: The leaf, and the node, of images without a place.
 NOWHERE = "none"
+_ROWS = "id long, filename string, r double, g double, b double, batch string, node string, file string"
 _BOUNDS = [f"{side}_{c}" for c in colour.CHANNELS for side in ("lo", "hi")]
-_MANIFEST = "batch string, leaf string, level int, code long, n long, " + ", ".join(f"{b} double" for b in _BOUNDS)
-_STORED = "id long, filename string, r double, g double, b double, leaf string"
+_FILE = ["batch", "node", "file"]
+_MANIFEST = "batch string, node string, file string, leaf string, level int, code long, n long, " + ", ".join(f"{b} double" for b in _BOUNDS)
+_STORED = "id long, filename string, r double, g double, b double, batch string, node string"
+#: Each byte with two zeros behind every bit.
+_SPREAD = "array(" + ", ".join(f"{sum((v >> k & 1) << 3 * k for k in range(8))}L" for v in range(256)) + ")"
 
 
 def _spread_bits(v: Column) -> Column:
-    """The lower eight bits of v, two zeros behind each: shifts and masks, fixed values for this width."""
-    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
+    """A byte with two zeros behind every bit, by a table: shifts and masks name v twice a step, which makes code too long to be compiled."""
+    return F.get(F.expr(_SPREAD), v)
 
 
 def z_code(depth: int = DEPTH) -> Column:
     """Place of r, g, b in Z-order on the level `depth` (8 at most): bits of the three cells in turn, red first. Null where a channel isn't finite."""
-    r, g, b = [_spread_bits(colour.level_cell(F.col(c), depth)) for c in colour.CHANNELS]
+    r, g, b = [_spread_bits(colour.level_cell(F.col(c), depth).cast("int")) for c in colour.CHANNELS]
     finite = F.lit(True)
     for c in colour.CHANNELS:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
@@ -64,10 +70,10 @@ def count_cells(images: DataFrame) -> DataFrame:
 def leaf_of_cells(cells: DataFrame, cap: int) -> DataFrame:
     """code, level of the leaf that each cell lies in.
 
-    Counts go up the levels, and whether a node's ancestors are all split comes down them; a node meets its own parent only, so no key has more than eight rows."""
+    Counts go up the levels, each of which is written once, as it is read for the one above and on the way down, and whether a node's ancestors are all split comes down them; a node meets its own parent only, so no key has more than eight rows."""
     levels = [cells.select("code", "n")]
     for _ in range(DEPTH):
-        levels.append(levels[-1].groupBy(F.shiftright("code", 3).alias("code")).agg(F.sum("n").alias("n")))
+        levels.append(written(levels[-1].groupBy(F.shiftright("code", 3).alias("code")).agg(F.sum("n").alias("n")), "level"))
     levels.reverse()
     known = levels[0].select("code", F.lit(0).alias("level"), (F.col("n") > cap).alias("split"))
     for k, nodes in enumerate(levels[1:], 1):
@@ -123,29 +129,47 @@ def _commit(spark: SparkSession, path: str, number: int, manifest: DataFrame, ce
         raise RuntimeError(f"version {number} of {path} was written by another insert")
 
 
-def _folders(spark: SparkSession, path: str, folders: DataFrame) -> DataFrame:
-    """Images in the folders (batch, leaf): opened by name while they are few, else by a join that prunes partitions."""
-    named = folders.select("batch", "leaf").limit(MOST_FOLDERS + 1).collect()
+def _rows(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Images with their batch, node and file, of the files (batch, node, file): opened by name while they are few, else by a join that prunes partitions."""
+    files = files.select(*_FILE).distinct()
+    named, own = files.limit(MOST_FOLDERS + 1).collect(), ["batch", "node", F.col("_metadata.file_name").alias("file")]
     if not named:
-        return spark.createDataFrame([], SCHEMA)
-    reader = spark.read.schema(_STORED)
+        return spark.createDataFrame([], _ROWS)
+    reader = spark.read.schema(_STORED).option("basePath", f"{path}/data")
     if len(named) <= MOST_FOLDERS:
-        return reader.option("basePath", f"{path}/data").parquet(*[f"{path}/data/batch={r.batch}/leaf={r.leaf}" for r in named]).select(*SCHEMA.names)
-    all_rows = spark.read.schema(f"{_STORED}, batch string").parquet(f"{path}/data")
-    return all_rows.join(folders.select("batch", "leaf"), ["batch", "leaf"], "left_semi").select(*SCHEMA.names)
+        return reader.parquet(*[f"{path}/data/batch={r.batch}/node={r.node}/{r.file}" for r in named]).select(*SCHEMA.names, *own)
+    return reader.parquet(f"{path}/data").select(*SCHEMA.names, *own).join(files, _FILE, "left_semi").select(*SCHEMA.names, *_FILE)
+
+
+def _folders(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Images of the files (batch, node, file)."""
+    return _rows(spark, path, files).select(*SCHEMA.names)
+
+
+def _described(rows: DataFrame, leaf_of: DataFrame) -> DataFrame:
+    """Rows of the manifest for images with their batch, node and file. Bounds are taken by cell first, so a cell meets its leaf once a file."""
+    bounds = [(f"{side}_{c}", c, f) for c in colour.CHANNELS for side, f in (("lo", F.min), ("hi", F.max))]
+    by_cell = rows.withColumn("code", z_code()).groupBy(*_FILE, "code").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(b) for b, c, f in bounds])
+    placed = by_cell.join(leaf_of, "code", "left").withColumn("code", _ancestor(F.col("code"), F.col("level")))
+    found = placed.groupBy(*_FILE, "level", "code").agg(F.sum("n").alias("n"), *[f(b).alias(b) for b, _, f in bounds])
+    leaf = F.when(F.col("level").isNull(), NOWHERE).otherwise(F.concat(F.lit("z"), F.col("level").cast("string"), F.lit("_"), F.col("code").cast("string")))
+    return found.select(*_FILE, leaf.alias("leaf"), "level", "code", "n", *_BOUNDS)
+
+
+def _node_level(cells: DataFrame, cap: int) -> int:
+    """The level at which evenly spread images would have their leaves, NODE_LEVEL at most."""
+    n = cells.agg(F.sum("n").alias("n")).first().n or 0
+    return next((k for k in range(NODE_LEVEL) if cap * 8**k >= n), NODE_LEVEL)
 
 
-def _write(images: DataFrame, path: str, batch: str, leaf_of: DataFrame) -> DataFrame:
-    """Store images under the batch; its rows of the manifest. A leaf's images go to one task, or to several if they are many, as adaptive execution deals them."""
+def _write(images: DataFrame, path: str, batch: str, leaf_of: DataFrame, node_level: int) -> DataFrame:
+    """Store images under the batch; its rows of the manifest. Tasks take stretches of the Z-order, by id where many images have one colour, as adaptive execution deals them."""
     spark, to = images.sparkSession, f"{path}/data/batch={batch}"
-    placed = images.select(*SCHEMA.names, z_code().alias("code")).join(leaf_of, "code", "left")
-    leaf = F.when(F.col("level").isNull(), NOWHERE).otherwise(F.concat(F.lit("z"), F.col("level").cast("string"), F.lit("_"), _ancestor(F.col("code"), F.col("level")).cast("string")))
-    dealt = placed.withColumn("leaf", leaf).hint("rebalance", F.col("leaf")).sortWithinPartitions("leaf", "code")
-    dealt.select(*SCHEMA.names, "leaf").write.mode("overwrite").partitionBy("leaf").parquet(to)
-    bounds = [f(c).alias(f"{side}_{c}") for c in colour.CHANNELS for side, f in (("lo", F.min), ("hi", F.max))]
-    found = spark.read.schema(_STORED).parquet(to).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *bounds)
-    part = lambda k: F.when(F.col("leaf") != NOWHERE, F.element_at(F.split(F.substring("leaf", 2, 99), "_"), k))
-    return found.select(F.lit(batch).alias("batch"), "leaf", part(1).cast("int").alias("level"), part(2).cast("long").alias("code"), "n", *_BOUNDS)
+    node = F.coalesce(_ancestor(F.col("code"), F.lit(node_level)).cast("string"), F.lit(NOWHERE))
+    dealt = images.select(*SCHEMA.names, z_code().alias("code")).repartitionByRange("code", "id").withColumn("node", node).sortWithinPartitions("node", "code")
+    dealt.select(*SCHEMA.names, "node").write.mode("overwrite").partitionBy("node").parquet(to)
+    stored = spark.read.schema(_STORED).option("basePath", f"{path}/data").parquet(to)
+    return _described(stored.select(*colour.CHANNELS, "batch", "node", F.col("_metadata.file_name").alias("file")), leaf_of)
 
 
 def insert(images: DataFrame, path: str, batch: str, cap: int = CAP) -> bool:
@@ -159,16 +183,16 @@ def insert(images: DataFrame, path: str, batch: str, cap: int = CAP) -> bool:
     added = count_cells(images)
     if now is None:
         leaf_of = written(leaf_of_cells(cells := written(added, "cells"), cap), "leaves")
-        manifest, number, batches = _write(images, path, batch, leaf_of), 1, [batch]
+        manifest, number, batches = _write(images, path, batch, leaf_of, _node_level(cells, cap)), 1, [batch]
     else:
         cap, number, batches = now.cap, now.number + 1, [*now.batches, batch]
         cells = written(now.cells.unionByName(added).groupBy("code").agg(F.sum("n").alias("n")), "cells")
         leaf_of = written(leaf_of_cells(cells, cap), "leaves")
         still = leaf_of.select("level", _ancestor(F.col("code"), F.col("level")).alias("code")).distinct()
         placed, nowhere = now.manifest.where("level IS NOT NULL"), now.manifest.where("level IS NULL")
-        split = placed.join(still, ["level", "code"], "left_anti")
-        rows = images.select(*SCHEMA.names).unionByName(_folders(spark, path, split))
-        manifest = placed.join(still, ["level", "code"], "left_semi").select(*now.manifest.columns).unionByName(nowhere).unionByName(_write(rows, path, batch, leaf_of))
+        outgrown = written(placed.join(still, ["level", "code"], "left_anti").select(*_FILE).distinct(), "outgrown")
+        kept = placed.join(outgrown, _FILE, "left_anti").select(*now.manifest.columns)
+        manifest = kept.unionByName(nowhere).unionByName(_described(_rows(spark, path, outgrown), leaf_of)).unionByName(_write(images, path, batch, leaf_of, _node_level(cells, cap)))
     _commit(spark, path, number, manifest, cells, batches, cap)
     return True
 
@@ -186,15 +210,15 @@ def clear(spark: SparkSession, path: str) -> None:
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
-    """Delete older versions and the folders that only they hold; how many folders went. No search of an older version may be running."""
+    """Delete older versions and the files that only they hold; how many files went. No search of an older version may be running."""
     numbers = _numbers(spark, path)
     if len(numbers) < 2:
         return 0
     last, gone = version(spark, path).manifest, 0
     for n in numbers[:-1]:
-        dead = version(spark, path, n).manifest.join(last.select("batch", "leaf"), ["batch", "leaf"], "left_anti").select("batch", "leaf")
+        dead = version(spark, path, n).manifest.join(last.select(*_FILE), _FILE, "left_anti").select(*_FILE).distinct()
         for r in dead.toLocalIterator():
-            at, fs = _fs(spark, f"{path}/data/batch={r.batch}/leaf={r.leaf}")
+            at, fs = _fs(spark, f"{path}/data/batch={r.batch}/node={r.node}/{r.file}")
             gone += bool(fs.delete(at, True))
         at, fs = _fs(spark, f"{path}/versions/v={n}")
         fs.delete(at, True)
@@ -202,30 +226,31 @@ def vacuum(spark: SparkSession, path: str) -> int:
 
 
 def compact(spark: SparkSession, path: str, most: int = 4) -> bool:
-    """Write the leaves that lie in more than `most` folders anew, each into one; False if there are none."""
+    """Write the leaves that lie in more than `most` batches anew, as one batch, with the other leaves of their files; False if there are none."""
     now = version(spark, path)
     if now is None:
         return False
-    many = written(now.manifest.groupBy("leaf").agg(F.count(F.lit(1)).alias("folders")).where(F.col("folders") > most).select("leaf"), "many")
+    many = written(now.manifest.groupBy("leaf").agg(F.count_distinct("batch").alias("batches")).where(F.col("batches") > most).select("leaf"), "many")
     if many.isEmpty():
         return False
     leaf_of = written(leaf_of_cells(now.cells, now.cap), "leaves")
-    rows = _folders(spark, path, now.manifest.join(many, "leaf", "left_semi"))
-    rest = now.manifest.join(many, "leaf", "left_anti").select(*now.manifest.columns)
-    _commit(spark, path, now.number + 1, rest.unionByName(_write(rows, path, f"compact-{now.number + 1}", leaf_of)), now.cells, now.batches, now.cap)
+    files = written(now.manifest.join(many, "leaf", "left_semi").select(*_FILE).distinct(), "files")
+    rest = now.manifest.join(files, _FILE, "left_anti").select(*now.manifest.columns)
+    anew = _write(_folders(spark, path, files), path, f"compact-{now.number + 1}", leaf_of, _node_level(now.cells, now.cap))
+    _commit(spark, path, now.number + 1, rest.unionByName(anew), now.cells, now.batches, now.cap)
     return True
 
 
 def near(manifest: DataFrame, query: tuple[float, float, float], reach: float) -> DataFrame:
-    """Folders whose bounds come within reach of the query."""
+    """Leaves in files whose bounds come within reach of the query."""
     return manifest.where(colour.gap_to_box(query) <= float(reach) * (1 + 1e-9) + 1e-9)
 
 
 def near_direction(manifest: DataFrame, query: tuple[float, float, float], reach: float) -> DataFrame:
-    """Folders that may hold a colour whose direction lies within reach of the query's, as distance of unit vectors.
+    """Leaves in files that may hold a colour whose direction lies within reach of the query's, as distance of unit vectors.
 
     In a box of channels from 0 up, a coordinate of the direction is least where its channel is least and the others are largest, and the other way round; those intervals are a box of directions.
-    Folders with a channel below 0 are kept."""
+    Leaves with a channel below 0 are kept."""
     norm = math.sqrt(sum(q * q for q in query))
     gap, some_negative = F.lit(0.0), F.lit(False)
     for c, q in zip(colour.CHANNELS, query, strict=True):
@@ -239,7 +264,7 @@ def near_direction(manifest: DataFrame, query: tuple[float, float, float], reach
 
 
 def candidates(spark: SparkSession, path: str, query: tuple[float, float, float], threshold: float, metric: str = "euclidean") -> DataFrame:
-    """Images of the folders in reach; for distances in space with plain bounds that the scan can use. By cosine, a black query or a threshold from 1 on opens all."""
+    """Images of the files in reach; for distances in space with plain bounds that the scan can use. By cosine, a black query or a threshold from 1 on opens all."""
     now = version(spark, path)
     if now is None or not threshold >= 0:
         return spark.createDataFrame([], SCHEMA)
@@ -256,9 +281,9 @@ def hits(spark: SparkSession, path: str, query: tuple[float, float, float], thre
 
 
 def folders(spark: SparkSession, path: str, query: tuple[float, float, float]) -> list[tuple[float, int]]:
-    """(distance of the bounds to the query, images) of each folder: what a choice of strategy weighs. One row a folder."""
+    """(distance of the bounds to the query, images) of each file: what a choice of strategy weighs. One row a file."""
     now = version(spark, path)
-    rows = [] if now is None else now.manifest.where("level IS NOT NULL").select(colour.gap_to_box(query).alias("apart"), "n").collect()
+    rows = [] if now is None else now.manifest.where("level IS NOT NULL").groupBy(*_FILE).agg(F.min(colour.gap_to_box(query)).alias("apart"), F.sum("n").alias("n")).collect()
     return [(r.apart, r.n) for r in rows]
 
 

@@ -114,3 +114,40 @@ def test_odd_rows(spark, tmp_path):
     assert stored.hits(spark, path, *A).count() == 0
     with pytest.raises(ValueError, match="batch"):
         stored.insert(df, path, "a/b")
+
+
+def test_files_are_bounded_whatever_the_leaves(spark, tmp_path):
+    images, path = sf_images(spark, "/root/testdata/sf0.001"), str(tmp_path / "i")
+    stored.create(images, path, cap=1)
+    files = len(stored.images(spark, path).inputFiles())
+    assert len(tree_of(spark, path)) > 1000 and files <= 8**stored.NODE_LEVEL + 8
+    assert bag(stored.hits(spark, path, *A)) == bag(search.hits(images, *A, "linear"))
+
+
+def test_an_insert_writes_no_stored_image_again(spark, tmp_path):
+    images, path = sf_images(spark, "/root/testdata/sf0.001"), str(tmp_path / "i")
+    stored.create(images.where("id % 3 = 0"), path, cap=100, batch="a")
+    first = set(tree_of(spark, path))
+    stored.insert(images.where("id % 3 > 0"), path, "b")
+    held = {r.batch: r.n for r in stored.version(spark, path).manifest.groupBy("batch").agg(F.sum("n").alias("n")).collect()}
+    assert held == {"a": images.where("id % 3 = 0").count(), "b": images.where("id % 3 > 0").count()}
+    assert first - set(tree_of(spark, path)) and max(tree_of(spark, path).values()) <= 100
+
+
+def test_counts_of_a_level_are_made_once(spark):
+    cells = spark.createDataFrame([(k, 3) for k in range(64)] + [(8**7, 1)], "code long, n long")
+    leaves = stored.leaf_of_cells(cells, 30)
+    assert "Aggregate" not in leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.code: r.level for r in leaves.collect()} == {k: 7 for k in range(64)} | {8**7: 1}
+
+
+def test_a_name_is_hashed_once(spark):
+    plan = sf_images(spark, "/root/testdata/sf0.001").where("r < 50")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
+def test_places_in_z_order(spark):
+    rows = [(k, "f", float(r), float(g), float(b)) for k, (r, g, b) in enumerate([(0, 0, 0), (255, 255, 255), (1, 2, 4), (200, 100, 50), (-3, 300, 128)])]
+    at = [[min(max(int(v * 256 // 255), 0), 255) for v in r[2:]] for r in rows]
+    want = [sum((c >> k & 1) << (3 * k + 2 - j) for j, c in enumerate(cs) for k in range(8)) for cs in at]
+    assert [r.code for r in spark.createDataFrame(rows, COLUMNS).orderBy("id").select(stored.z_code().alias("code")).collect()] == want
