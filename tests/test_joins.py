@@ -146,3 +146,31 @@ def test_spread_rows_are_not_broadcast(spark, sf, name):
     text = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     joined = [line for line in text.splitlines() if re.search(r"Join \[.*cr#", line)]
     assert joined and all("SortMergeJoin" in line for line in joined)
+
+
+@pytest.mark.parametrize("name", ["similarity_join"])
+def test_few_rows_travel_for_a_query(spark, sf, name, monkeypatch):
+    """Queries were spread over some eighty small cells each, which filled the executors' disks at sixty times sf0.1."""
+    from huespan.queries import QUERIES
+
+    seen, spread = [], joins._spread
+
+    def spy(asked, *more):
+        out = spread(asked, *more)
+        seen.append((asked.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(joins, "_spread", spy)
+    assert QUERIES[name](spark, sf).count() > 0
+    assert seen and all(0 < after < 8 * before for before, after in seen)
+
+
+def test_a_crowded_block_is_dealt_and_bundles_are_split(spark, monkeypatch):
+    """Nearly all images in one block: it is dealt over many keys, and no pair is lost or doubled."""
+    monkeypatch.setattr(joins, "BUNDLE", 5)
+    rnd = random.Random(3)
+    images = [(k, tuple(rnd.uniform(100, 112) for _ in range(3))) for k in range(300)] + [(k, point(rnd)) for k in range(300, 330)] + [(5, (101.0, 101.0, 101.0))] * 3
+    queries = [(k, *(rnd.uniform(90, 120) for _ in range(3)), 9.0) for k in range(30)]
+    placed = frame(spark, images).withColumns({c: F.floor(F.col(n) / 16).cast("int") for c, n in zip(joins.CELLS, "rgb", strict=True)})
+    assert placed.select(joins.dealing(placed, joins.CELLS).alias("ways")).agg(F.max("ways")).first()[0] >= joins.DEAL * 0.9
+    assert rows_of(joins.similarity_join(frame(spark, images), asked(spark, queries), 8.0)) == brute(images, queries, 8.0)
