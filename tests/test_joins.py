@@ -174,3 +174,28 @@ def test_a_crowded_block_is_dealt_and_bundles_are_split(spark, monkeypatch):
     placed = frame(spark, images).withColumns({c: F.floor(F.col(n) / 16).cast("int") for c, n in zip(joins.CELLS, "rgb", strict=True)})
     assert placed.select(joins.dealing(placed, joins.CELLS).alias("ways")).agg(F.max("ways")).first()[0] >= joins.DEAL * 0.9
     assert rows_of(joins.similarity_join(frame(spark, images), asked(spark, queries), 8.0)) == brute(images, queries, 8.0)
+
+
+def records_shuffled(df):
+    """Rows that the exchanges of a finished plan wrote."""
+
+    def walk(node):
+        own = node.metrics()
+        found = own.apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" and own.contains("shuffleRecordsWritten") else 0
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        return found + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_no_row_travels_for_a_pair_of_nodes(spark, sf):
+    """dual_tree_join made a row for each query and node of images near its own, hundreds a query."""
+    from huespan.queries import QUERIES
+    from huespan.queries import images as sf_images
+
+    done = QUERIES["dual_tree_join"](spark, sf)
+    done.collect()
+    assert 0 < records_shuffled(done) < 5 * sf_images(spark, sf).count()
