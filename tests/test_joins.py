@@ -148,7 +148,7 @@ def test_spread_rows_are_not_broadcast(spark, sf, name):
     assert joined and all("SortMergeJoin" in line for line in joined)
 
 
-@pytest.mark.parametrize("name", ["similarity_join", "cosine_join"])
+@pytest.mark.parametrize("name", ["similarity_join", "cosine_join", "similarity_join_per_row"])
 def test_few_rows_travel_for_a_query(spark, sf, name, monkeypatch):
     """Queries were spread over some eighty small cells each, which filled the executors' disks at sixty times sf0.1."""
     from huespan.queries import QUERIES
