@@ -150,7 +150,7 @@ def test_spread_rows_are_not_broadcast(spark, sf, name):
 
 @pytest.mark.parametrize("name", ["similarity_join", "cosine_join", "similarity_join_per_row"])
 def test_few_rows_travel_for_a_query(spark, sf, name, monkeypatch):
-    """Queries were spread over some eighty small cells each, which filled the executors' disks at sixty times sf0.1."""
+    """Queries were spread over fifty to eighty-five small cells each, gigabytes of shuffle at sixty times sf0.1."""
     from huespan.queries import QUERIES
 
     seen, spread = [], joins._spread
